@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.text import clip, contact_key, one_line
 from keepsake.functions.times import conversation_key, iso_seconds
+from keepsake.operators.ranking import first_last_longest, keep_first, top_k
 
 HOUR = 3_600_000
 KEY = ["owner_id", "contact_key"]
@@ -245,3 +246,18 @@ def messages_in_chunks(chunk_table: DataFrame, messages: DataFrame) -> DataFrame
         .filter(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))
         .drop("level", "bucket")
     )
+
+
+def contacts_of(chunk_table: DataFrame) -> DataFrame:
+    """Every contact of the chunk table; order on output where a reader needs it."""
+    return chunk_table.select(*KEY).distinct()
+
+
+def chunk_samples(inside: DataFrame, first: int = 3, last: int = 3, longest: int = 2,
+                  most: int = 6) -> DataFrame:
+    """First, last and longest messages of each chunk without repeats."""
+    group = ["owner_id", "chunk_id"]
+    picked = first_last_longest(
+        inside, group, ["created_at", "seq"], F.length("text"), first, last, longest)
+    once = keep_first(picked, [*group, "created_at", "text"], [F.asc("picked")])
+    return top_k(once, group, [F.asc("picked")], most)

@@ -44,7 +44,7 @@ VIEW_SQL = {
     "v_evt": """
         SELECT e.event_id, e.event_id AS seq, 'o' || (e.user_id % 3) AS owner_id,
                'sms' AS source, e.event_type AS channel, 'message' AS kind, e.props AS text,
-               e.ts AS created_at, epoch_ms(e.ts) AS ts_ms, 'user_' || e.user_id AS contact,
+               e.ts AS created_at, epoch_us(e.ts) // 1000 AS ts_ms, 'user_' || e.user_id AS contact,
                'me_user_' || e.user_id AS contact_key, e.event_id % 2 = 0 AS is_user_message
         FROM events e""",
     "v_chat": """

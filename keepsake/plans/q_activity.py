@@ -166,9 +166,9 @@ def _(t):
 
 @query("top_18_timeline_order", """
     SELECT owner_id, source, seq, row_number() OVER (
-        PARTITION BY owner_id ORDER BY coalesce(epoch_ms(created_at), 0) DESC, seq) AS rank
+        PARTITION BY owner_id ORDER BY coalesce(epoch_us(created_at) // 1000, 0) DESC, seq) AS rank
     FROM v_timeline QUALIFY row_number() OVER (
-        PARTITION BY owner_id ORDER BY coalesce(epoch_ms(created_at), 0) DESC, seq) <= 100""")
+        PARTITION BY owner_id ORDER BY coalesce(epoch_us(created_at) // 1000, 0) DESC, seq) <= 100""")
 def _(t):
     from keepsake.operators.ranking import top_k
     from keepsake.plans.tables import newest_first

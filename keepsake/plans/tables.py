@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.text import clip, one_line
 from keepsake.functions.times import iso
-from keepsake.operators.ranking import keep_first
+from keepsake.operators.ranking import keep_first, top_k
 
 
 def newest_first() -> list[Column]:
@@ -113,3 +113,76 @@ def write_contact_profiles(profiles: DataFrame, path: str, version: int) -> None
 
 def read_contact_profiles(spark: SparkSession, path: str) -> DataFrame:
     return latest_per_key(spark.read.parquet(path), ["owner_id", "contact"], "version")
+
+
+# --- Derived tables kept up to date ---------------------------------------------------------------
+
+def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """New rows replace stored rows of the same key."""
+    keys = list(keys)
+    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def stale_chunks(chunks: DataFrame, stored: DataFrame, now_ms: int, max_age_days: int = 7,
+                 per_owner: int | None = None) -> DataFrame:
+    """Chunks to summarize: absent, with another message count, or summarized too long ago.
+
+    ``per_owner`` bounds the work of one run (the interactive path took three at a time).
+    """
+    s = stored.select("owner_id", "chunk_id", F.col("message_count").alias("_n"), "processed_at")
+    limit = F.timestamp_millis(F.lit(now_ms)) - F.make_dt_interval(F.lit(max_age_days))
+    reason = (
+        F.when(F.col("_n").isNull(), "absent")
+        .when(F.col("_n") != F.col("message_count"), "changed")
+        .when(F.col("processed_at") < limit, "old"))
+    out = (
+        chunks.join(s, ["owner_id", "chunk_id"], "left").withColumn("reason", reason)
+        .filter(F.col("reason").isNotNull()).drop("_n", "processed_at")
+    )
+    if per_owner is None:
+        return out
+    return top_k(out, ["owner_id"], [F.asc("contact_key"), F.asc("start_ms"), F.asc("chunk_id")],
+                 per_owner)
+
+
+def stored_months(cache: DataFrame, messages: DataFrame, contact: str = "contact") -> DataFrame:
+    """Cached months that are still valid: the contact's fingerprint has not changed."""
+    keys = ["owner_id", contact]
+    return cache.join(fingerprints(messages, contact), [*keys, "fingerprint"], "left_semi")
+
+
+def fingerprints(messages: DataFrame, contact: str = "contact") -> DataFrame:
+    """``count:first:last`` per contact, dates as text."""
+    first, last = F.min("created_at"), F.max("created_at")
+    return messages.groupBy("owner_id", contact).agg(F.concat_ws(
+        ":", F.count(F.lit(1)).cast("string"), F.coalesce(iso(first), F.lit("")),
+        F.coalesce(iso(last), F.lit(""))).alias("fingerprint"))
+
+
+def month_counts(messages: DataFrame, contact: str = "contact") -> DataFrame:
+    month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("unknown"))
+    return messages.groupBy("owner_id", contact, month.alias("month")).agg(
+        F.count(F.lit(1)).alias("message_count"))
+
+
+def missing_months(messages: DataFrame, cache: DataFrame, contact: str = "contact") -> DataFrame:
+    """Months without a valid cached summary."""
+    keys = ["owner_id", contact]
+    return month_counts(messages, contact).join(
+        stored_months(cache, messages, contact).select(*keys, "month"), [*keys, "month"], "left_anti")
+
+
+def month_priority(months: DataFrame, missing: DataFrame, n: int = 6, contact: str = "contact"
+                   ) -> DataFrame:
+    """Missing months in build order: the contact's earliest, its latest, then the largest."""
+    keys = ["owner_id", contact]
+    bounds = months.groupBy(*keys).agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
+    place = (F.when(F.col("month") == F.col("_first"), 0)
+             .when(F.col("month") == F.col("_last"), 1).otherwise(2))
+    ranked = (
+        months.join(missing.select(*keys, "month"), [*keys, "month"], "left_semi")
+        .join(bounds, keys).withColumn("_place", place)
+    )
+    return top_k(ranked, keys, [F.asc("_place"), F.desc("message_count"), F.asc("month")], n
+                 ).drop("_place", "_first", "_last")
