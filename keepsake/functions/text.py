@@ -95,12 +95,16 @@ def sentences(c: Column | str) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words. Short lists give none; ``sequence`` alone would count down."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "),
-    )
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    """Runs of n words: the list zipped with its own tails. Lists under n words give none.
+
+    ``words`` should be a column already computed; the list is read n times per row.
+    """
+    length = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    runs = F.slice(words, F.lit(1), length)
+    for i in range(2, n + 1):
+        tail = F.slice(words, F.lit(i), length)
+        runs = F.zip_with(runs, tail, lambda a, b: F.concat_ws(" ", a, b))
+    return runs
 
 
 def clamp01(c: Column) -> Column:

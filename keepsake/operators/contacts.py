@@ -104,9 +104,10 @@ def recent_with(events: DataFrame, targets: DataFrame, n: int = 50) -> DataFrame
 
 def shared_phrases(messages: DataFrame, k: int = 20, min_user: int = 2) -> DataFrame:
     """Word pairs both sides use, the owner at least twice; in order of the owner's first use."""
-    pairs = messages.select(
+    worded = messages.select(*PERSON, "is_user_message", "seq", tokens("text").alias("w"))
+    pairs = worded.select(
         *PERSON, "is_user_message", "seq",
-        F.posexplode(ngrams(tokens("text"), 2)).alias("position", "phrase"))
+        F.posexplode(ngrams(F.col("w"), 2)).alias("position", "phrase"))
     kept = pairs.filter(~F.substring_index("phrase", " ", 1).isin(*STYLE_STOP_WORDS))
     first = F.col("seq").cast("decimal(20,0)") * F.lit(1 << 20) + F.col("position")
     mine = F.col("is_user_message")
