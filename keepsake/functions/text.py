@@ -31,6 +31,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row for an expression that mentions it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bounded(pattern: str) -> str:
     """Replace ``\\b`` by ASCII look-arounds that hold on either side of a word edge."""
     edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
