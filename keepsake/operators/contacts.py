@@ -85,13 +85,14 @@ def match_names(events: DataFrame, targets: DataFrame, normalize=person_words) -
 
 
 def events_with(events: DataFrame, targets: DataFrame, normalize=person_words) -> DataFrame:
-    """Events in which a participant matches an asked-for name, once per (event, target)."""
+    """Events in which a participant matches an asked-for name, once per (event, target).
+
+    Only events with a matching participant go through a shuffle, and that one is keyed by event.
+    """
     matched = match_names(events, targets, normalize)
-    hits = (
-        events.select("owner_id", "seq", F.explode(F.array_distinct("participants")).alias("name"))
-        .join(matched, ["owner_id", "name"]).select("owner_id", "seq", "target").distinct()
-    )
-    return events.join(hits, ["owner_id", "seq"])
+    hits = events.withColumn("name", F.explode(F.array_distinct("participants"))).join(
+        matched, ["owner_id", "name"])
+    return keep_first(hits, ["owner_id", "seq", "target"], [F.asc("name")]).drop("name")
 
 
 def recent_with(events: DataFrame, targets: DataFrame, n: int = 50) -> DataFrame:
