@@ -158,14 +158,12 @@ def _(t):
 
 
 @query("jn_13_entity_links", f"""WITH {RESOLVED}, pairs AS (
-        SELECT owner_id, entity_id AS a, lead(entity_id) OVER (PARTITION BY owner_id ORDER BY seq) AS b FROM resolved)
-    SELECT owner_id, a AS src_id, b AS dst_id FROM pairs WHERE b IS NOT NULL UNION
-    SELECT owner_id, b, a FROM pairs WHERE b IS NOT NULL""")
+        SELECT owner_id, entity_id AS a, 'ent_' || md5(owner_id || '|' || lower(aliases[1])) AS b FROM resolved)
+    SELECT owner_id, a AS src_id, b AS dst_id FROM pairs UNION SELECT owner_id, b, a FROM pairs""")
 def _(t):
-    from pyspark.sql import Window
-    r = resolved(t).select("owner_id", "seq", F.col("entity_id").alias("src_id"))
-    w = Window.partitionBy("owner_id").orderBy("seq")
-    pairs = r.withColumn("dst_id", F.lead("src_id").over(w)).filter("dst_id IS NOT NULL")
+    pairs = resolved(t).select(
+        "owner_id", F.col("entity_id").alias("src_id"),
+        knowledge.new_id(F.col("owner_id"), F.col("aliases")[0]).alias("dst_id"))
     return knowledge.link_entities(pairs.limit(0), pairs)
 
 
