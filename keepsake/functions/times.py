@@ -11,7 +11,7 @@ from keepsake.functions.text import col, strip
 FORMATS = (
     "MMM d, yyyy, h:mm:ss a z", "MMM d, yyyy, h:mm:ss a", "MMM d, yyyy, H:mm:ss",
     "MMM d, yyyy", "MMMM d, yyyy, h:mm:ss a z", "MMMM d, yyyy, h:mm:ss a", "MMMM d, yyyy",
-    "EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z",
     "yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss Z",
     "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy, h:mm:ss a", "M/d/yyyy H:mm", "M/d/yyyy",
 )
@@ -21,8 +21,9 @@ _DIGITS = r"^\d+$"
 def plain_date(c: Column | str) -> Column:
     """ISO first, then the known formats; unreadable text gives null."""
     text = F.nullif(strip(c), F.lit(""))
-    # A trailing remark such as "(UTC)" and narrow blanks before AM/PM are noise.
-    clean = F.regexp_replace(F.regexp_replace(text, r"\s*\([^)]*\)$", ""), r"\x{202F}", " ")
+    # Noise: the weekday in front, a remark such as "(UTC)" behind, narrow blanks before AM/PM.
+    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s+(?=\d)|\s*\([^)]*\)$", "")
+    clean = F.regexp_replace(F.regexp_replace(bare, r"\x{202F}", " "), r"\s+", " ")
     iso = F.when(clean.rlike(r"^\d{4}-\d{2}"), clean.try_cast("timestamp"))
     return F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(f)) for f in FORMATS])
 

@@ -24,11 +24,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings that change results (UTC) or that every plan counts on (AQE).
+    """Settings that change results (UTC, strict date patterns) or that plans count on (AQE).
 
     Partition counts and memory stay with the cluster's own configuration.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.legacy.timeParserPolicy", "CORRECTED")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
