@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import col, strip
-
-# The spellings met in exports, tried in this order.
-FORMATS = (
-    "MMM d, yyyy, h:mm:ss a z", "MMM d, yyyy, h:mm:ss a", "MMM d, yyyy, H:mm:ss",
-    "MMM d, yyyy", "MMMM d, yyyy, h:mm:ss a z", "MMMM d, yyyy, h:mm:ss a", "MMMM d, yyyy",
-    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z",
-    "yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss Z",
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy, h:mm:ss a", "M/d/yyyy H:mm", "M/d/yyyy",
-)
+from keepsake.functions.text import col, let, strip
+
+# The spellings met in exports, by what a date starts with; tried in this order.
+FORMATS = {
+    r"^[A-Za-z]+\.? \d": (
+        "MMM d, yyyy, h:mm:ss a z", "MMM d, yyyy, h:mm:ss a", "MMM d, yyyy, H:mm:ss",
+        "MMM d, yyyy", "MMMM d, yyyy, h:mm:ss a z", "MMMM d, yyyy, h:mm:ss a", "MMMM d, yyyy"),
+    r"^\d{1,2} [A-Za-z]": ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z"),
+    r"^\d{4}-": ("yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss Z"),
+    r"^\d{4}/": ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"),
+    r"^\d{1,2}/": ("M/d/yyyy, h:mm:ss a", "M/d/yyyy H:mm", "M/d/yyyy"),
+}
 _DIGITS = r"^\d+$"
 
 
 def plain_date(c: Column | str) -> Column:
-    """ISO first, then the known formats; unreadable text gives null."""
-    text = F.nullif(strip(c), F.lit(""))
+    """ISO first, then the formats that fit the start of the text; unreadable text gives null."""
     # Noise: the weekday in front, a remark such as "(UTC)" behind, narrow blanks before AM/PM.
-    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s+(?=\d)|\s*\([^)]*\)$", "")
-    clean = F.regexp_replace(F.regexp_replace(bare, r"\x{202F}", " "), r"\s+", " ")
-    iso = F.when(clean.rlike(r"^\d{4}-\d{2}"), clean.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(f)) for f in FORMATS])
+    bare = F.regexp_replace(strip(c), r"^[A-Za-z]{3,9},\s+(?=\d)|\s*\([^)]*\)$", "")
+    clean = F.regexp_replace(bare, r"[\s\x{202F}]+", " ")
+
+    def read(text: Column) -> Column:
+        out = F.lit(None).cast("timestamp")
+        for shape, formats in reversed(list(FORMATS.items())):
+            tried = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+            if shape == r"^\d{4}-":
+                tried.insert(0, text.try_cast("timestamp"))
+            out = F.when(text.rlike(shape), F.coalesce(*tried)).otherwise(out)
+        return out
+
+    return let(clean, read)
 
 
 def _from_ms(ms: Column) -> Column:

@@ -186,3 +186,44 @@ def month_priority(months: DataFrame, missing: DataFrame, n: int = 6, contact: s
     )
     return top_k(ranked, keys, [F.asc("_place"), F.desc("message_count"), F.asc("month")], n
                  ).drop("_place", "_first", "_last")
+
+
+# --- Writing sessions and chunk memory -----------------------------------------------------------
+
+def keep_recent_sessions(sessions: DataFrame, n: int = 100) -> DataFrame:
+    """The newest sessions of each owner."""
+    return top_k(sessions, ["owner_id"], [F.desc("timestamp"), F.desc("session_id")], n)
+
+
+def recent_of_contact(sessions: DataFrame, n: int = 5) -> DataFrame:
+    return top_k(sessions.filter("contact IS NOT NULL"), ["owner_id", "contact"],
+                 [F.desc("timestamp"), F.desc("session_id")], n)
+
+
+def apply_corrections(sessions: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Append corrections to their sessions; sessions without new ones keep what they have.
+
+    A session is one writing exchange, so its list is as short as a person's patience.
+    """
+    key = ["owner_id", "session_id"]
+    new = corrections.groupBy(*key).agg(F.array_sort(F.collect_list(
+        F.struct("seq", "feedback"))).alias("_new"))
+    merged = F.concat("corrections", F.coalesce("_new", F.array().cast(
+        "array<struct<seq:bigint,feedback:string>>")))
+    return sessions.join(new, key, "left").withColumn("corrections", merged).drop("_new")
+
+
+def update_sessions(sessions: DataFrame, updates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Given values replace stored ones; a null keeps the old value."""
+    key = ["owner_id", "session_id"]
+    new = updates.select(*key, *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = sessions.join(new, key, "left")
+    for c in columns:
+        joined = joined.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    return joined
+
+
+def memory_rows(chunks: DataFrame, summaries: DataFrame, model: str, now: Column) -> DataFrame:
+    """Chunks with their summary, ready to be stored."""
+    return chunks.join(summaries, ["owner_id", "chunk_id"]).withColumn(
+        "model_used", F.lit(model)).withColumn("processed_at", now)
