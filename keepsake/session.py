@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import keepsake
+
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -28,6 +31,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
     Partition counts and memory stay with the cluster's own configuration.
     """
+    # The few Python helpers travel with the plan, so executors need no copy of the package.
+    if keepsake.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(keepsake)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.legacy.timeParserPolicy", "CORRECTED")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
