@@ -15,7 +15,7 @@ from keepsake.functions.text import (
     tokens,
 )
 from keepsake.functions.times import iso, iso_seconds
-from keepsake.operators.ranking import first_last_longest, keep_first, top_k
+from keepsake.operators.ranking import bounded_lists, first_last_longest, keep_first, top_k
 
 PERSON = ["owner_id", "contact"]
 
@@ -79,9 +79,13 @@ def match_names(events: DataFrame, targets: DataFrame, normalize=person_words) -
         events.select("owner_id", F.explode("participants").alias("name"))
         .filter(F.col("name").isNotNull()).distinct()
     )
-    asked = targets.groupBy("owner_id").agg(F.collect_set("target").alias("targets"))
-    fits = F.filter("targets", lambda x: names_match(normalize(F.col("name")), normalize(x)))
-    return names.join(asked, "owner_id").select("owner_id", "name", F.explode(fits).alias("target"))
+    asked = bounded_lists(targets.select("owner_id", "target").distinct().withColumn(
+        "plain", normalize(F.col("target"))), ["owner_id"], ["target", "plain"], ["target"], "targets")
+    fits = F.filter("targets", lambda x: names_match(F.col("plain"), x["plain"]))
+    return (
+        names.withColumn("plain", normalize(F.col("name"))).join(asked, "owner_id")
+        .select("owner_id", "name", F.explode(fits["target"]).alias("target"))
+    )
 
 
 def events_with(events: DataFrame, targets: DataFrame, normalize=person_words) -> DataFrame:

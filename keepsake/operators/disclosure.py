@@ -13,7 +13,7 @@ from keepsake.functions.lexicons import DISCLOSURE_DENIALS, TOPIC_SYNONYMS
 from keepsake.functions.text import clamp01, has_any, hits_of
 from keepsake.functions.times import iso
 from keepsake.operators.contacts import events_with
-from keepsake.operators.ranking import keep_first
+from keepsake.operators.ranking import bounded_lists, keep_first
 
 CASE = ["owner_id", "contact", "topic"]
 WEEK_MS = 7 * 24 * 3_600_000
@@ -40,8 +40,9 @@ def case_messages(events: DataFrame, cases: DataFrame) -> DataFrame:
         "owner_id", "seq", "participants", "created_at", "is_user_message",
         F.coalesce("text", F.lit("")).alias("text"))
     with_contact = events_with(sms, targets, _lower).withColumnRenamed("target", "contact")
-    listed = cases.select(*CASE, topic_terms("topic").alias("terms")).groupBy(
-        "owner_id", "contact").agg(F.collect_set(F.struct("topic", "terms")).alias("topics"))
+    listed = bounded_lists(
+        cases.select(*CASE).distinct().withColumn("terms", topic_terms("topic")),
+        ["owner_id", "contact"], ["topic", "terms"], ["topic"], "topics")
     low = F.col("low")
     named = F.filter("topics", lambda x: hits_of(low, x["terms"]) > 0)
     return (

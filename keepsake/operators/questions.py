@@ -15,8 +15,10 @@ from keepsake.functions.text import (
     any_word, bounded, clip, hits, person_slug, phrase_variants, snippet, strip, tokens,
 )
 from keepsake.functions.times import in_timeframe, in_window, quarter_key
-from keepsake.operators.ranking import keep_first, top_counts, top_k
-from keepsake.operators.retrieval import ASK, blank_terms, matching, with_terms
+from keepsake.operators.ranking import (
+    MAX_OWNERS, bounded_lists, broadcast_if_small, keep_first, top_counts, top_k,
+)
+from keepsake.operators.retrieval import ASK, MAX_LISTS, blank_terms, matching, with_terms
 
 OWNER = ["owner_id"]
 
@@ -46,7 +48,7 @@ def window_bounds(tables: Sequence[DataFrame], days: int) -> DataFrame:
 def in_recent_window(rows: DataFrame, bounds: DataFrame, upper: Column | None = None) -> DataFrame:
     """Rows since their owner's lower bound; undated rows pass."""
     return (
-        rows.join(bounds, OWNER, "left")
+        rows.join(broadcast_if_small(bounds, MAX_OWNERS), OWNER, "left")
         .filter(in_window("created_at", F.col("lower_bound"), upper)).drop("lower_bound")
     )
 
@@ -124,8 +126,8 @@ def lexical_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
     texts = rows.withColumn("low", F.lower("text"))
     lists = listed.groupBy("owner_id", "question_id").agg(
         F.array_sort(F.collect_list(F.struct("form_no", "words", "pattern"))).alias("forms"))
-    per_owner = lists.groupBy("owner_id", F.pmod(F.xxhash64("question_id"), F.lit(64)).alias("list_no")
-                              ).agg(F.collect_list(F.struct("question_id", "forms")).alias("asked"))
+    per_owner = broadcast_if_small(bounded_lists(
+        lists, OWNER, ["question_id", "forms"], ["question_id"], "asked"), MAX_LISTS)
     low = F.col("low")
 
     def count_form(f: Column) -> Column:
@@ -162,9 +164,9 @@ def lexical_examples(hit: DataFrame, k: int = 6) -> DataFrame:
 
 def time_period_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Texts inside the asked period. Periods of an owner's questions are few, so they come as a list."""
-    periods = asked.groupBy("owner_id", F.pmod(F.xxhash64("question_id"), F.lit(64)).alias("list_no")
-                            ).agg(F.collect_list(F.struct(
-                                "question_id", "timeframe.start", "timeframe.end")).alias("periods"))
+    flat = asked.select(*ASK, "timeframe.start", "timeframe.end")
+    periods = broadcast_if_small(bounded_lists(
+        flat, OWNER, ["question_id", "start", "end"], ["question_id"], "periods"), MAX_LISTS)
     fits = F.filter("periods", lambda p: in_timeframe("created_at", p["start"], p["end"]))
     return (
         rows.join(periods, OWNER).withColumn("_p", F.explode(fits))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+# One short row per owner: a million of them are some tens of megabytes.
+MAX_OWNERS = 1_000_000
 
 
 def top_k(
@@ -43,6 +45,24 @@ def top_k(
     )
 
 
+def bounded_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str],
+                  name: str, size: int = 500) -> DataFrame:
+    """Rows of each group as lists of at most ``size`` entries, several rows where one is not enough."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return (
+        df.withColumn("_list", F.floor(place / size)).groupBy(*keys, "_list")
+        .agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_list")
+    )
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a table for broadcast if counting finds it small, so the other side need not shuffle.
+
+    A larger table joins by shuffle, where AQE splits hot keys. Rows have to be of bounded width.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def _hashable(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in (
         "string", "long", "integer", "double", "timestamp", "boolean", "date")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import QUESTION_STOP_WORDS, TOPIC_STOP_WORDS
@@ -23,11 +23,15 @@ from keepsake.functions.times import day_key
 from keepsake.operators.clusters import message_class
 from keepsake.operators.contacts import events_with
 from keepsake.operators.corpus import titled
-from keepsake.operators.ranking import dedupe_ranked, keep_first, top_k, within_budget
+from keepsake.operators.ranking import (
+    bounded_lists, broadcast_if_small, dedupe_ranked, keep_first, top_k, within_budget,
+)
 
 OWNER = ["owner_id"]
 ASK = ["owner_id", "question_id"]
 LIST_SIZE = 500
+# Lists of 500 short requests: 200 of them stay within some ten megabytes.
+MAX_LISTS = 200
 
 
 # --- Requests --------------------------------------------------------------------------------------
@@ -51,14 +55,11 @@ def with_terms(requests: DataFrame, terms: Column, *keep: str) -> DataFrame:
 
 
 def request_lists(requests: DataFrame, group: Sequence[str] = OWNER, full: bool = False) -> DataFrame:
-    """Requests of a group as lists of at most ``LIST_SIZE``."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("question_id")) - 1
+    """Requests of a group as bounded lists. A batch of requests is small next to the texts; where a
+    count confirms it, the lists are broadcast and the texts stay in place."""
     fields = ["question_id", "terms", *(["phrase"] if full else [])]
-    return (
-        requests.withColumn("list_no", F.floor(place / LIST_SIZE))
-        .groupBy(*group, "list_no").agg(F.collect_list(F.struct(*fields)).alias("requests"))
-        .drop("list_no")
-    )
+    lists = bounded_lists(requests, group, fields, ["question_id"], "requests", LIST_SIZE)
+    return broadcast_if_small(lists, MAX_LISTS)
 
 
 def matching(texts: DataFrame, requests: DataFrame, group: Sequence[str] = OWNER) -> DataFrame:

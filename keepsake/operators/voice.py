@@ -15,7 +15,7 @@ from keepsake.functions.text import (
     EMOJI, SPACE_RUN, any_word, bounded, clamp01, count_matches, ngrams, one_line, sentences,
     strip, tokens, word_count,
 )
-from keepsake.operators.ranking import top_counts, top_k
+from keepsake.operators.ranking import MAX_OWNERS, broadcast_if_small, top_counts, top_k
 
 # What each mark is.
 MARKS = {
@@ -143,24 +143,26 @@ def edge_phrases(corpus: DataFrame, k: int = 15, length: int = 5) -> DataFrame:
 def example_texts(corpus: DataFrame, representative: int = 10, engaging: int = 5,
                   min_length: int = 80) -> DataFrame:
     """Texts of nearly median length, and those with the highest scores."""
+    sized = corpus.select("owner_id", "seq", "words", F.coalesce("score", F.lit(0.0)).alias("score"),
+                          one_line("body").alias("example"))
+    slim = sized.filter(F.length("example") >= min_length).drop("example")
     median = corpus.groupBy("owner_id").agg(F.percentile("words", F.lit(0.5)).alias("median"))
-    rows = (
-        corpus.select("owner_id", "seq", "words", F.coalesce("score", F.lit(0.0)).alias("score"),
-                      one_line("body").alias("example"))
-        .filter(F.length("example") >= min_length).join(median, "owner_id")
-        .withColumn("distance", F.abs(F.col("words") - F.col("median")))
-    )
+    # Ranked on numbers; the texts of the few picked rows are fetched afterwards.
+    rows = slim.join(median, "owner_id").withColumn(
+        "distance", F.abs(F.col("words") - F.col("median")))
     typical = top_k(rows, ["owner_id"], [F.asc("distance"), F.asc("seq")], representative)
     liked = top_k(rows, ["owner_id"], [F.desc("score"), F.asc("seq")], engaging)
-    return typical.withColumn("kind", F.lit("representative")).unionByName(
-        liked.withColumn("kind", F.lit("engaging"))
-    ).select("owner_id", "kind", "rank", "seq", "example")
+    picked = typical.withColumn("kind", F.lit("representative")).unionByName(
+        liked.withColumn("kind", F.lit("engaging"))).select("owner_id", "seq", "kind", "rank")
+    return sized.select("owner_id", "seq", "example").join(picked, ["owner_id", "seq"]).select(
+        "owner_id", "kind", "rank", "seq", "example")
 
 
 def rows_of_year(rows: DataFrame, anchors: DataFrame, years_ago: int) -> DataFrame:
     """Rows of the calendar year ``years_ago`` before each owner's newest dated row."""
     year = anchors.groupBy("owner_id").agg(
         (F.year(F.max("created_at")) - years_ago).cast("long").alias("target_year"))
+    year = broadcast_if_small(year, MAX_OWNERS)
     return rows.join(year, "owner_id").filter(F.year("created_at") == F.col("target_year"))
 
 

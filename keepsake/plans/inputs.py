@@ -92,6 +92,10 @@ def sql(body: str) -> str:
     return f"WITH {views} {body}"
 
 
+# Tables whose rows take much work each.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 class Tables:
     """The driver's tables and the views over them."""
 
@@ -103,7 +107,15 @@ class Tables:
         for f in df.schema.fields:
             if f.dataType.typeName() == "timestamp_ntz":
                 df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
-        return df
+        return self._spread(df) if name in TEXT_TABLES else df
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Text that comes in fewer splits than there are cores is dealt out before the work on it.
+
+        A table of many files has more splits than cores and stays as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     @staticmethod
     def owner(number: str) -> Column:
