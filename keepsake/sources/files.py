@@ -29,7 +29,7 @@ def read_whole(spark: SparkSession, root: str, glob: str, owner: Column | None =
     """Files below a folder, one row each. Folders that cannot be read are skipped."""
     rows = (
         spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-        .option("pathGlobFilter", glob).option("wholetext", "true").text(root)
+        .option("pathGlobFilter", glob).text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
     return rows.select((owner if owner is not None else owner_from_path()).alias("owner_id"),
