@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.lexicons import KNOWLEDGE_STOP_WORDS, STYLE_STOP_WORDS
 from keepsake.functions.text import clip, hosts, strip, tokens
 from keepsake.functions.times import hour_of_day
-from keepsake.operators.ranking import top_counts, top_k
+from keepsake.operators.ranking import top_counts
 
 
 def titled(title: str = "title", body: str = "body") -> Column:

@@ -12,7 +12,7 @@ from keepsake.functions.lexicons import (
     COMPARE_NEGATIVE, COMPARE_POSITIVE, TREND_NEGATIVE, TREND_POSITIVE,
 )
 from keepsake.functions.text import (
-    any_word, bounded, clip, hits, person_slug, phrase_variants, snippet, strip, tokens,
+    any_word, bounded, hits, person_slug, phrase_variants, snippet, strip, tokens,
 )
 from keepsake.functions.times import in_timeframe, in_window, quarter_key
 from keepsake.operators.ranking import (

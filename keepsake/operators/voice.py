@@ -12,7 +12,7 @@ from keepsake.functions.lexicons import (
     CONJUNCTIONS, CONTRACTIONS, HUMOUR, SERIOUS, SLANG, STYLE_STOP_WORDS,
 )
 from keepsake.functions.text import (
-    EMOJI, SPACE_RUN, any_word, bounded, clamp01, count_matches, ngrams, one_line, sentences,
+    EMOJI, any_word, bounded, clamp01, count_matches, ngrams, one_line, sentences,
     strip, tokens, word_count,
 )
 from keepsake.operators.ranking import MAX_OWNERS, broadcast_if_small, top_counts, top_k

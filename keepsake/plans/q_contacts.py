@@ -6,7 +6,6 @@ from keepsake.functions.lexicons import (
     BUSINESS_WORDS, CHAT_SLANG, CLASS_TONE, CLASS_WORDS, COMPANY_WORDS, SPAM_PATTERNS,
     TOPIC_STOP_WORDS,
 )
-from keepsake.functions.times import iso, iso_seconds
 from keepsake.operators import clusters, contacts
 from keepsake.plans import tables
 from keepsake.plans.q_corpus import STOP, TRIM, quoted

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import STANCE_NEGATIVE, STANCE_POSITIVE, STANCE_TOPICS
-from keepsake.operators import activity, corpus, insights
+from keepsake.operators import corpus, insights
 from keepsake.plans.q_corpus import DATED, LINKS, dated, linked
 from keepsake.plans.registry import query
 

@@ -9,7 +9,7 @@ from keepsake.functions.text import phrase_variants, tokens
 from keepsake.functions.lexicons import PHRASE_ABBREVIATIONS
 from keepsake.functions.lexicons import COMPARE_NEGATIVE, COMPARE_POSITIVE, TREND_NEGATIVE, TREND_POSITIVE
 from keepsake.operators import questions, retrieval
-from keepsake.plans.q_retrieval import FORUM, hits, snip
+from keepsake.plans.q_retrieval import FORUM, snip
 from keepsake.plans.registry import query
 
 NOW = "2024-06-01 12:30:00"

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import QUESTION_STOP_WORDS, TOPIC_STOP_WORDS
 from keepsake.functions.text import tokens
-from keepsake.operators import retrieval, voice
-from keepsake.plans.q_contacts import CLASS_WORDS, class_sql
+from keepsake.operators import retrieval
+from keepsake.plans.q_contacts import class_sql
 from keepsake.plans.q_corpus import TRIM, quoted
 from keepsake.plans.registry import query
 

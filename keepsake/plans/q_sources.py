@@ -6,7 +6,6 @@ and runs the importer on it.
 
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import strip, tokens
 from keepsake.plans.q_corpus import TRIM
 from keepsake.plans.registry import query
 from keepsake.sources import chat, files, forum, instagram, mail, social_csv, takeout
