@@ -8,21 +8,22 @@ from keepsake.plans.q_contacts import ISO
 from keepsake.plans.q_retrieval import ASKED, asked
 from keepsake.plans.registry import query
 
-# Stored: even events. Incoming: every third event twice, so it overlaps and repeats.
+# Stored: half of the events. Incoming: all of them, a third twice, so it overlaps and repeats.
 KEYED = rf"""k AS (SELECT seq, owner_id, source, kind, created_at, source || '|' || kind || '||' || {ISO} || '|'
         || substr(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1, 180) AS key FROM v_evt),
     old AS (SELECT * FROM k WHERE seq % 2 = 0),
-    inc AS (SELECT * FROM k WHERE seq % 3 = 0 UNION ALL SELECT * REPLACE (seq + 1000000 AS seq) FROM k WHERE seq % 3 = 0),
+    inc AS (SELECT * FROM k UNION ALL SELECT * REPLACE (seq + 1000000000000 AS seq) FROM k WHERE seq % 3 = 0),
     added AS (SELECT * FROM inc i WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.owner_id = i.owner_id AND o.key = i.key)
         QUALIFY row_number() OVER (PARTITION BY owner_id, key ORDER BY seq) = 1),
     merged AS (SELECT *, false AS imported FROM old UNION ALL SELECT *, true FROM added)"""
 
+REPEATED = 1_000_000_000_000
+
 
 def sides(t):
     e = t.dense().withColumn("external_id", F.lit(None).cast("string"))
-    third = e.filter(F.col("seq") % 3 == 0)
-    return e.filter(F.col("seq") % 2 == 0), third.unionByName(
-        third.withColumn("seq", F.col("seq") + 1_000_000))
+    again = e.filter(F.col("seq") % 3 == 0).withColumn("seq", F.col("seq") + REPEATED)
+    return e.filter(F.col("seq") % 2 == 0), e.unionByName(again)
 
 
 @query("inc_01_upsert_timeline", f"WITH {KEYED} SELECT owner_id, seq, imported FROM merged")

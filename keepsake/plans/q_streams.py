@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from keepsake.plans import tables
-from keepsake.plans.q_maintained import KEYED, sides, stored_at
+from keepsake.plans.q_maintained import KEYED, REPEATED, sides, stored_at
 from keepsake.plans.q_sessions import GAP, STEPS
 from keepsake.plans.registry import query
 from keepsake.streaming import session_stream, timeline_stream
@@ -15,9 +15,9 @@ def _(t):
     old, incoming = sides(t)
     tables.write_timeline(old, f"{path}/timeline")
     # Two drops; the second repeats the first under later numbers.
-    for half in (F.col("seq") < 1_000_000, F.col("seq") >= 1_000_000):
-        incoming.filter(half).coalesce(1).write.mode("append").parquet(f"{path}/landing")
-    rows = timeline_stream.landed(t.spark, f"{path}/landing", incoming.schema, files_per_batch=1)
+    for half in (F.col("seq") < REPEATED, F.col("seq") >= REPEATED):
+        incoming.filter(half).write.mode("append").parquet(f"{path}/landing")
+    rows = timeline_stream.landed(t.spark, f"{path}/landing", incoming.schema, files_per_batch=4)
     timeline_stream.import_continuously(
         rows, f"{path}/timeline", f"{path}/checkpoint", available_now=True).awaitTermination()
     return tables.read_timeline(t.spark, f"{path}/timeline").select("owner_id", "seq")
