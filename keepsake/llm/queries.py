@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import common, language, packing, quality, token_files
+from keepsake.llm import cleaning, common, language, packing, quality, token_files
 from keepsake.llm.common import remainder, table
 
 
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "top_passage")
 
 
+def op5_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned_text")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(common.prepared(spark), "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
@@ -42,8 +46,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op6_token_files, op8_language, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op5_cleaning, op6_token_files, op8_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_cleaning": cleaning.SQL}
