@@ -5,17 +5,21 @@ Column expressions only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOL, SIGN, BAR = r"[#*$%&|<>]", r"[#*$%&<>]", r"\|"
 WINDOW = 5
-# Phrases of page furniture, as a case-blind pattern both Java and RE2 read.
-BOILERPLATE = (
-    r"(?i)(lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies"
-    r"|enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share this|skip to content)"
-)
+# Phrases of page furniture, in lower case.
+BOILERPLATE = [
+    "lorem ipsum", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
+    "use cookies", "uses cookies", "enable javascript", "click here", "read more", "sign in", "sign up", "log in",
+    "login", "subscribe now", "subscribe to", "share this", "skip to content",
+]
 #: Shares, in hundredths: signs in a line, text a document may lose, repeated words.
 LINE_SYMBOLS, LOST, REPEATED = 10, 30, 20
 #: Bars of a navigation line, capitals of a shouted one, fewest words of a document.
@@ -23,12 +27,8 @@ BARS, CAPITALS, FEWEST = 3, 3, 10
 _LOW = (1 << 30) - 1
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def has_word(line: Column) -> Column:
-    return F.length(without(line, BLANKS)) > 0
+    return F.regexp_like(line, F.lit(WORD))
 
 
 def failed_rule(line: Column) -> Column:
@@ -36,8 +36,8 @@ def failed_rule(line: Column) -> Column:
 
     A line without a word breaks none.
     """
-    signs = F.length(line) - F.length(without(line, SYMBOLS.replace("|", "")))
-    bars = F.length(line) - F.length(without(line, "|"))
+    signs = F.regexp_count(line, F.lit(SIGN))
+    bars = F.regexp_count(line, F.lit(BAR))
     return (
         F.when(~has_word(line), F.lit(None).cast("string"))
         .when(100 * signs > LINE_SYMBOLS * F.length(line), "symbols")
@@ -45,12 +45,12 @@ def failed_rule(line: Column) -> Column:
         .when(~F.regexp_like(line, F.lit(r"\p{Ll}"))
               & F.regexp_like(line, F.lit(r"(\p{Lu}.*){%d}" % CAPITALS)), "shouting")
         .when(~F.regexp_like(line, F.lit(r"[.!?:;]")), "no_sentence")
-        .when(F.regexp_like(line, F.lit(BOILERPLATE)), "boilerplate")
+        .when(reduce(or_, [F.contains(F.lower(line), F.lit(p)) for p in BOILERPLATE]), "boilerplate")
     )
 
 
-def _length(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+def _length(texts: Column) -> Column:
+    return F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def clean(docs: DataFrame) -> DataFrame:
             "lost_chars", "base_failed", "kept", "cleaned_text"]
     kept = [f"`{c}`" for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * 5), " "), "")
-    rows = docs.select(*kept, F.struct(text.alias("text"), words.alias("words"), F.split(text, "\n").alias("lines")).alias("_d"))
+    words = F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0))
+    rows = docs.select(*kept, text.alias("_text"), words.alias("_words"), F.split(text, "\n").alias("_lines"))
 
     # Equal windows: neighbours in the sorted array of (34 bits of the hash, place), then compared by the whole hash.
     def window_hash(i: Column) -> Column:
-        return F.xxhash64(*[F.get(F.col("_d.words"), i + k) for k in range(WINDOW)])
+        return F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)])
 
-    size = F.size("_d.words")
+    size = F.size("_words")
     hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(0), size - WINDOW), window_hash)).otherwise(
         F.array().cast("array<bigint>"))
     rows = rows.withColumn("_h", hashes)
@@ -94,17 +94,17 @@ def clean(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda n, x: n + x)
-    rows = rows.withColumn("_l", F.filter("_d.lines", has_word))
+    rows = rows.withColumn("_l", F.filter("_lines", has_word))
     rows = rows.withColumn("_bad", F.filter("_l", lambda x: failed_rule(x).isNotNull()))
-    n_words, whole = F.size("_d.words").cast("long"), F.col("_d.text")
+    n_words, whole = F.size("_words").cast("long"), F.col("_text")
     rows = rows.select(
-        *kept, n_words.alias("n_words"), F.length(without(whole, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(whole) - F.length(without(whole, SYMBOLS))).cast("long").alias("n_symbols"),
+        *kept, n_words.alias("n_words"), _length(F.col("_words")).alias("word_chars"),
+        F.regexp_count(whole, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"), F.size("_l").cast("long").alias("n_lines"),
         F.size("_bad").cast("long").alias("n_bad_lines"), _length(F.col("_bad")).alias("lost_chars"),
         _length(F.col("_l")).alias("_chars"),
-        F.array_join(F.filter("_d.lines", lambda x: failed_rule(x).isNull()), "\n").alias("cleaned_text"))
+        F.array_join(F.filter("_lines", lambda x: failed_rule(x).isNull()), "\n").alias("cleaned_text"))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST * F.col("_chars"))).drop("_chars")
@@ -132,7 +132,7 @@ judged AS (
       OR length(x) - length(translate(x, '|', '')) >= {BARS}
       OR (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '(\p{{Lu}}.*){{{CAPITALS}}}'))
       OR NOT regexp_matches(x, '[.!?:;]')
-      OR regexp_matches(x, '{BOILERPLATE}') AS bad
+      OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)} AS bad
     FROM (SELECT doc_id, unnest(l) AS x FROM d)) GROUP BY doc_id),
 counted AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
