@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import cleaning, common, language, packing, quality, token_files
+from keepsake.llm import cleaning, common, language, line_spread, packing, quality, revisits, token_files
 from keepsake.llm.common import remainder, table
 
 
@@ -24,6 +24,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "top_passage")
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "|")
+    return found.select("record_id", "response_id", F.unix_timestamp("response_at").alias("response_at"), "outcome",
+                        "payload_digest", shown.alias("headers"))
+
+
 def op5_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned_text")
 
@@ -41,13 +48,20 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"),
+                          F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_cleaning, op6_token_files, op8_language, op10_packing)}
+    return {f.__name__: f for f in (
+        op1_quality, op3_revisits, op5_cleaning, op6_token_files, op8_language, op9_line_spread, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_cleaning": cleaning.SQL}
+    return {"op3_revisits": revisits.SQL, "op5_cleaning": cleaning.SQL, "op9_line_spread": line_spread.SQL}
