@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import cleaning, common, language, line_spread, packing, quality, revisits, token_files
+from keepsake.llm import cleaning, common, language, line_spread, near_copies, packing, quality, revisits, token_files
 from keepsake.llm.common import remainder, table
 
 
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "top_passage")
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
     shown = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "|")
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality, op3_revisits, op5_cleaning, op6_token_files, op8_language, op9_line_spread, op10_packing)}
+        op1_quality, op2_near_copies, op3_revisits, op5_cleaning, op6_token_files, op8_language, op9_line_spread, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
