@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import common, language, packing, quality
+from keepsake.llm import common, language, line_spread, near_copies, packing, quality
 from keepsake.llm.common import remainder, table
 from keepsake.llm.queries import tokenizer
 
@@ -27,6 +27,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that many sources share; documents without any other text go."""
+    common.prepared(spark)
+    cleaned = line_spread.without_boilerplate(docs)
+    # n_chars follows the text, where the table has it.
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cleaned.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[\p{L}\p{N}]"))).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (similarity 0.8 of five-word shingles) stays: that of the smallest id."""
+    common.prepared(spark)
+    gone = near_copies.near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, with sequence and place."""
     common.prepared(spark)
@@ -36,6 +54,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("language_id", language_id),
     ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import cleaning, common, language, line_spread, near_copies, packing, quality, revisits, token_files
+from keepsake.llm import cleaning, common, language, line_spread, merge_replay, near_copies, order_minhash, packing, quality, revisits, token_files
 from keepsake.llm.common import remainder, table
 
 
@@ -35,6 +35,11 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "payload_digest", shown.alias("headers"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 def op5_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned_text")
 
@@ -45,6 +50,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    return merge_replay.digests(merge_replay.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -64,7 +77,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality, op2_near_copies, op3_revisits, op5_cleaning, op6_token_files, op8_language, op9_line_spread, op10_packing)}
+        op1_quality, op2_near_copies, op3_revisits, op4_order_minhash, op5_cleaning, op6_token_files, op7_merge_replay,
+        op8_language, op9_line_spread, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
