@@ -28,14 +28,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that many sources share; documents without any other text go."""
+    """Take out lines that many sources share; every document stays."""
     common.prepared(spark)
     cleaned = line_spread.without_boilerplate(docs)
     # n_chars follows the text, where the table has it.
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
             F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[\p{L}\p{N}]"))).select(*docs.columns)
+    return cleaned.select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

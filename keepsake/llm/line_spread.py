@@ -16,6 +16,8 @@ from keepsake.llm.common import written
 SITES, LG = 5, 12
 #: Estimates within this share of the threshold are counted exactly: ten standard errors.
 NEAR = 0.16
+#: Hundredths of its text above which a document keeps all of it.
+MOST_LOST = 70
 # White space of a line does not count, nor do lines without a letter or digit.
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -58,10 +60,12 @@ def boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR) -> Data
     return written(estimates.filter(F.col("n") > high).select("a", "b").unionByName(counted), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR) -> DataFrame:
+def without_boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR, most_lost: int = MOST_LOST) -> DataFrame:
     """All columns of ``docs`` with boilerplate lines taken from ``text``; then n_lines and n_removed.
 
-    Lines are equal if they differ only in white space and case; every occurrence goes. A null text stays null; rows
+    Lines are equal if they differ only in white space and case; every occurrence goes. A document that would lose
+    more than ``most_lost`` hundredths of its characters is a copy found on many sites, not a page with furniture: it
+    stays as it is, for near-duplicate removal to choose one of its kind. A null text stays null; rows
     are told apart by doc_id and a hash of the text, so repeated rows and ids stay. Extra columns pass.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -75,11 +79,13 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR)
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_t2"), "_gone")
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")), "left")
     stay = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    joined = joined.withColumn("_rest", F.when(F.col("_gone").isNotNull(), F.array_join(stay, "\n")))
+    furniture = 100 * (F.length("text") - F.length("_rest")) <= most_lost * F.length("text")
+    text = F.when(furniture, F.col("_rest")).otherwise(F.col("text"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+        F.when(furniture, F.size("_gone")).otherwise(0).cast("long").alias("n_removed"))
 
 
 #: The same as SQL, over whole tables and with exact counts.
@@ -93,8 +99,14 @@ keyed AS (
 bad AS (SELECT norm FROM keyed WHERE norm IS NOT NULL GROUP BY norm HAVING count(DISTINCT site) >= {SITES}),
 flagged AS (SELECT k.*, b.norm IS NOT NULL AS gone FROM keyed k LEFT JOIN bad b ON k.norm = b.norm),
 cleaned AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-  FROM flagged GROUP BY doc_id)
-SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM cleaned
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest
+  FROM flagged GROUP BY doc_id),
+chosen AS (
+  SELECT doc_id, n_lines, n_gone, rest, d.text,
+    100 * (length(d.text) - length(rest)) <= {MOST_LOST} * length(d.text) AS furniture
+  FROM cleaned JOIN documents d USING (doc_id))
+SELECT doc_id, n_lines, CASE WHEN furniture THEN n_gone ELSE 0 END AS n_removed,
+  length(CASE WHEN furniture THEN rest ELSE text END) AS n_chars_left,
+  sha256(CASE WHEN furniture THEN rest ELSE text END) AS text_sha256 FROM chosen
 """
