@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,36 +15,49 @@ from keepsake.llm.common import remainder, table
 from keepsake.llm.queries import tokenizer
 
 
+def beside(docs: DataFrame, made: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` as ``change`` returns them; those named like what it makes stand aside meanwhile."""
+    p = common.prefix(docs)
+    aside = {c: p + c for c in docs.columns if c.lower() in made}
+    changed = change(docs.withColumnsRenamed(aside))
+    return changed.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known and not ambiguous."""
     common.prepared(spark)
     model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    known = (F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")
+    return beside(docs, ["lang_pred", "score", "ambiguous"], lambda d: language.identify(d, model).filter(known))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier counts as good."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return quality.score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
+    good = F.col("predicted") == 1
+    return beside(docs, ["score", "predicted", "top_passage"], lambda d: quality.score(d, model).filter(good))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that many sources share; every document stays."""
+    """Take out lines that many sources share; every document stays. n_chars, where there is one, follows the text."""
     common.prepared(spark)
-    cleaned = line_spread.without_boilerplate(docs)
-    # n_chars follows the text, where the table has it.
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
-            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+
+    def cleaned(d: DataFrame) -> DataFrame:
+        out = line_spread.without_boilerplate(d)
+        if "n_chars" not in d.columns:
+            return out
+        left = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        return out.withColumn("n_chars", left.cast(d.schema["n_chars"].dataType))
+
+    return beside(docs, ["n_lines", "n_removed"], cleaned)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 of five-word shingles) stays: that of the smallest id."""
     common.prepared(spark)
-    gone = near_copies.near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    other = f"{common.prefix(docs)}gone"
+    gone = near_copies.near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.llm.common import passing, prefix
+
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL, SIGN, BAR = r"[#*$%&|<>]", r"[#*$%&<>]", r"\|"
 WINDOW = 5
@@ -62,52 +64,54 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines",
             "lost_chars", "base_failed", "kept", "cleaned_text"]
-    kept = [f"`{c}`" for c in docs.columns if c not in made]
+    kept, p = [f"`{c}`" for c in passing(docs, made)], prefix(docs)
+    words_, text_, lines_, hashes_, sorted_, alike_, places_, full_, bad_, chars_ = (p + n for n in (
+        "words", "text", "lines", "hashes", "sorted", "alike", "places", "full", "bad", "chars"))
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0))
-    rows = docs.select(*kept, text.alias("_text"), words.alias("_words"), F.split(text, "\n").alias("_lines"))
+    rows = docs.select(*kept, text.alias(text_), words.alias(words_), F.split(text, "\n").alias(lines_))
 
     # Equal windows: neighbours in the sorted array of (34 bits of the hash, place), then compared by the whole hash.
     def window_hash(i: Column) -> Column:
-        return F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)])
+        return F.xxhash64(*[F.get(F.col(words_), i + k) for k in range(WINDOW)])
 
-    size = F.size("_words")
+    size = F.size(words_)
     hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(0), size - WINDOW), window_hash)).otherwise(
         F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_h", hashes)
-    rows = rows.withColumn("_s", F.sort_array(F.transform(
-        "_h", lambda h, i: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))))
+    rows = rows.withColumn(hashes_, hashes)
+    rows = rows.withColumn(sorted_, F.sort_array(F.transform(
+        hashes_, lambda h, i: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))))
 
     def near(a: Column, b: Column) -> Column:
         return F.coalesce(F.shiftright(a.bitwiseXOR(b), 30) == 0, F.lit(False))
 
-    alike = F.filter("_s", lambda x, i: near(x, F.get(F.col("_s"), i - 1)) | near(x, F.get(F.col("_s"), i + 1)))
-    rows = rows.withColumn("_c", F.sort_array(F.transform(alike, lambda x: F.struct(
-        F.get(F.col("_h"), x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("h"),
+    alike = F.filter(sorted_, lambda x, i: near(x, F.get(F.col(sorted_), i - 1)) | near(x, F.get(F.col(sorted_), i + 1)))
+    rows = rows.withColumn(alike_, F.sort_array(F.transform(alike, lambda x: F.struct(
+        F.get(F.col(hashes_), x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("h"),
         x.bitwiseAND(F.lit(_LOW)).cast("int").alias("p")))))
 
     def same(a: Column, b: Column) -> Column:
         return F.coalesce(a["h"] == b["h"], F.lit(False))
 
-    repeated = F.filter("_c", lambda x, i: same(x, F.get(F.col("_c"), i - 1)) | same(x, F.get(F.col("_c"), i + 1)))
-    rows = rows.withColumn("_p", F.sort_array(F.transform(repeated, lambda x: x["p"])))
+    repeated = F.filter(alike_, lambda x, i: same(x, F.get(F.col(alike_), i - 1)) | same(x, F.get(F.col(alike_), i + 1)))
+    rows = rows.withColumn(places_, F.sort_array(F.transform(repeated, lambda x: x["p"])))
     covered = F.aggregate(
-        F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), i + 1) - p, F.lit(WINDOW)))),
+        F.transform(places_, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(places_), i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda n, x: n + x)
-    rows = rows.withColumn("_l", F.filter("_lines", has_word))
-    rows = rows.withColumn("_bad", F.filter("_l", lambda x: failed_rule(x).isNotNull()))
-    n_words, whole = F.size("_words").cast("long"), F.col("_text")
+    rows = rows.withColumn(full_, F.filter(lines_, has_word))
+    rows = rows.withColumn(bad_, F.filter(full_, lambda x: failed_rule(x).isNotNull()))
+    n_words, whole = F.size(words_).cast("long"), F.col(text_)
     rows = rows.select(
-        *kept, n_words.alias("n_words"), _length(F.col("_words")).alias("word_chars"),
+        *kept, n_words.alias("n_words"), _length(F.col(words_)).alias("word_chars"),
         F.regexp_count(whole, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"), F.size("_l").cast("long").alias("n_lines"),
-        F.size("_bad").cast("long").alias("n_bad_lines"), _length(F.col("_bad")).alias("lost_chars"),
-        _length(F.col("_l")).alias("_chars"),
-        F.array_join(F.filter("_lines", lambda x: failed_rule(x).isNull()), "\n").alias("cleaned_text"))
+        (F.size(full_) - F.size(F.array_distinct(full_))).cast("long").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"), F.size(full_).cast("long").alias("n_lines"),
+        F.size(bad_).cast("long").alias("n_bad_lines"), _length(F.col(bad_)).alias("lost_chars"),
+        _length(F.col(full_)).alias(chars_),
+        F.array_join(F.filter(lines_, lambda x: failed_rule(x).isNull()), "\n").alias("cleaned_text"))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST * F.col("_chars"))).drop("_chars")
+        "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST * F.col(chars_))).drop(chars_)
 
 
 #: The same as SQL; a document is told by its id.

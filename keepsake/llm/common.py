@@ -42,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(df: DataFrame, made: list[str]) -> list[str]:
+    """Columns of ``df`` that pass through: all but those named like one of ``made``, in whatever case."""
+    taken = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def prefix(df: DataFrame) -> str:
+    """Underscores enough that no column of ``df`` begins with them."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(of))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import blocks, passed, text_bytes
+from keepsake.llm.common import blocks, passed, passing, prefix, text_bytes
 from keepsake.operators.ranking import top_k
 
 BINS = 2048
@@ -56,7 +56,7 @@ def codewords(languages: int) -> np.ndarray:
     """+1 or -1 for each language and bit: all splits of few languages, else the best of some random codes."""
     if languages <= EXHAUSTIVE:
         splits = [(1, *rest) for rest in itertools.product((1, -1), repeat=max(languages - 1, 0)) if -1 in rest]
-        return np.array(splits, np.int64).reshape(-1, languages).T
+        return np.array(splits, np.int64).reshape(len(splits), languages).T
     rng, bits = np.random.default_rng(8), int(np.ceil(10 * np.log2(languages)))
     def apart(code):
         agree = code @ code.T - 2 * bits * np.eye(languages, dtype=np.int64)
@@ -104,6 +104,7 @@ def learn(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) ->
 
     Rows without id, text or lang teach nothing. Only features of the sample come to the driver.
     """
+    docs = docs.select("doc_id", "text", "lang")
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                        & (F.length("text") > 0)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     rows = rows.withColumn("_order", F.xxhash64("_id"))
@@ -122,14 +123,14 @@ def identify(docs: DataFrame, model: LanguageModel, lead: float = LEAD) -> DataF
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no language was learned.
     """
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "ambiguous")]
-    names = [f.name for f in fields]
+    names = passing(docs, ["lang_pred", "score", "ambiguous"])
+    fields, flag = [docs.schema[n] for n in names], f"{prefix(docs)}lettered"
     # In Spark, for the whole text; only rows with a letter reach the classifiers.
     lettered = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def predict(t: pa.Table) -> pa.Table:
-        known = t.column("_lettered").to_numpy() & bool(model.names)
+        known = t.column(flag).to_numpy() & bool(model.names)
         pred, score, lead_of = np.full(len(t), UNKNOWN, object), np.zeros(len(t)), np.ones(len(t))
         if known.any():
             data, starts = text_bytes(t.column("text"))
@@ -143,5 +144,5 @@ def identify(docs: DataFrame, model: LanguageModel, lead: float = LEAD) -> DataF
         return t.append_column("lang_pred", pa.array(pred, pa.string())).append_column(
             "score", pa.array(score)).append_column("ambiguous", pa.array(lead_of < lead))
 
-    return passed(docs.select(*[F.col(f"`{n}`") for n in names], lettered.alias("_lettered")), predict,
+    return passed(docs.select(*[F.col(f"`{n}`") for n in names], lettered.alias(flag)), predict,
                   f"{schema}, lang_pred string, score double, ambiguous boolean")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import written
+from keepsake.llm.common import passing, prefix, written
 
 #: Sites from which on a line is boilerplate; log2 of a sketch's registers (error about 1.6 %).
 SITES, LG = 5, 12
@@ -68,24 +68,25 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR,
     stays as it is, for near-duplicate removal to choose one of its kind. A null text stays null; rows
     are told apart by doc_id and a hash of the text, so repeated rows and ids stay. Extra columns pass.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept, p = passing(docs, ["n_lines", "n_removed"]), prefix(docs)
+    key, of, other, lost, rest = (p + n for n in ("key", "of", "other", "lost", "rest"))
     bad = boilerplate(docs, sites, near)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64("text").alias("_t"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64("text").alias(key))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), _hashed(x).alias("h")))
-    placed = keyed.select("doc_id", "_t", F.explode(lines).alias("x")).filter(F.col("x.h").isNotNull()).select(
-        "doc_id", "_t", F.col("x.i").alias("i"), F.col("x.h.a").alias("a"), F.col("x.h.b").alias("b"))
+    placed = keyed.select("doc_id", key, F.explode(lines).alias("x")).filter(F.col("x.h").isNotNull()).select(
+        "doc_id", key, F.col("x.i").alias("i"), F.col("x.h.a").alias("a"), F.col("x.h.b").alias("b"))
     # At most the lines of one document come together.
-    gone = placed.join(bad, ["a", "b"]).groupBy("doc_id", "_t").agg(F.collect_set("i").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_t2"), "_gone")
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")), "left")
-    stay = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    joined = joined.withColumn("_rest", F.when(F.col("_gone").isNotNull(), F.array_join(stay, "\n")))
-    furniture = 100 * (F.length("text") - F.length("_rest")) <= most_lost * F.length("text")
-    text = F.when(furniture, F.col("_rest")).otherwise(F.col("text"))
+    gone = placed.join(bad, ["a", "b"]).groupBy("doc_id", key).agg(F.collect_set("i").alias(lost)).select(
+        F.col("doc_id").alias(of), F.col(key).alias(other), lost)
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(other)), "left")
+    stay = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(lost), i))
+    joined = joined.withColumn(rest, F.when(F.col(lost).isNotNull(), F.array_join(stay, "\n")))
+    furniture = 100 * (F.length("text") - F.length(rest)) <= most_lost * F.length("text")
+    text = F.when(furniture, F.col(rest)).otherwise(F.col("text"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(furniture, F.size("_gone")).otherwise(0).cast("long").alias("n_removed"))
+        F.when(furniture, F.size(lost)).otherwise(0).cast("long").alias("n_removed"))
 
 
 #: The same as SQL, over whole tables and with exact counts.

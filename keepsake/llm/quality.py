@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import blocks, passed, text_bytes
+from keepsake.llm.common import blocks, passed, passing, text_bytes
 
 #: Bytes of a passage, about.
 PASSAGE = 512
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & allowed).groupBy(
         F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter(
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter(
         F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("_id", "_good", "text")
 
     def bags(t: pa.Table) -> pa.Table:
@@ -175,8 +175,8 @@ def score(docs: DataFrame, model: Attention, good: float = GOOD) -> DataFrame:
 
     Null texts count as empty: one passage without features. Only ``text`` is read by the model.
     """
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted", "top_passage")]
-    names = [f.name for f in fields]
+    names = passing(docs, ["score", "predicted", "top_passage"])
+    fields = [docs.schema[n] for n in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def rate(t: pa.Table) -> pa.Table:
