@@ -70,7 +70,12 @@ def names_match(a: Column, b: Column) -> Column:
 
 
 def match_names(events: DataFrame, targets: DataFrame, normalize=person_words) -> DataFrame:
-    """Which participant names fit which asked-for name: ``(owner_id, name, target)``.
+    """Which participant names fit which asked-for name: ``(owner_id, name, target)``."""
+    return _matched_names(events, targets, normalize).drop("target_plain")
+
+
+def _matched_names(events: DataFrame, targets: DataFrame, normalize) -> DataFrame:
+    """The same with the asked-for name as it is compared.
 
     Names are reduced to distinct ones first. The asked-for names of an owner travel as one array
     (a request lists a few), so no pair is formed that does not match.
@@ -80,23 +85,26 @@ def match_names(events: DataFrame, targets: DataFrame, normalize=person_words) -
         .filter(F.col("name").isNotNull()).distinct()
     )
     asked = bounded_lists(targets.select("owner_id", "target").distinct().withColumn(
-        "plain", normalize(F.col("target"))), ["owner_id"], ["target", "plain"], ["target"], "targets")
+        "plain", normalize(F.col("target"))), ["owner_id"], ["target", "plain"], "targets")
     fits = F.filter("targets", lambda x: names_match(F.col("plain"), x["plain"]))
     return (
         names.withColumn("plain", normalize(F.col("name"))).join(asked, "owner_id")
-        .select("owner_id", "name", F.explode(fits["target"]).alias("target"))
+        .select("owner_id", "name", F.explode(fits).alias("t"))
+        .select("owner_id", "name", "t.target", F.col("t.plain").alias("target_plain"))
     )
 
 
 def events_with(events: DataFrame, targets: DataFrame, normalize=person_words) -> DataFrame:
     """Events in which a participant matches an asked-for name, once per (event, target).
 
-    Only events with a matching participant go through a shuffle, and that one is keyed by event.
+    Where several participants match, the row of the first name stays; each row can tell this by itself, so events
+    need no identity and no shuffle of their own.
     """
-    matched = match_names(events, targets, normalize)
+    matched = _matched_names(events, targets, normalize)
     hits = events.withColumn("name", F.explode(F.array_distinct("participants"))).join(
         matched, ["owner_id", "name"])
-    return keep_first(hits, ["owner_id", "seq", "target"], [F.asc("name")]).drop("name")
+    fitting = F.filter("participants", lambda p: names_match(normalize(p), F.col("target_plain")))
+    return hits.filter(F.col("name") == F.array_min(fitting)).drop("name", "target_plain")
 
 
 def recent_with(events: DataFrame, targets: DataFrame, n: int = 50) -> DataFrame:

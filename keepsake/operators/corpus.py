@@ -31,21 +31,22 @@ def all_texts(comments: DataFrame, posts: DataFrame, saved: DataFrame, upvoted:
 
 
 def dated_texts(comments: DataFrame, posts: DataFrame, events: DataFrame,
-                tz: str | None = None) -> DataFrame:
-    """Texts that have a date, clipped, with their hour."""
-    def part(df, source, text):
-        return df.select("owner_id", source.alias("source"), "created_at", "seq",
-                         strip(text).alias("text"))
+                tz: str | None = None, most: int | None = None) -> DataFrame:
+    """Texts that have a date, with their hour and the place of their table; cut if ``most`` is given."""
+    def part(df, place, source, text):
+        text = strip(text)
+        return df.select("owner_id", source.alias("source"), "created_at", "seq", F.lit(place).alias("place"),
+                         text.alias("text"))
 
     forum = F.lit("reddit")
     rows = (
-        part(comments, forum, F.coalesce("body", F.lit("")))
-        .unionByName(part(posts, forum, titled()))
-        .unionByName(part(events, F.col("source"), F.coalesce("text", F.lit(""))))
+        part(comments, 0, forum, F.coalesce("body", F.lit("")))
+        .unionByName(part(posts, 1, forum, titled()))
+        .unionByName(part(events, 2, F.col("source"), F.coalesce("text", F.lit(""))))
     )
     return (
         rows.filter(F.col("created_at").isNotNull() & (F.col("text") != ""))
-        .withColumn("text", clip("text", 1800))
+        .withColumn("text", F.col("text") if most is None else clip("text", most))
         .withColumn("hour", hour_of_day("created_at", tz))
     )
 

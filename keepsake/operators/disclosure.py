@@ -42,7 +42,7 @@ def case_messages(events: DataFrame, cases: DataFrame) -> DataFrame:
     with_contact = events_with(sms, targets, _lower).withColumnRenamed("target", "contact")
     listed = bounded_lists(
         cases.select(*CASE).distinct().withColumn("terms", topic_terms("topic")),
-        ["owner_id", "contact"], ["topic", "terms"], ["topic"], "topics")
+        ["owner_id", "contact"], ["topic", "terms"], "topics")
     low = F.col("low")
     named = F.filter("topics", lambda x: hits_of(low, x["terms"]) > 0)
     return (

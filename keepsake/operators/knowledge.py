@@ -42,28 +42,30 @@ def resolve(incoming: DataFrame, index: DataFrame) -> DataFrame:
     """Incoming mentions with the entity they belong to.
 
     By name, else by the first alias that is known. Unknown mentions of one name become one entity;
-    a mention whose alias is the name of another new entity joins that one.
+    a mention whose alias is the name of another new entity joins that one. Numbers only order the mentions: equal
+    ones, as of two imports, are told apart by what they name.
     """
+    incoming = incoming.withColumn("_said", F.md5(F.concat_ws("\u0001", "canonical_name", F.coalesce("aliases", F.array().cast("array<string>")))))
+    mention = ["owner_id", "seq", "_said"]
     probe = incoming.select(
-        "owner_id", "seq", F.posexplode(F.concat(
+        *mention, F.posexplode(F.concat(
             F.array(name_key("canonical_name")),
             F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key))
         ).alias("position", "alias"))
     probe = probe.filter((F.col("position") == 0) | (F.length("alias") >= 2)).filter("alias <> ''")
 
     def first_match(found: DataFrame, name: str) -> DataFrame:
-        return keep_first(found, ["owner_id", "seq"], [F.asc("position")]).select(
-            "owner_id", "seq", F.col("entity_id").alias(name))
+        return keep_first(found, mention, [F.asc("position")]).select(
+            *mention, F.col("entity_id").alias(name))
 
     stored = first_match(probe.join(index.drop("kind"), ["owner_id", "alias"]), "stored_id")
-    tagged = incoming.join(stored, ["owner_id", "seq"], "left")
+    tagged = incoming.join(stored, mention, "left")
     fresh = tagged.filter("stored_id IS NULL")
     heads = fresh.groupBy("owner_id", name_key("canonical_name").alias("alias")).agg(
         F.min("seq").alias("first_seq"))
     linked = (
         probe.filter("position > 0").join(
-            fresh.select("owner_id", "seq", name_key("canonical_name").alias("own")),
-            ["owner_id", "seq"])
+            fresh.select(*mention, name_key("canonical_name").alias("own")).distinct(), mention)
         .join(heads, ["owner_id", "alias"]).filter("alias <> own AND first_seq < seq")
     )
     # A name follows the link of its first mention.
@@ -75,7 +77,7 @@ def resolve(incoming: DataFrame, index: DataFrame) -> DataFrame:
         target, ["owner_id", "own"], "left")
     made = new_id(F.col("owner_id"), F.coalesce("head", "own"))
     return keyed.withColumn("entity_id", F.coalesce("stored_id", made)).withColumn(
-        "is_new", F.col("stored_id").isNull()).drop("stored_id", "own", "head")
+        "is_new", F.col("stored_id").isNull()).drop("stored_id", "own", "head", "_said")
 
 
 def merge_entities(stored: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:

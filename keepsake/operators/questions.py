@@ -127,7 +127,7 @@ def lexical_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
     lists = listed.groupBy("owner_id", "question_id").agg(
         F.array_sort(F.collect_list(F.struct("form_no", "words", "pattern"))).alias("forms"))
     per_owner = broadcast_if_small(bounded_lists(
-        lists, OWNER, ["question_id", "forms"], ["question_id"], "asked"), MAX_LISTS)
+        lists, OWNER, ["question_id", "forms"], "asked"), MAX_LISTS)
     low = F.col("low")
 
     def count_form(f: Column) -> Column:
@@ -166,7 +166,7 @@ def time_period_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Texts inside the asked period. Periods of an owner's questions are few, so they come as a list."""
     flat = asked.select(*ASK, "timeframe.start", "timeframe.end")
     periods = broadcast_if_small(bounded_lists(
-        flat, OWNER, ["question_id", "start", "end"], ["question_id"], "periods"), MAX_LISTS)
+        flat, OWNER, ["question_id", "start", "end"], "periods"), MAX_LISTS)
     fits = F.filter("periods", lambda p: in_timeframe("created_at", p["start"], p["end"]))
     return (
         rows.join(periods, OWNER).withColumn("_p", F.explode(fits))

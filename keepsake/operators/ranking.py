@@ -45,12 +45,14 @@ def top_k(
     )
 
 
-def bounded_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str],
-                  name: str, size: int = 500) -> DataFrame:
-    """Rows of each group as lists of at most ``size`` entries, several rows where one is not enough."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+def bounded_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, size: int = 500) -> DataFrame:
+    """Rows of each group as lists of about ``size`` entries, several rows where one is not enough.
+
+    A hash deals the rows of a group to as many lists as its count asks for, so no task sees a whole group.
+    """
+    lists = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_lists"))
     return (
-        df.withColumn("_list", F.floor(place / size)).groupBy(*keys, "_list")
+        df.join(lists, list(keys)).withColumn("_list", F.pmod(F.xxhash64(*fields), F.col("_lists"))).groupBy(*keys, "_list")
         .agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_list")
     )
 

@@ -58,7 +58,7 @@ def request_lists(requests: DataFrame, group: Sequence[str] = OWNER, full: bool
     """Requests of a group as bounded lists. A batch of requests is small next to the texts; where a
     count confirms it, the lists are broadcast and the texts stay in place."""
     fields = ["question_id", "terms", *(["phrase"] if full else [])]
-    lists = bounded_lists(requests, group, fields, ["question_id"], "requests", LIST_SIZE)
+    lists = bounded_lists(requests, group, fields, "requests", LIST_SIZE)
     return broadcast_if_small(lists, MAX_LISTS)
 
 

@@ -78,18 +78,18 @@ def source_counts(comments: DataFrame, posts: DataFrame, slices: DataFrame) -> D
         *[F.count_if(F.col("slice") == s).alias(s) for s in SLICES])
 
 
-def training_set(slices: DataFrame, most: int = 5000) -> DataFrame:
-    """The best items of each owner, in order."""
+def training_set(slices: DataFrame, most: int | None = None) -> DataFrame:
+    """The best items of each owner, in order; all of them unless ``most`` is given."""
     scored = slices.withColumn("quality", content_score("text", "score"))
     return top_k(scored, OWNER, [
         F.desc("quality"), F.desc("score"), F.asc("slice"), F.asc("seq")], most)
 
 
-def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_chars: int = 900,
+def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_chars: int | None = None,
          separator: int = 7) -> DataFrame:
     """Batch numbers for ranked texts: close a batch when items or characters would pass the cap.
 
-    The walk needs only lengths. An owner's rows are capped by ``training_set`` beforehand; they
+    The walk needs only lengths. They
     stream in rank order through a partition, with the open batch carried along.
     """
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,8 @@ def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_c
                 numbers.append(batch_no)
             yield batch.assign(batch=numbers)
 
-    sized = ranked.withColumn("text", clip(strip("text"), item_chars)).filter("text <> ''")
+    text = strip("text")
+    sized = ranked.withColumn("text", text if item_chars is None else clip(text, item_chars)).filter("text <> ''")
     lengths = sized.select("owner_id", "rank", F.length("text").cast("long").alias("chars"))
     numbered = (
         lengths.repartition("owner_id").sortWithinPartitions("owner_id", "rank")

@@ -144,17 +144,18 @@ def example_texts(corpus: DataFrame, representative: int = 10, engaging: int = 5
                   min_length: int = 80) -> DataFrame:
     """Texts of nearly median length, and those with the highest scores."""
     sized = corpus.select("owner_id", "seq", "words", F.coalesce("score", F.lit(0.0)).alias("score"),
-                          one_line("body").alias("example"))
+                          one_line("body").alias("example")).withColumn("_text", F.md5("example"))
     slim = sized.filter(F.length("example") >= min_length).drop("example")
     median = corpus.groupBy("owner_id").agg(F.percentile("words", F.lit(0.5)).alias("median"))
     # Ranked on numbers; the texts of the few picked rows are fetched afterwards.
     rows = slim.join(median, "owner_id").withColumn(
         "distance", F.abs(F.col("words") - F.col("median")))
-    typical = top_k(rows, ["owner_id"], [F.asc("distance"), F.asc("seq")], representative)
-    liked = top_k(rows, ["owner_id"], [F.desc("score"), F.asc("seq")], engaging)
+    typical = top_k(rows, ["owner_id"], [F.asc("distance"), F.asc("seq"), F.asc("_text")], representative)
+    liked = top_k(rows, ["owner_id"], [F.desc("score"), F.asc("seq"), F.asc("_text")], engaging)
     picked = typical.withColumn("kind", F.lit("representative")).unionByName(
-        liked.withColumn("kind", F.lit("engaging"))).select("owner_id", "seq", "kind", "rank")
-    return sized.select("owner_id", "seq", "example").join(picked, ["owner_id", "seq"]).select(
+        liked.withColumn("kind", F.lit("engaging"))).select("owner_id", "seq", "_text", "kind", "rank")
+    key = ["owner_id", "seq", "_text"]
+    return sized.select(*key, "example").dropDuplicates(key).join(picked, key).select(
         "owner_id", "kind", "rank", "seq", "example")
 
 

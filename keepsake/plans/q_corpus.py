@@ -125,7 +125,7 @@ DATED = f"""(SELECT owner_id, source, created_at, seq, substr(text, 1, 1800) AS
 
 
 def dated(t):
-    return corpus.dated_texts(t.comments(), t.posts(), t.timeline())
+    return corpus.dated_texts(t.comments(), t.posts(), t.timeline(), most=1800)
 
 
 @query("set_02_dated_texts", f"""

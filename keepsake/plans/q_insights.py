@@ -105,10 +105,10 @@ def either(words):
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
-def stance_sql(topics, pro, con, days, texts=DATED):
+def stance_sql(topics, pro, con, days, texts):
     tagged = " UNION ALL ".join(
         f"SELECT *, '{n}' AS topic FROM dt WHERE {either(k)}" for n, k in topics.items())
-    return f"""dt AS (SELECT *, CASE source WHEN 'reddit' THEN 0 ELSE 1 END * 10000000000 + seq AS at_no
+    return f"""dt AS (SELECT *, place * 10000000000 + seq AS at_no
         FROM {texts} WHERE source <> 'chrome'), tg AS ({tagged}),
     sided AS (SELECT owner_id, topic, count(*) AS texts, min(at_no) FILTER ({either(pro)}) AS positive_at,
             min(at_no) FILTER ({either(con)}) AS negative_at,
@@ -120,17 +120,18 @@ def stance_sql(topics, pro, con, days, texts=DATED):
 
 
 def placed(t):
-    """Texts of one kind per owner in corpus order. Posts share numbers with comments, so they stay out."""
-    rows = corpus.dated_texts(t.comments(), t.posts().limit(0), t.messages())
-    first = F.when(F.col("source") == "reddit", 0).otherwise(1).cast("long")
-    return rows.withColumn("corpus_seq", first * F.lit(10_000_000_000) + F.col("seq"))
+    """Texts in corpus order: comments, posts, messages, each table by its own numbers."""
+    rows = corpus.dated_texts(t.comments(), t.posts(), t.messages(), most=1800)
+    return rows.withColumn("corpus_seq", F.col("place") * F.lit(10_000_000_000) + F.col("seq"))
 
 
-NO_POSTS = """(SELECT owner_id, 'reddit' AS source, created_at, seq, substr(trim(body, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 1800) AS text FROM v_comment
-    UNION ALL SELECT owner_id, source, created_at, seq, substr(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 1800) FROM v_msg)"""
+STORED = "substr(trim({}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 1800)"
+PLACED = f"""(SELECT * FROM (SELECT owner_id, 'reddit' AS source, created_at, seq, 0 AS place, {STORED.format("body")} AS text FROM v_comment
+    UNION ALL SELECT owner_id, 'reddit', created_at, seq, 1, {STORED.format("title || chr(10) || body")} FROM v_post
+    UNION ALL SELECT owner_id, source, created_at, seq, 2, {STORED.format("text")} FROM v_msg) WHERE text <> '')"""
 
 
-@query("jn_08_contradictions", f"""WITH {stance_sql(TOPICS, PRO, CON, 0.001, NO_POSTS)}
+@query("jn_08_contradictions", f"""WITH {stance_sql(TOPICS, PRO, CON, 0.001, PLACED)}
     SELECT owner_id, topic, positive_at, negative_at, round(gap_days, 6) AS gap_days,
         row_number() OVER (PARTITION BY owner_id ORDER BY gap_days DESC, topic) AS rank FROM con
     QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY gap_days DESC, topic) <= 8""")
@@ -148,7 +149,7 @@ def _(t):
     return insights.corpus_flags(dated(t)).join(insights.long_texts(t.comments()), "owner_id")
 
 
-SCORES = f"""{PLATFORMS}, {GROWTH}, {stance_sql(STANCE_TOPICS, STANCE_POSITIVE, STANCE_NEGATIVE, 7, NO_POSTS)},
+SCORES = f"""{PLATFORMS}, {GROWTH}, {stance_sql(STANCE_TOPICS, STANCE_POSITIVE, STANCE_NEGATIVE, 7, PLACED)},
     nc AS (SELECT owner_id, count(*) AS conflicts FROM con GROUP BY 1),
     fl AS (SELECT owner_id, count(*) AS corpus, count(*) FILTER (hour(created_at) BETWEEN 0 AND 5) AS late_night
            FROM {DATED} GROUP BY 1),

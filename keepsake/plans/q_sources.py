@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from keepsake.plans.q_corpus import TRIM
 from keepsake.plans.registry import query
 from keepsake.sources import chat, files, forum, instagram, mail, social_csv, takeout
+from keepsake.sources.events import cut_texts
 
 MS = "epoch_us(created_at) // 1000"
 
@@ -17,6 +18,11 @@ def raw(df, content, path="'doc.json'"):
     return df.select("owner_id", F.expr(path).alias("path"), content.alias("content"))
 
 
+def stored(e, most=6000):
+    """The length at which the compared results were cut."""
+    return cut_texts(e, most)
+
+
 def show(df, *cols):
     """Dates as text."""
     for c in cols or ("created_at",):
@@ -117,7 +123,7 @@ def payload(t):
         contact || '@x.org|me@x.org|you@x.org' AS people, contact = 'user_7' AS is_user_message FROM v_msg""")
 def _(t):
     e = mail.json_events(raw(t.messages(), F.to_json(payload(t))), F.lit("user_7@"))
-    return show(e).select("owner_id", "external_id", "text", "created_at",
+    return show(stored(e)).select("owner_id", "external_id", "text", "created_at",
                           F.array_join("participants", "|").alias("people"), "is_user_message")
 
 
@@ -138,7 +144,7 @@ def _(t):
     # Two copies of a file hold each message once: split as the reader would.
     pieces = raw(m, box, "'a.mbox'").withColumn("content", F.regexp_replace("content", "^From ", "")).withColumn(
         "seq", F.monotonically_increasing_id())
-    return show(mail.mbox_events(pieces)).select("owner_id", "external_id", "text", "created_at")
+    return show(stored(mail.mbox_events(pieces))).select("owner_id", "external_id", "text", "created_at")
 
 
 @query("src_28_any_mail", """SELECT owner_id, count(*) AS mails FROM v_msg GROUP BY 1""")
@@ -160,7 +166,7 @@ def _(t):
         F.col("score").cast("string").alias("Points"))
     e = social_csv.events(rows, {"text": "body", "date": "When", "channel": "Place", "id": "Key"},
                           F.col("owner_id"))
-    return show(e).select("owner_id", "text", "created_at", "channel", "external_id",
+    return show(stored(e)).select("owner_id", "text", "created_at", "channel", "external_id",
                           F.col("metadata")["Points"].alias("score"))
 
 
@@ -209,7 +215,7 @@ PAGES = "(SELECT v.*, e.ts AS created_at, e.event_type, epoch_us(e.ts) AS us FRO
     UNION ALL SELECT owner_id, 'Bookmark: f' || page_id, NULL, NULL, NULL FROM {PAGES}""")
 def _(t):
     p = timed_pages(t).withColumn("us", F.col("us") + F.lit(11_644_473_600_000_000))
-    return show(takeout.bookmarks(raw(p, tree(t)))).select("owner_id", "text", "created_at", "external_id", "url")
+    return show(stored(takeout.bookmarks(raw(p, tree(t))))).select("owner_id", "text", "created_at", "external_id", "url")
 
 
 @query("src_13_browser_history", f"""
@@ -219,7 +225,7 @@ def _(t):
     visit = F.struct(F.col("event_type").alias("title"), "url", F.col("us").alias("time_usec"),
                      F.col("page_id").cast("string").alias("id"))
     doc = F.to_json(F.struct(F.array(visit).alias("Browser History")))
-    return show(takeout.history(raw(timed_pages(t), doc))).select("owner_id", "text", "created_at", "external_id")
+    return show(stored(takeout.history(raw(timed_pages(t), doc)))).select("owner_id", "text", "created_at", "external_id")
 
 
 @query("src_14_discover_feed", f"""
@@ -229,7 +235,7 @@ def _(t):
     item = F.struct(F.concat(F.when(F.col("page_id") % 2 == 0, "Discover ").otherwise("Other "), "event_type")
                     .alias("title"), F.col("url").alias("titleUrl"),
                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"))
-    return show(takeout.discover(raw(timed_pages(t), F.to_json(F.array(item))))).select(
+    return show(stored(takeout.discover(raw(timed_pages(t), F.to_json(F.array(item)))))).select(
         "owner_id", "text", "created_at")
 
 
@@ -243,7 +249,7 @@ def _(t):
         F.date_format("created_at", "MMM d, yyyy, h:mm:ss a"), F.lit(" UTC</div></div><p>end</p>"))
     pages = raw(timed_pages(t), cell, "'watch-history.html'")
     pieces = pages.select("owner_id", "path", F.posexplode(F.split("content", "</div>")).alias("seq", "content"))
-    return show(takeout.activity_blocks(pieces, "youtube", F.lit("youtube"))).select(
+    return show(stored(takeout.activity_blocks(pieces, "youtube", F.lit("youtube")))).select(
         "owner_id", "text", "created_at", "url")
 
 
@@ -254,7 +260,7 @@ def _(t):
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS s FROM v_page) WHERE length(s) > 40""")
 def _(t):
     pages = raw(t.pages(), F.col("html"), "cast(page_id as string)")
-    out = takeout.activity_fallback(pages, "discover", F.col("path"))
+    out = stored(takeout.activity_fallback(pages, "discover", F.col("path")))
     return out.select("owner_id", F.col("channel").cast("long").alias("page_id"),
                       F.length("text").cast("long").alias("kept"))
 
@@ -305,7 +311,7 @@ def _(t):
         F.when(n == 0, F.col("text")).alias("messageText"), F.when(n == 1, F.col("contact")).alias("from"),
         F.when(n == 1, F.lit("Me")).alias("to"), F.lit(True).alias("voicemail"),
         F.unix_millis("created_at").alias("timestamp")))
-    return show(takeout.voice(raw(t.dense(), doc))).select(
+    return show(stored(takeout.voice(raw(t.dense(), doc)))).select(
         "owner_id", "text", "created_at", F.array_join("participants", "|").alias("people"))
 
 
@@ -319,7 +325,7 @@ def _(t):
         F.when(F.col("page_id") % 3 == 0, "YouTube Music").otherwise("YouTube").alias("product"),
         F.array(F.struct(F.lit("Ad").alias("name")), F.struct(F.col("page_id").cast("string").alias("name")))
         .alias("details"))
-    return show(takeout.youtube(raw(timed_pages(t), F.to_json(F.array(item))))).select(
+    return show(stored(takeout.youtube(raw(timed_pages(t), F.to_json(F.array(item)))))).select(
         "owner_id", "text", "created_at", "channel")
 
 
@@ -331,7 +337,7 @@ def _(t):
         F.unix_millis("created_at").cast("string"), F.lit("sender"), "contact", F.lit("recipient"), F.lit("me"),
         F.lit("platform"), "channel", F.lit("post_id"), F.col("event_id").cast("string"))
     rows = t.dense().select("owner_id", row.alias("row"), F.col("event_id").alias("position"))
-    return show(takeout.row_events(rows, "chrome", "chrome_history")).select(
+    return show(stored(takeout.row_events(rows, "chrome", "chrome_history"))).select(
         "owner_id", "text", "created_at", F.array_join("participants", "|").alias("people"), "channel", "external_id")
 
 
@@ -362,7 +368,7 @@ def _(t):
                 F.struct(F.lit("Ana").alias("sender_name"), F.lit(5).cast("long").alias("timestamp_ms"),
                          F.lit(" ").alias("content"))).alias("messages")))
     e = instagram.messages(raw(t.messages(), doc, "concat('inbox/chat_with_', event_id, '/message_1.json')"))
-    return show(e).select("owner_id", "text", "created_at", F.array_join("participants", "|").alias("people"),
+    return show(stored(e)).select("owner_id", "text", "created_at", F.array_join("participants", "|").alias("people"),
                           "contact_name", "is_user_message")
 
 
@@ -379,7 +385,7 @@ def _(t):
     doc = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.array(item(True)).alias("comments_media_comments")))
                  ).otherwise(F.to_json(F.struct(F.array(item(False)).alias("media_comments"))))
     e = instagram.comments(raw(t.messages(), doc, "'a/post_comments.json'"))
-    return show(e).select("owner_id", "text", "created_at", "url", F.col("metadata")["postTitle"].alias("title"))
+    return show(stored(e, 2000)).select("owner_id", "text", "created_at", "url", F.col("metadata")["postTitle"].alias("title"))
 
 
 # Chats of the conversation table in each of the three export forms.
@@ -420,14 +426,14 @@ def list_docs(t, nested=True):
 @query("src_24_chat_mapping", f"""
     SELECT owner_id, external_id, substr(text, 1, 8000) AS text, {S}, 'chatgpt' AS channel FROM {TURNS}""")
 def _(t):
-    return show(chat.mapping_turns(files.parsed(mapping_docs(t, True)))).select(
+    return show(stored(chat.mapping_turns(files.parsed(mapping_docs(t, True))), 8000)).select(
         "owner_id", "external_id", "text", "created_at", "channel")
 
 
 @query("src_25_chat_messages", f"""
     SELECT owner_id, substr(text, 1, 8000) AS text, {S}, 'n' AS title FROM {TURNS}""")
 def _(t):
-    return show(chat.message_turns(files.parsed(list_docs(t)))).select(
+    return show(stored(chat.message_turns(files.parsed(list_docs(t))), 8000)).select(
         "owner_id", "text", "created_at", F.col("metadata")["title"].alias("title"))
 
 

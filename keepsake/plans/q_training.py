@@ -73,7 +73,7 @@ def _(t):
         FROM walk w JOIN sized s ON s.owner_id = w.owner_id AND s.rank = w.rank + 1)
     SELECT owner_id, rank, slice, seq, CAST(batch AS BIGINT) AS batch FROM walk""")
 def _(t):
-    return training.pack(training.training_set(slices(t), 5000)).select(
+    return training.pack(training.training_set(slices(t), 5000), item_chars=900).select(
         "owner_id", "rank", "slice", "seq", "batch")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import clip
 from keepsake.functions.times import chat_date
 from keepsake.sources.files import parsed
 
@@ -37,7 +36,7 @@ def _user_turns(rows: DataFrame, m: Column, at: Column, channel: Column, person:
     return rows.withColumn("text", F.when(content.isNotNull(), _text(content))).filter(
         F.length("text") >= MIN_LENGTH).select(
         "owner_id", *extra, F.lit("llm_chat").alias("source"), F.lit("message").alias("kind"),
-        clip("text", 8000).alias("text"), at.alias("created_at"),
+        "text", at.alias("created_at"),
         F.array(F.lit(person)).alias("participants"), channel.alias("channel"),
         external.alias("external_id"), F.lit(True).alias("is_user_message"),
         F.create_map(F.lit("title"), title).alias("metadata"), "seq")

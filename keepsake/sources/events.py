@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from keepsake.functions.text import clip, strip
 
 
-def nonblank(events: DataFrame, most: int = 6000) -> DataFrame:
-    """Events with a text, cut to the stored length."""
-    kept = events.filter(strip(F.coalesce("text", F.lit(""))) != "")
-    return kept.withColumn("text", clip("text", most))
+def nonblank(events: DataFrame) -> DataFrame:
+    """Events with a text. Importers store texts whole; who wants them shorter says so with ``cut_texts``."""
+    return events.filter(strip(F.coalesce("text", F.lit(""))) != "")
+
+
+def cut_texts(events: DataFrame, most: int) -> DataFrame:
+    """Texts of at most so many characters."""
+    return events.withColumn("text", clip("text", most))
 
 
 def without_sources(events: DataFrame, locked: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import clip, strip
+from keepsake.functions.text import strip
 from keepsake.sources.files import parsed
 
 
@@ -41,7 +41,7 @@ def messages(raw: DataFrame, owner_name: str | None = None) -> DataFrame:
             low, F.lit("instagram"))
     return rows.select(
         "owner_id", F.lit("instagram").alias("source"), F.lit("message").alias("kind"),
-        clip("text", 6000).alias("text"), _ms(F.col("ms")).alias("created_at"),
+        "text", _ms(F.col("ms")).alias("created_at"),
         F.when(F.size("people") > 0, F.col("people")).alias("participants"),
         F.lit("dm").alias("channel"), F.coalesce((F.col("sender") != "") & mine, F.lit(False))
         .alias("is_user_message"), F.col("folder").alias("contact_name"),
@@ -70,7 +70,7 @@ def comments(raw: DataFrame) -> DataFrame:
                          entry("comment").alias("said"), entry("title").alias("title"))
     return shaped.filter(strip(F.coalesce(said["value"], F.lit(""))) != "").select(
         "owner_id", F.lit("instagram").alias("source"), F.lit("comment").alias("kind"),
-        clip(said["value"], 2000).alias("text"), _ms(said["timestamp"] * 1000).alias("created_at"),
+        said["value"].alias("text"), _ms(said["timestamp"] * 1000).alias("created_at"),
         F.lit("comment").alias("channel"), F.lit(True).alias("is_user_message"),
         said["href"].alias("url"),
         F.create_map(F.lit("postTitle"), title["value"]).alias("metadata"), "seq")

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import clip, first_text
+from keepsake.functions.text import first_text
 from keepsake.functions.times import plain_date
 
 # Header words that hint at each role.
@@ -38,7 +38,7 @@ def events(df: DataFrame, mapping: Mapping[str, str], owner_id: Column) -> DataF
     cells = [c for c in df.columns if c not in ("owner_id", "seq", "file_name")]
     return df.select(
         owner_id.alias("owner_id"), F.lit("social_csv").alias("source"),
-        F.lit("message").alias("kind"), clip(role("text"), 6000).alias("text"),
+        F.lit("message").alias("kind"), role("text").alias("text"),
         plain_date(role("date")).alias("created_at"),
         F.when(F.size(people) > 0, people).alias("participants"),
         role("channel").alias("channel"), role("id").alias("external_id"),
