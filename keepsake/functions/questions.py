@@ -24,6 +24,7 @@ CHANGE_PATTERNS = [
     "how (have|has|did).*(change|evolve|shift)", "(used to|formerly).*(think|believe|say)",
     "still (think|believe|say)",
 ]
+# Wording of questions about words, and of requests for a summary.
 LEXICAL_PATTERN = r"\b(common|commonly|frequent|most used|use most|words?|phrases?|sayings?|terms?)\b"
 SUMMARY_VERBS = r"\b(summarize|summary|tell me about|what about|how's|how is|describe)\b"
 SUMMARY_NOUNS = r"\b(conversation|chat|text|messages|relationship|talk|talking)\b"
@@ -112,6 +113,7 @@ def changed_topic(question: Column | str) -> Column:
 
 # --- People and topics -----------------------------------------------------------------------------
 
+# Wording of questions whether something was told.
 DISCLOSURE = [
     (rf"does (\w+) know (?:about )?(.+?){END}", 1, 2),
     (rf"did i tell (\w+) about (.+?){END}", 1, 2),
@@ -146,6 +148,7 @@ def asks_lexical(question: Column | str) -> Column:
     return F.lower(col(question)).rlike(bounded(LEXICAL_PATTERN))
 
 
+# Fixed value: how a topic ends.
 TAIL = r"\s+(.+?)\s*\??\s*\z"
 
 

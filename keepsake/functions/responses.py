@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.lexicons import ENTITY_TYPES
 from keepsake.functions.text import clamp01, col, let, strip
 
+# Fixed value: the states of the answer format.
 DELTA_STATUS = "disclosed|hinted|updated|contradicted"
 
 
@@ -65,6 +66,7 @@ def summary_confidence(messages: Column, text: Column, topics: Column) -> Column
     return clamp01(F.when(failed, 0.1).otherwise(score))
 
 
+# Fixed value: a line of the answer format that names an entity.
 ENTITY = (
     r"(?s)ENTITY_START\s*TYPE:\s*(.+?)\s*NAME:\s*(.+?)\s*ALIASES:\s*(.+?)\s*ATTRIBUTES:\s*(.+?)"
     r"\s*CONFIDENCE:\s*(.+?)\s*RELATED_TO:\s*(.+?)\s*ENTITY_END"

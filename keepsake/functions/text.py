@@ -65,6 +65,12 @@ def clip(c: Column | str, n: int) -> Column:
     return F.substring(col(c), 1, n)
 
 
+def pieces_of(low: Column, lengths: Column) -> Column:
+    """The distinct substrings of a text that have one of the given lengths."""
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, n)))))
+
+
 def first_text(*candidates: Column | str) -> Column:
     """The first candidate that is not blank, trimmed."""
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in candidates])
@@ -249,13 +255,6 @@ def phrase_variants(c: Column | str) -> Column:
     return F.array_distinct(F.concat(plain, abbreviation, spelled))
 
 
-def phrase_aliases(phrase: str) -> list[str]:
-    """A phrase as plain words, and its short forms where one is known."""
-    plain = " ".join(re.findall(WORD, phrase.lower()))
-    extra = ["ngl", "not gon na lie"] if plain in ("not gonna lie", "not going to lie") else []
-    return list(dict.fromkeys([plain, *extra]))
-
-
 def phrase_pattern(phrase: str) -> str | None:
     """Pattern for the words of a phrase with any non-word characters between them."""
     words = re.findall(WORD, phrase.lower())

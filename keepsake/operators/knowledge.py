@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import strip
+from keepsake.functions.text import pieces_of, strip
 from keepsake.operators.ranking import keep_first, top_k
 
 ENTITY = ["owner_id", "entity_id"]
@@ -159,7 +159,7 @@ def relevant(entities: DataFrame, aliases: DataFrame, sources: DataFrame, asked:
     """The entities that matter to a request: named, aliased, known from the contact, recent, certain.
 
     Names and aliases meet the topic as its word runs in an equi-join when they are whole runs, which
-    a substring of a topic need not be; so the topic's substrings are listed instead. Entities that
+    a substring of a topic need not be; so the topic's substrings of the lengths that names have are listed instead. Entities that
     are not named at all rank by what does not depend on the topic, and the best k of these suffice.
     ``asked``: owner_id, question_id, topic, contact (null for none).
     """
@@ -170,11 +170,11 @@ def relevant(entities: DataFrame, aliases: DataFrame, sources: DataFrame, asked:
         *ENTITY, "type", "canonical_name", "last_mentioned",
         (F.when(days < 30, 2.0).otherwise(0.0) + F.col("confidence") * 2
          + F.least("mention_count", F.lit(5))).alias("base"))
-    pieces = _substrings(asked)
     names = based.select(*ENTITY, F.lower("canonical_name").alias("piece"), F.lit(10).alias("points"))
     other = aliases.join(based.select(*ENTITY), ENTITY, "left_semi").select(
         *ENTITY, F.lower("alias").alias("piece"), F.lit(5).alias("points"))
-    named = pieces.join(names.unionByName(other).filter("piece <> ''"), ["owner_id", "piece"])
+    names = names.unionByName(other).filter("piece <> ''")
+    named = _substrings(asked, names).join(names, ["owner_id", "piece"])
     from_contact = (
         asked.filter("contact IS NOT NULL").join(of_contact(sources), ["owner_id", "contact"])
         .select(*ask, "entity_id", F.lit(3).alias("points"))
@@ -197,14 +197,11 @@ def relevant(entities: DataFrame, aliases: DataFrame, sources: DataFrame, asked:
         "points", "base")
 
 
-def _substrings(asked: DataFrame) -> DataFrame:
-    """Every substring of each topic."""
-    low = F.col("low")
-    rows = asked.select("owner_id", "question_id", F.lower("topic").alias("low")).filter("low <> ''")
-    starts = rows.select("*", F.explode(F.sequence(F.lit(1), F.length(low))).alias("i"))
-    return starts.select("owner_id", "question_id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(low) - F.col("i") + 1),
-        lambda n: F.substring(low, F.col("i"), n))).alias("piece")).distinct()
+def _substrings(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """The substrings of each topic that are as long as some name (``piece``) of its owner."""
+    lengths = names.groupBy("owner_id").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    return asked.join(lengths, "owner_id").select(
+        "owner_id", "question_id", F.explode(pieces_of(F.lower("topic"), F.col("lengths"))).alias("piece")).distinct()
 
 
 # Heading of a type and the attribute shown with it.
@@ -223,7 +220,9 @@ FACTS = {
 def facts(ranked: DataFrame, attributes: DataFrame) -> DataFrame:
     """Lines of known facts, one per type, from a request's ranked entities (15 at most)."""
     keys = ["owner_id", "question_id"]
-    attrs = attributes.groupBy(*ENTITY).agg(F.map_from_entries(
+    # Only what belongs to a ranked entity is gathered.
+    wanted = attributes.join(ranked.select(*ENTITY).distinct(), ENTITY, "left_semi")
+    attrs = wanted.groupBy(*ENTITY).agg(F.map_from_entries(
         F.collect_list(F.struct("key", "value"))).alias("attributes"))
     rows = ranked.join(attrs, ENTITY, "left")
     item, heading, order = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)

@@ -12,7 +12,7 @@ from keepsake.functions.lexicons import (
     COMPARE_NEGATIVE, COMPARE_POSITIVE, TREND_NEGATIVE, TREND_POSITIVE,
 )
 from keepsake.functions.text import (
-    any_word, bounded, hits, person_slug, phrase_variants, snippet, strip, tokens,
+    any_word, bounded, hits, person_slug, phrase_variants, pieces_of, snippet, strip, tokens,
 )
 from keepsake.functions.times import in_timeframe, in_window, quarter_key
 from keepsake.operators.ranking import (
@@ -56,16 +56,10 @@ def in_recent_window(rows: DataFrame, bounds: DataFrame, upper: Column | None =
 def named_contacts(questions: DataFrame, contacts: DataFrame) -> DataFrame:
     """The contact a question names: the full name or its slug, else a part of three or more letters.
 
-    "Contains" is turned round: the substrings of a (short) question are listed and equi-joined with
-    the names, so no question meets a name it does not contain.
+    "Contains" is turned round: the substrings of a question that are as long as some name of its owner are listed
+    and equi-joined with the names, so no question meets a name it does not contain, and a question lists a few dozen
+    pieces a character however long it is.
     """
-    low = F.lower("question")
-    n = F.length(low)
-    starts = questions.select(*ASK, low.alias("low"), n.alias("n")).filter("n > 0").select(
-        *ASK, "low", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    pieces = starts.select(*ASK, F.explode(F.transform(
-        F.sequence(F.lit(1), F.col("n") - F.col("i") + 1),
-        lambda k: F.substring(F.col("low"), F.col("i"), k))).alias("piece")).distinct()
     name = F.col("contact")
     parts = F.filter(F.split(name, r"[_\s]+"), lambda p: F.length(p) >= 3)
 
@@ -76,6 +70,10 @@ def named_contacts(questions: DataFrame, contacts: DataFrame) -> DataFrame:
     keys = contacts.select("owner_id", "contact", "seq", F.explode(F.concat(
         keyed(0, F.array(name, person_slug(name))), keyed(1, parts))).alias("k")).select(
         "owner_id", "contact", "seq", "k.priority", "k.piece").filter("piece <> ''")
+    # Distinct lengths of names: a few dozen numbers an owner.
+    lengths = keys.groupBy("owner_id").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    pieces = questions.join(lengths, "owner_id").select(
+        *ASK, F.explode(pieces_of(F.lower("question"), F.col("lengths"))).alias("piece"))
     hit = pieces.join(keys, ["owner_id", "piece"]).select(*ASK, "contact", "seq", "priority")
     return keep_first(hit, ASK, [F.asc("priority"), F.asc("seq")]).select(*ASK, "contact", "priority")
 

@@ -59,6 +59,15 @@ def _(t):
     return tables.read_timeline(t.spark, path).select("owner_id", "source", "seq")
 
 
+@query("inc_01_first_import", f"WITH {KEYED} SELECT owner_id, source, seq FROM merged")
+def _(t):
+    """Two imports into a store that does not exist yet."""
+    path = stored_at(t, "first")
+    for rows in sides(t):
+        tables.import_events(t.spark, path, rows)
+    return tables.read_timeline(t.spark, path).select("owner_id", "source", "seq")
+
+
 @query("snk_02_stored_forum", """
     SELECT 'comments' AS name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM v_comment
     UNION ALL SELECT 'posts', count(*), CAST(sum(id) AS BIGINT) FROM v_post

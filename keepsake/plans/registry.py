@@ -13,7 +13,7 @@ Job = Callable[[Tables], DataFrame]
 _JOBS: dict[str, Job] = {}
 _SQL: dict[str, str] = {}
 _MODULES = (
-    "q_activity", "q_corpus", "q_voice", "q_sessions", "q_contacts", "q_functions",
+    "q_activity", "q_corpus", "q_voice", "q_sessions", "q_contacts",
     "q_retrieval", "q_questions", "q_evidence", "q_knowledge", "q_insights", "q_maintained",
     "q_sources", "q_training", "q_responses", "q_streams",
 )
@@ -32,11 +32,7 @@ def query(name: str, text: str | None = None) -> Callable[[Job], Job]:
 
 def _load() -> None:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"keepsake.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"keepsake.plans.{m}":
-                raise
+        importlib.import_module(f"keepsake.plans.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions import questions as ask
 from keepsake.operators import questions as q
 from keepsake.operators import retrieval as r
 from keepsake.operators.ranking import top_k
@@ -65,9 +64,3 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
     for part in (period, comparison, evolution, found, told):
         out = out.unionByName(part)
     return out
-
-
-def lexical_questions(questions: DataFrame) -> DataFrame:
-    """Questions about the use of a quoted phrase."""
-    return questions.filter(ask.asks_lexical("question")).withColumn(
-        "phrase", ask.quoted_phrase("question")).filter("phrase IS NOT NULL")

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.functions.text import clip, one_line
 from keepsake.functions.times import iso
 from keepsake.operators.ranking import keep_first, top_k
+from keepsake.schema import TIMELINE
+from keepsake.sources.files import exists
 
 
 def newest_first() -> list[Column]:
@@ -68,6 +71,9 @@ def write_timeline(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The stored events; none before the first import."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*TIMELINE.fields, T.StructField("event_key", T.StringType())]))
     return spark.read.parquet(path)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -74,9 +75,15 @@ def pick(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*[F.when(strip(c) != "", c) for c in have])
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """Documents as ``doc``; text that is not JSON gives null there."""
-    return raw.withColumn("doc", F.try_parse_json("content"))
+#: Bytes of the largest document that the variant type takes.
+LARGEST_DOCUMENT = 128 << 20
+
+
+def parsed(raw: DataFrame, largest: int = LARGEST_DOCUMENT) -> DataFrame:
+    """Documents as ``doc``; text that is not JSON gives null there. A document too large to parse is an error, not a gap."""
+    fits = F.when(F.octet_length("content") > largest, F.raise_error(F.concat(
+        F.lit("document too large to parse, split it: "), F.coalesce("path", F.lit("unnamed")))).cast("string"))
+    return raw.withColumn("doc", F.try_parse_json(F.coalesce(fits, F.col("content"))))
 
 
 def rejected(raw: DataFrame) -> DataFrame:
@@ -128,6 +135,12 @@ def _summary(obj: dict) -> dict:
     }
 
 
+def in_slices(rows: Iterator, size: int = 4096) -> Iterator[list]:
+    """Rows some thousand at a time, so a large file never stands in one frame."""
+    while part := list(itertools.islice(rows, size)):
+        yield part
+
+
 def json_objects(raw: DataFrame, tree: bool = False) -> DataFrame:
     """Every object of a JSON document, at any depth, as one row.
 
@@ -137,15 +150,17 @@ def json_objects(raw: DataFrame, tree: bool = False) -> DataFrame:
     walk = _tree_nodes if tree else _all_objects
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for owner, path, content in zip(batch["owner_id"], batch["path"], batch["content"]):
-                try:
-                    doc = json.loads(content)
-                except (TypeError, ValueError):
-                    continue
-                rows += [{"owner_id": owner, "path": path, "position": i, **_summary(o)}
-                         for i, o in enumerate(walk(doc))]
+        def objects():
+            for batch in batches:
+                for owner, path, content in zip(batch["owner_id"], batch["path"], batch["content"]):
+                    try:
+                        doc = json.loads(content)
+                    except (TypeError, ValueError):
+                        continue
+                    for i, o in enumerate(walk(doc)):
+                        yield {"owner_id": owner, "path": path, "position": i, **_summary(o)}
+
+        for rows in in_slices(objects()):
             yield pd.DataFrame(rows, columns=[
                 "owner_id", "path", "position", "keys", "strings", "numbers", "details", "head"])
 
@@ -155,13 +170,15 @@ def json_objects(raw: DataFrame, tree: bool = False) -> DataFrame:
 def csv_rows(raw: DataFrame) -> DataFrame:
     """Rows of CSV files whose headers differ from file to file, each as a map."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for owner, path, content in zip(batch["owner_id"], batch["path"], batch["content"]):
-                for i, row in enumerate(csv.DictReader(io.StringIO(content))):
-                    cells = {k: v for k, v in row.items() if k is not None and isinstance(v, str)}
-                    if any(v != "" for v in cells.values()):
-                        rows.append((owner, path, i, cells))
+        def lines():
+            for batch in batches:
+                for owner, path, content in zip(batch["owner_id"], batch["path"], batch["content"]):
+                    for i, row in enumerate(csv.DictReader(io.StringIO(content))):
+                        cells = {k: v for k, v in row.items() if k is not None and isinstance(v, str)}
+                        if any(v != "" for v in cells.values()):
+                            yield owner, path, i, cells
+
+        for rows in in_slices(lines()):
             yield pd.DataFrame(rows, columns=["owner_id", "path", "position", "row"])
 
     return raw.select(*RAW).mapInPandas(
