@@ -19,6 +19,8 @@ _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 WORD = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]{{1,16}}"
 _PLACE = 30
 _LOW = (1 << _PLACE) - 1
+#: Bits of a tuple's hash in a fingerprint; with the bin's they fit a 32-bit number.
+HASH_BITS = 25
 
 
 def _packed(hashed: Column, place: Column) -> Column:
@@ -27,7 +29,7 @@ def _packed(hashed: Column, place: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bits: int = BIN_BITS) -> DataFrame:
-    """Adds ``name``: an ascending array of numbers, each a bin (upper half) and the hash of its tuple (lower half).
+    """Adds ``name``: an ascending array of integers, each a bin (upper bits) and the hash of its tuple (lower bits).
 
     A null text or one without words gets an empty array; with fewer than ``k`` words all are one k-mer.
     """
@@ -72,32 +74,44 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bits: int
         after = first.bitwiseAND(F.lit(_LOW)) < second.bitwiseAND(F.lit(_LOW))
         alone = F.coalesce(bin_of(first) != bin_of(second), F.lit(True))
         hashed = F.when(alone, F.xxhash64(a)).when(after, F.xxhash64(a, c)).otherwise(F.xxhash64(c, a))
-        return F.shiftleft(bin_of(first) + (1 << (bits - 1)), 32).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 32) - 1)))
+        return F.shiftleft(bin_of(first) + (1 << (bits - 1)), HASH_BITS).bitwiseOR(
+            hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))).cast("int")
 
     return df.withColumn(name, F.transform(e, tuple_of)).select(*[F.col(f"`{c}`") for c in kept], name)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the bins filled in either fingerprint that agree; 1 for two empty ones."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
+    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, HASH_BITS))
     either = F.size(a) + F.size(b) - F.size(F.array_intersect(bins(a), bins(b)))
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Ten hexadecimal digits for each filled bin: two of the bin, eight of the tuple."""
-    return F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
+    """Eight hexadecimal digits for each filled bin."""
+    return F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+
+
+KEY = ["i", "u", "t"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """text (null: empty) under a key without nulls: i and u tell the id and whether it is null, t the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("i"), doc_id.isNull().alias("u"), F.xxhash64(text).alias("t"),
+                       text.alias("text"))
 
 
 def ring(keys: DataFrame) -> DataFrame:
-    """doc_id, t, n with next_id, next_t: who follows when (doc_id, t) descend, nulls last; the first follows the last.
+    """Keys and n with who follows (next_i, next_u, next_t): ids descend, then t; null ids last; the first follows the last.
 
     Keys are slim. They are dealt to ranges, which a written table fixes; inside a range the next row follows, after
     its end the head of the next range (one row a range).
     """
-    down = [F.desc_nulls_last("doc_id"), F.desc("t")]
-    parts = written(keys.repartitionByRange(*down).select("doc_id", "t", "n", F.spark_partition_id().alias("part")), "ring")
-    me = F.struct("doc_id", "t")
+    down = [F.asc("u"), F.desc("i"), F.desc("t")]
+    parts = written(keys.repartitionByRange(*down).select(*KEY, "n", F.spark_partition_id().alias("part")), "ring")
+    me = F.struct((~F.col("u")).alias("known"), "i", "t")
     heads = parts.groupBy("part").agg(F.max(me).alias("head"))
     every = Window.orderBy("part")
     after = heads.select("part", F.coalesce(
@@ -106,7 +120,7 @@ def ring(keys: DataFrame) -> DataFrame:
     following = F.lead(me).over(Window.partitionBy("part").orderBy(*down))
     return parts.withColumn("_n", following).join(F.broadcast(after), "part").withColumn(
         "_n", F.coalesce("_n", "after")).select(
-        "doc_id", "t", "n", F.col("_n.doc_id").alias("next_id"), F.col("_n.t").alias("next_t"))
+        *KEY, "n", F.col("_n.i").alias("next_i"), (~F.col("_n.known")).alias("next_u"), F.col("_n.t").alias("next_t"))
 
 
 def compare_edits(docs: DataFrame, k: int = K, bits: int = BIN_BITS) -> DataFrame:
@@ -114,23 +128,24 @@ def compare_edits(docs: DataFrame, k: int = K, bits: int = BIN_BITS) -> DataFram
 
     doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as empty. Rows
     of one id follow each other by a hash of their text; rows repeated in full are one document in the order,
-    and each is returned. Texts move once by their own key, and the borrowed beginnings once.
+    and each is returned. Texts move once by their own key (both joins read that exchange), and the borrowed
+    beginnings once; fingerprints are a written table, so each is made once.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
-    keys = base.select("doc_id", "t", F.length("text").alias("n")).distinct()
-    links = ring(keys)
-    marked = with_fingerprint(base, "text", "fp", k, bits)
-    other = marked.select(F.col("doc_id").alias("o_id"), F.col("t").alias("o_t"), F.col("text").alias("o_text"),
-                          F.col("fp").alias("o_fp"))
+    base = keyed(docs)
+    links = ring(base.select(*KEY, F.length("text").alias("n")).distinct())
+    prints = written(with_fingerprint(base, "text", "fp", k, bits).groupBy(*KEY).agg(F.first("fp").alias("fp")), "prints")
+    named = lambda df, p: df.withColumnsRenamed({c: p + c for c in df.columns})
+
+    def follows(p: str) -> Column:
+        return ((F.col("next_i") == F.col(f"{p}i")) & (F.col("next_u") == F.col(f"{p}u")) & (F.col("next_t") == F.col(f"{p}t")))
+
     third = F.floor(F.col("n") / 3).cast("int")
-    borrowed = links.join(other, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_t") == F.col("o_t"))).select(
-        "doc_id", "t", F.substring("o_text", F.lit(1), third).alias("o_text"), "o_fp")
-    borrowed = borrowed.groupBy("doc_id", "t").agg(F.first("o_text").alias("head"), F.first("o_fp").alias("next_fp"))
-    borrowed = borrowed.withColumnsRenamed({"doc_id": "b_id", "t": "b_t"})
-    rows = marked.join(borrowed, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("t") == F.col("b_t")))
+    borrowed = links.join(named(prints, "p_"), follows("p_")).join(named(base, "o_"), follows("o_")).select(
+        *KEY, F.substring("o_text", F.lit(1), third).alias("head"), F.col("p_fp").alias("next_fp"))
+    borrowed = borrowed.groupBy(*KEY).agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
+    rows = base.join(borrowed, KEY).join(prints, KEY)
     n = F.length("text")
-    rows = rows.select("doc_id", n.alias("n_chars"), "fp", "next_fp", F.concat(
+    rows = rows.select(F.when(~F.col("u"), F.col("i")).alias("doc_id"), n.alias("n_chars"), "fp", "next_fp", F.concat(
         F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), "head").alias("edited"))
     rows = with_fingerprint(rows, "edited", "edited_fp", k, bits)
     return rows.select(
