@@ -4,7 +4,8 @@ Each permutation of the shingles gives two samples, its smallest and its largest
 hash evaluations a shingle. Bands of the signature put documents that may be alike into buckets; links are confirmed
 on the full shingle sets. Texts with equal sets form a class first, so copies cost nothing further. In a bucket no pairs are
 listed: some members, the centres, are compared with those of other components, links join components, and centres
-retire from the bucket once compared with all. A bucket is done when all members but those of one component have
+retire from the bucket once compared with all. Pairs that cannot link, by how many shingles
+each part of the hash can have in common, are not compared. A bucket is done when all members but those of one component have
 been centres, which is as complete as comparing all pairs and costs a group of near copies one comparison a member.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import blocks, passed, text_bytes, written
@@ -22,8 +23,12 @@ from keepsake.llm.shingles import mixed, shingle_sets
 #: Bands, and permutations of a band: with 6 values a band, a pair of similarity 0.8 shares none of 40 bands with
 #: probability (1 - 0.8 ** 6) ** 40 = 5e-6.
 BANDS, PERMUTATIONS = 40, 3
-#: Centres of a bucket in the first round; twice as many in each later one.
-CENTRES = 8
+#: Centres of a bucket in the first round; eight times as many in each later one.
+CENTRES = 64
+#: Rounds before that compare a member with one of its bucket's largest component.
+QUICK = 2
+#: Parts of the shingle hash by which common shingles are bounded.
+PARTS = 64
 _BLOCK = 1 << 19
 
 
@@ -101,6 +106,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return passed(pairs.select("a", "b").join(left, "a").join(right, "b"), compare, "a long, b long")
 
 
+def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, shared): in how many shingles, by PARTS parts of their hash, a document is not alone among these.
+
+    Ids with several rows are left out.
+    """
+    once = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows = 1").select("doc_id")
+    texts = texts.select("doc_id", "text").join(once, "doc_id", "left_semi")
+
+    def spread(t: pa.Table) -> pa.Table:
+        values, count = shingle_sets(*text_bytes(t.column("text")), k)
+        ids = t.column("doc_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(t)), count)))
+        return pa.table({"rep": ids, "shingle": pa.array(values.view(np.int64))})
+
+    def count_parts(t: pa.Table) -> pa.Table:
+        values, count = shingle_sets(*text_bytes(t.column("text")), k)
+        row = np.repeat(np.arange(len(t)), count)
+        every = np.bincount(row * PARTS + (values & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(t) * PARTS)
+        return pa.table({"rep": t.column("doc_id"), "every": pa.ListArray.from_arrays(
+            pa.array(np.arange(len(t) + 1, dtype=np.int32) * PARTS), pa.array(every.astype(np.int32)))})
+
+    alone = passed(texts, spread, "rep long, shingle long").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).filter("times = 1")
+    part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")
+    alone = alone.groupBy("rep", part).agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("rep").agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
+    return passed(texts, count_parts, "rep long, every array<int>").join(alone, "rep", "left").select("rep", F.transform(
+        "every", lambda x, i: x - F.coalesce(F.try_element_at("alone", i), F.lit(0))).alias("shared"))
+
+
+def may_link(n: Column, shared: Column, other_n: Column, other_shared: Column, percent: int) -> Column:
+    """Whether two sets can reach the similarity: in no part have they more in common than the smaller number there."""
+    parts = F.aggregate(F.zip_with(shared, other_shared, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    most = F.least(n, other_n, F.coalesce(parts, n))
+    return 100 * most >= percent * (n + other_n - most)
+
+
 def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BANDS,
                 permutations: int = PERMUTATIONS, centres: int = CENTRES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id is that id): one row per row of ``docs``.
@@ -135,7 +176,10 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
     tried = written(pairs.select("a", "b"), "pairs")
     links = written(confirmed(tried, texts, k, percent).unionByName(same_id.select("a", "b")).distinct(), "links")
     groups = written(components(links), "groups")
+    shared: DataFrame | None = None
+    turn = 0
     while True:
+        turn += 1
         now = buckets.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep"))
         parts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
@@ -143,14 +187,31 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
         largest = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("n_parts"))
         open_keys = largest.filter(F.col("n_parts") > 1).select("key", F.col("most.component").alias("largest"))
         still = written(now.join(open_keys, "key"), "open-buckets")
+        if turn <= QUICK:
+            # Most that link at all link to one of a few members of their bucket's largest component.
+            anchor = still.filter(F.col("component") == F.col("largest")).groupBy("key").agg(
+                F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("x")).select("key", F.col("x.rep").alias("a"))
+            near = still.filter(F.col("component") != F.col("largest")).join(anchor, "key").groupBy(
+                "a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("times")).join(tried, ["a", "b"], "left_anti")
+            new = written(near.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b"), "pairs")
+            tried = tried.unionByName(new)
+            links = links.unionByName(written(confirmed(new, texts, k, percent), "links"))
+            groups = written(components(links), "groups")
+            continue
+        if shared is None:
+            # Partners stand in these buckets; shingles that no other document here has are common to no pair.
+            rest = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            shared = written(shared_shingles(rest, k), "shared-shingles")
+        known = still.join(shared, "rep", "left")
         part = F.pmod(F.xxhash64("rep"), F.lit(centres))
-        chosen = still.filter(F.col("component") != F.col("largest")).groupBy("key", part.alias("part")).agg(
-            F.min(F.struct("rep", "n", "component")).alias("c")).select(
-            "key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.component").alias("c_component"))
+        chosen = known.filter(F.col("component") != F.col("largest")).groupBy("key", part.alias("part")).agg(
+            F.min(F.struct("rep", "n", "shared", "component")).alias("c")).select(
+            "key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.shared").alias("c_shared"),
+            F.col("c.component").alias("c_component"))
         chosen = written(chosen, "centres")
-        met = still.join(chosen, "key").filter(
+        met = known.join(chosen, "key").filter(
             (F.col("component") != F.col("c_component"))
-            & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")))
+            & may_link(F.col("n"), F.col("shared"), F.col("c_n"), F.col("c_shared"), percent))
         new = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct().join(
             tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = written(new, "pairs")
@@ -163,7 +224,7 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
             groups = written(components(links), "groups")
         buckets = written(still.select("key", "rep", "n").join(
             chosen.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "buckets")
-        centres *= 2
+        centres *= 8
     # Component of each id; an id with several classes has one, as the id links them.
     of_id = member.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"))
