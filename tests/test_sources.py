@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from keepsake.functions import times
@@ -156,3 +157,47 @@ def test_files_below_every_folder_are_found(spark, tmp_path):
     put(tmp_path, "owner=bo/b.json", {})
     rows = files.read_whole(spark, str(tmp_path), "*.json").collect()
     assert {r.owner_id for r in rows} == {"ana", "bo"}
+
+
+def test_mail_parts_at_any_depth(spark):
+    import base64
+    import json
+
+    part = {"body": {"data": base64.urlsafe_b64encode("deep text".encode()).decode().rstrip("=")}}
+    for _ in range(60):
+        part = {"body": {}, "parts": [{"body": {"data": ""}}, part]}
+    doc = json.dumps([{"id": "m", "payload": part}])
+    raw = spark.createDataFrame([("a", "mail.json", doc)], "owner_id string, path string, content string")
+    assert [r.text for r in mail.json_events(raw).collect()] == ["deep text"]
+
+
+def test_oversized_documents_fail_loudly(spark):
+    raw = spark.createDataFrame([("a", "x.json", "[1, 2, 3]"), ("a", "y.json", "no json")],
+                                "owner_id string, path string, content string")
+    assert [r.doc is None for r in files.parsed(raw).orderBy("path").collect()] == [False, True]
+    with pytest.raises(Exception, match="too large to parse"):
+        files.parsed(raw, largest=8).collect()
+
+
+def test_rows_come_in_slices():
+    assert [len(x) for x in files.in_slices(iter(range(10)), 4)] == [4, 4, 2]
+    assert list(files.in_slices(iter([]), 4)) == []
+
+
+def test_events_of_two_imports_may_share_numbers(spark):
+    from keepsake.operators.contacts import events_with
+
+    rows = [("o", 0, ["Me", "Ana Lee"], "first"), ("o", 0, ["Ana Lee", "Me"], "second"), ("o", 0, ["Ana", "Ana Lee"], "both names")]
+    events = spark.createDataFrame(rows, "owner_id string, seq long, participants array<string>, text string")
+    targets = spark.createDataFrame([("o", "ana")], "owner_id string, target string")
+    assert sorted(r.text for r in events_with(events, targets).collect()) == ["both names", "first", "second"]
+
+
+def test_shared_folder_is_required_on_clusters():
+    from types import SimpleNamespace
+
+    from keepsake.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
