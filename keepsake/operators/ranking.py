@@ -6,11 +6,14 @@ the group down before the window sees it, or works on a per-group summary.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.session import shared_dir
+
 SALTS = 64
 # One short row per owner: a million of them are some tens of megabytes.
 MAX_OWNERS = 1_000_000
@@ -45,6 +48,30 @@ def top_k(
     )
 
 
+def rank_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its rank in its group.
+
+    Rows are range partitioned by group and order, so a hot group spreads over many tasks; a rank is the place in the
+    partition plus the group's rows in earlier ones. The sorted rows are written to the shared folder, since ranges
+    are sampled and both readers have to see the same ones. ``order`` has to end in a unique key.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/ranked-{uuid.uuid4().hex}"
+    by = [*[F.asc(c) for c in keys], *order]
+    # The upper bits of a number are the partition's, the lower 33 the place in it.
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    spans = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = spans.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_key_{c}") for c in keys],
+                        (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    same = F.col("_part") == F.col("_of")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return rows.join(base, same).select(*df.columns, (F.col("_base") + F.col("_at")).cast("long").alias(rank))
+
+
 def bounded_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, size: int = 500) -> DataFrame:
     """Rows of each group as lists of about ``size`` entries, several rows where one is not enough.
 

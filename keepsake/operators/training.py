@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.text import clip, count_matches, strip
 from keepsake.operators.corpus import titled
-from keepsake.operators.ranking import top_k
+from keepsake.operators.ranking import rank_all, top_k
 
 OWNER = ["owner_id"]
 
@@ -81,8 +81,8 @@ def source_counts(comments: DataFrame, posts: DataFrame, slices: DataFrame) -> D
 def training_set(slices: DataFrame, most: int | None = None) -> DataFrame:
     """The best items of each owner, in order; all of them unless ``most`` is given."""
     scored = slices.withColumn("quality", content_score("text", "score"))
-    return top_k(scored, OWNER, [
-        F.desc("quality"), F.desc("score"), F.asc("slice"), F.asc("seq")], most)
+    order = [F.desc("quality"), F.desc("score"), F.asc("slice"), F.asc("seq")]
+    return rank_all(scored, OWNER, order) if most is None else top_k(scored, OWNER, order, most)
 
 
 def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_chars: int | None = None,
