@@ -64,8 +64,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, near: float = NEAR,
     """All columns of ``docs`` with boilerplate lines taken from ``text``; then n_lines and n_removed.
 
     Lines are equal if they differ only in white space and case; every occurrence goes. A document that would lose
-    more than ``most_lost`` hundredths of its characters is a copy found on many sites, not a page with furniture: it
-    stays as it is, for near-duplicate removal to choose one of its kind. A null text stays null; rows
+    more than ``most_lost`` hundredths of its characters stays as it is, as in the SQL. Most such documents are copies
+    found on many sites, but pages that consist mostly of boilerplate stay whole too. A null text stays null; rows
     are told apart by doc_id and a hash of the text, so repeated rows and ids stay. Extra columns pass.
     """
     kept, p = passing(docs, ["n_lines", "n_removed"]), prefix(docs)
