@@ -161,9 +161,10 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
     shared = placed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter(
         F.col("lo") < F.col("hi")).select("key")
     buckets = written(placed.join(shared, "key").distinct(), "buckets")
-    # An id with several texts: the id itself links its classes.
-    same_id = member.filter(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    same_id = same_id.join(member.filter(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("b")), "b", "left_semi")
+    # An id with texts of several classes links each of them to the one of the smallest id.
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter(F.col("b") < F.col("last"))
+    same_id = member.join(several.select("doc_id", "b"), "doc_id").filter(F.col("rep") != F.col("b")).select(
+        F.col("rep").alias("a"), "b").distinct()
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"),
                     "texts")

@@ -75,6 +75,16 @@ def test_near_copies_in_large_groups(spark):
     assert found(near_copies.near_copies(df, 4).collect()) == all_pairs(docs, 4)
 
 
+def test_an_id_links_all_its_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (2, b), (5, a), (5, b), (3, c), (7, c), (7, d), (8, d), (7, d), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_copies.near_copies(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(
+        [(i, 1 if i in (1, 2, 5, 9) else 3) for i, _ in rows])
+    assert {r.doc_id for r in got if r.kept} == {1, 3}
+
+
 def test_min_max_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     common, own = rng.integers(0, 2**63, 600, dtype=np.uint64), rng.integers(0, 2**63, (2, 200), dtype=np.uint64)
