@@ -45,7 +45,12 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         counts = np.zeros((b - a) * BINS, np.int64)
         for at in range(first, last, SLICE):
             bins = _bins(data[at:min(at + SLICE + 2, last)])
-            row = np.searchsorted(starts[a:b + 1], np.arange(at, at + len(bins)), "right") - 1 if b - a > 1 else 0
+            row = 0
+            if b - a > 1:
+                place = np.arange(at, at + len(bins))
+                row = np.searchsorted(starts[a:b + 1], place, "right") - 1
+                whole = place + 2 < starts[a + 1 + row]  # the other trigrams end in the next text
+                row, bins = row[whole], bins[whole]
             counts += np.bincount(row * BINS + bins, minlength=len(counts))
         counts = counts.reshape(b - a, BINS)
         out[a:b] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))

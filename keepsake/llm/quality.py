@@ -51,7 +51,7 @@ def _block(data: np.ndarray, starts: np.ndarray, number: np.ndarray, out: np.nda
     row = np.repeat(row_of_text, size) + within * np.repeat(number, size) // np.repeat(size, size)
     kind = _KIND[data]
     pair = kind.copy()
-    pair[1:] += _KINDS * kind[:-1]
+    pair[1:] += _KINDS * kind[:-1] * (within[1:] > 0)  # the first byte of a text has none before it
     n = len(out)
     counts = np.bincount(row * (_KINDS * _KINDS) + pair, minlength=n * _KINDS * _KINDS).reshape(n, -1)
     length = np.maximum(counts.sum(1, keepdims=True), 1)

@@ -181,6 +181,16 @@ def test_attention_follows_the_slope():
         assert abs((more - less) / 2e-5 - slopes[name][at]) < 1e-6
 
 
+def test_features_do_not_depend_on_the_neighbours():
+    texts = ["ab", "", "x", "Ein Satz.", "été", "word " * 300, "", "\n", "日本", "The end"]
+    together, (passages, number) = language.features(*text_bytes(pa.array(texts))), quality.passages(*text_bytes(pa.array(texts)))
+    ends = np.append(0, np.cumsum(number))
+    for i, t in enumerate(texts):
+        assert (together[i] == language.features(*text_bytes(pa.array([t])))[0]).all(), t
+        alone, n = quality.passages(*text_bytes(pa.array([t])))
+        assert n[0] == number[i] and (passages[ends[i]:ends[i + 1]] == alone).all(), t
+
+
 def test_line_spread(spark, none):
     common, near = "All pages of all sites carry this line.", "Four sites carry this line."
     docs = [(i, f"Own text {i}, long enough to stay where it is.\n{common}\n" + (near if i < 4 else f"Own end {i}."), "en", f"s{i % 6}", 0)
