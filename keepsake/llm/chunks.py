@@ -9,14 +9,14 @@ supported tokenizers never join characters; so the ids are those of the whole te
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
 #: Longer chunks are encoded each time, without being kept.
 LONGEST = 64
-#: Bytes that are hashed together.
-BLOCK = 8 << 20
+#: Bytes that are hashed together; a longer text is taken in parts that end where chunks do.
+BLOCK = 2 << 20
 #: Chunks in one call of a tokenizer.
 TOGETHER = 1000
 # Fixed value: how byte-level files without a splitter of their own split text.
@@ -61,6 +61,32 @@ def gather(store: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarra
     return store[offset + np.arange(total)]
 
 
+def spans(data: np.ndarray, starts: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of about ``size`` bytes: the texts first..last - 1 that they hold, and where these begin and end in ``data``.
+
+    A longer text comes as several runs of its own, parted where a chunk begins (a chunk is never parted).
+    """
+    at, size = 0, size or BLOCK
+    while at < len(starts) - 1:
+        end = int(np.searchsorted(starts, starts[at] + size, "right")) - 1
+        if end > at:
+            yield at, end, starts[at:end + 1]
+            at = end
+            continue
+        low, high = int(starts[at]), int(starts[at + 1])
+        while low < high:
+            reach, stop = size, high
+            while low + reach < high:
+                inside = cut(data[low:low + reach], np.array([0, reach]))
+                if len(inside) > 1:
+                    stop = low + int(inside[-1])
+                    break
+                reach *= 2
+            yield at, at + 1, np.array([low, stop])
+            low = stop
+        at += 1
+
+
 def flat(sequences: Sequence[Sequence[int]]) -> Encoded:
     count = np.fromiter(map(len, sequences), np.int64, len(sequences))
     return np.fromiter(itertools.chain.from_iterable(sequences), np.uint32, int(count.sum())), count
@@ -72,7 +98,7 @@ class ChunkEncoder:
     At most ``most`` chunks are kept; then it starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Encoded], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], most: int = 400_000):
         self.encode, self.most = encode, most
         self.forget()
 
@@ -129,19 +155,20 @@ class ChunkEncoder:
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
-        parts, counts, at = [], [], 0
-        while at < len(starts) - 1:
-            end = max(int(np.searchsorted(starts, starts[at] + BLOCK, "right")) - 1, at + 1)
-            ids, count = self._block(data[starts[at]:starts[end]], starts[at:end + 1] - starts[at])
+        parts, counts = [np.zeros(0, np.uint32)], np.zeros(len(starts) - 1, np.int64)
+        for first, last, places in spans(data, starts):
+            ids, count = self._block(data[places[0]:places[-1]], places - places[0])
             parts.append(ids)
-            counts.append(count)
-            at = end
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32),
-                np.concatenate(counts) if counts else np.zeros(0, np.int64))
+            counts[first:last] += count
+        return np.concatenate(parts), counts
+
 
+def library_encoder(path: str, added: bool = True) -> ChunkEncoder:
+    """A byte-level BPE file of the tokenizers library, without the special tokens that it puts around texts.
 
-def library_encoder(path: str) -> ChunkEncoder:
-    """A byte-level BPE file of the tokenizers library, without special tokens.
+    Where a text holds the string of an added token, such as <|endoftext|>, the library makes one id of it; with
+    ``added=False`` the string is ordinary text. Such a string lies inside one chunk: it has no white space, and files
+    whose added tokens take white space along are refused.
 
     Plain chunks (a space or line feed, then ASCII or Latin-1 letters, digits, signs) are encoded many in a call. Their
     merges run on the vocabulary of the same file in the tiktoken library, which gives the same ids, since a file's
@@ -159,7 +186,7 @@ def library_encoder(path: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not added
 
     def apart(chunks: list[bytes]) -> Encoded:
         made = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
@@ -167,6 +194,10 @@ def library_encoder(path: str) -> ChunkEncoder:
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        raise ValueError(f"added tokens of {path} reach over white space")
+    strings = [regex.escape(t["content"].encode()) for t in spec["added_tokens"] if added or not t["special"]]
+    marked = regex.compile(b"|".join(strings) or rb"(?!)").search
     model, vocabulary = spec["model"], spec["model"]["vocab"]
     suffix = model.get("end_of_word_suffix") or ""
     merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
@@ -202,7 +233,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         return ids, np.diff(stops, prepend=0)
 
     def encode(chunks: list[bytes]) -> Encoded:
-        fits = np.fromiter((fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        fits = np.fromiter((fullmatch(c) is not None and marked(c) is None for c in chunks), bool, len(chunks))
         many = [c for c, f in zip(chunks, fits) if f]
         parts = [together(many[i:i + TOGETHER]) for i in range(0, len(many), TOGETHER)]
         parts.append(apart([c for c, f in zip(chunks, fits) if not f]))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import cleaning, common, language, line_spread, merge_replay, near_copies, order_minhash, packing, quality, revisits, token_files
+from keepsake.llm import (
+    alignment, cleaning, common, language, line_spread, merge_replay, mixing, near_copies, order_minhash, packing, periodic, quality,
+    revisits, token_files)
 from keepsake.llm.common import remainder, table
 
 
@@ -75,11 +77,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), also={"_number": number},
+                               reading=lambda batch, count: periodic.repeating(batch, count, "_number"))
+    return periodic.digests(found)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).measures
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality, op2_near_copies, op3_revisits, op4_order_minhash, op5_cleaning, op6_token_files, op7_merge_replay,
-        op8_language, op9_line_spread, op10_packing)}
+        op8_language, op9_line_spread, op10_packing, op11_periodic_runs, op12_alignment,
+        op13_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": revisits.SQL, "op5_cleaning": cleaning.SQL, "op9_line_spread": line_spread.SQL}
+    return {"op3_revisits": revisits.SQL, "op5_cleaning": cleaning.SQL, "op9_line_spread": line_spread.SQL,
+            "op13_mixture": mixing.SQL}

@@ -17,12 +17,11 @@ from keepsake.llm import chunks, cleaning, merge_replay, order_minhash, packing,
 from keepsake.llm.common import new_path, text_bytes
 from tests.llm.conftest import ODD
 
-TEXTS = [t or "" for _, t, *_ in ODD] + ["don't 'S it'll 'tis", " lead\n\n two  gaps ", "ÀÉ Straße naïve", "a\r\nb\x1cc"]
+TEXTS = [t or "" for _, t, *_ in ODD] + ["don't 'S it'll 'tis", "a <|endoftext|> b", "x<|startoftext|><|endoftext|>y  <|endoftext|>  z <|ENDOFTEXT|>", " lead\n\n two  gaps ", "ÀÉ Straße naïve", "a\r\nb\x1cc"]
 
 
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -35,6 +34,22 @@ def test_chunks_give_the_ids_of_whole_texts(name):
         assert got == library(name)(TEXTS)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_as_text(name):
+    encoder = chunks.library_encoder(public_tokenizers.path(name), added=False)
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    ids, count = encoder(*text_bytes(pa.array(TEXTS)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [
+        e.ids for e in t.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("size", [7, 50, 1000])
+def test_long_texts_in_parts(monkeypatch, size):
+    monkeypatch.setattr(chunks, "BLOCK", size)
+    test_chunks_give_the_ids_of_whole_texts("byte_bpe_50k.json")
+
+
 def test_kept_chunks_are_bounded():
     encoder = chunks.ChunkEncoder(lambda cs: chunks.flat([[len(c)] for c in cs]), most=3)
     for i in range(9):
