@@ -56,6 +56,15 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
+def _once(records: DataFrame) -> DataFrame:
+    """Each record once, under a name of its own (_record)."""
+    content = F.struct("url", F.col("at").cast("timestamp").alias("at"), "headers", "payload_digest")
+    name = F.when(F.col("record_id").isNull(), F.md5(F.concat(F.col("kind"), F.to_json(content)))).otherwise(
+        F.concat(F.col("kind"), F.lit(" "), F.col("record_id").cast("string")))
+    rows = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", "kind", name.alias("_record"), content.alias("_c"))
+    return rows.groupBy("_record", "record_id", "kind").agg(F.min("_c").alias("_c")).select("_record", "record_id", "kind", "_c.*")
+
+
 def resolve(records: DataFrame, slot: int = SLOT) -> DataFrame:
     """One row per revisit: record_id, url, at, response_id, response_at, outcome, payload_digest, headers.
 
@@ -63,16 +72,17 @@ def resolve(records: DataFrame, slot: int = SLOT) -> DataFrame:
     Outcome: resolved; changed (validators differ: the response is not the one that was not modified); unproved (the
     304 has validators, the response none, or the other way round); no_response (no earlier one, or no URL or time).
     Only resolved rows get digest and headers. Equal times do not count as earlier; of several responses at one time
-    the largest record_id counts, of repeated records one. Weak and strong entity tags compare by their text. Extra
-    columns are ignored.
+    the largest record_id counts. Records of one kind and id are one, the smallest; records without id are one only if they are
+    alike in everything. Weak and strong entity tags compare by their text. Extra columns are ignored.
     """
+    records = _once(records)
     slim = records.select(
-        "record_id", "kind", F.xxhash64(canonical_url(F.col("url"))).alias("u"), F.md5(canonical_url(F.col("url"))).alias("u2"),
+        "_record", "record_id", "kind", F.xxhash64(canonical_url(F.col("url"))).alias("u"), F.md5(canonical_url(F.col("url"))).alias("u2"),
         F.col("at").cast("timestamp").alias("at")).filter(F.col("kind").isin("response", "revisit"))
     slim = slim.withColumn("slot", F.floor(F.unix_micros("at") / (slot * 1_000_000)))
     known = slim.filter(F.col("u2").isNotNull() & F.col("at").isNotNull())
     key = ["u", "u2"]
-    response = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
+    response = F.when(F.col("kind") == "response", F.struct("at", "record_id", "_record"))
     slots = known.groupBy(*key, "slot").agg(F.max(response).alias("last"))
     carried = slots.withColumn("before", F.last("last", ignorenulls=True).over(
         Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
@@ -81,23 +91,20 @@ def resolve(records: DataFrame, slot: int = SLOT) -> DataFrame:
     found = (
         known.withColumn("here", F.max(response).over(inside)).filter(F.col("kind") == "revisit")
         .join(carried, [*key, "slot"], "left")
-        .select("record_id", F.coalesce("here", "before").alias("r"))
-        .groupBy("record_id").agg(F.max("r").alias("r"))
-        .select("record_id", F.col("r.record_id").alias("response_id"))
+        .select("_record", F.coalesce("here", "before")["_record"].alias("_response"))
     )
-    once = records.filter(F.col("record_id").isNotNull()).dropDuplicates(["record_id"])
-    revisit = once.filter(F.col("kind") == "revisit").select("record_id", "url", "at", F.col("headers").alias("_new"))
-    stored = once.filter(F.col("kind") == "response").select(
-        F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("_old"),
-        F.col("payload_digest").alias("_digest"))
-    rows = revisit.join(found, "record_id", "left").join(stored, "response_id", "left")
+    revisit = records.filter(F.col("kind") == "revisit").select("_record", "record_id", "url", "at", F.col("headers").alias("_new"))
+    stored = records.filter(F.col("kind") == "response").select(
+        F.col("_record").alias("_response"), F.col("record_id").alias("response_id"), F.col("at").alias("response_at"),
+        F.col("headers").alias("_old"), F.col("payload_digest").alias("_digest"))
+    rows = revisit.join(found, "_record", "left").join(stored, "_response", "left")
     tag_new, tag_old = _weak(header(F.col("_new"), "etag")), _weak(header(F.col("_old"), "etag"))
     day_new, day_old = F.trim(header(F.col("_new"), "last-modified")), F.trim(header(F.col("_old"), "last-modified"))
     validates = F.when(tag_new.isNotNull() & tag_old.isNotNull(), tag_new == tag_old).when(
         day_new.isNotNull() & day_old.isNotNull(), day_new == day_old)
     none = F.coalesce(tag_new, day_new, tag_old, day_old).isNull()
     outcome = (
-        F.when(F.col("response_id").isNull(), "no_response").when(validates | none, "resolved")
+        F.when(F.col("_response").isNull(), "no_response").when(validates | none, "resolved")
         .when(validates.isNull(), "unproved").otherwise("changed"))
     rows = rows.withColumn("outcome", outcome)
     good = F.col("outcome") == "resolved"
