@@ -22,6 +22,8 @@ BOILERPLATE = [
     "use cookies", "uses cookies", "enable javascript", "click here", "read more", "sign in", "sign up", "log in",
     "login", "subscribe now", "subscribe to", "share this", "skip to content",
 ]
+# Fixed value: signs that end a sentence or a clause, of all scripts.
+SENTENCE_ENDS = "[.!?:;…。！？：；．｡︒﹒﹔﹕﹖﹗՞։؟؛۔܀܁।॥၊။።፣፤፥፦፧៖។៕᠃᠉‼‽⁇⁈⁉⸮෴༎།]"
 #: Shares, in hundredths: signs in a line, text a document may lose, repeated words.
 LINE_SYMBOLS, LOST, REPEATED = 10, 30, 20
 #: Bars of a navigation line, capitals of a shouted one, fewest words of a document.
@@ -46,7 +48,7 @@ def failed_rule(line: Column) -> Column:
         .when(bars >= BARS, "navigation")
         .when(~F.regexp_like(line, F.lit(r"\p{Ll}"))
               & F.regexp_like(line, F.lit(r"(\p{Lu}.*){%d}" % CAPITALS)), "shouting")
-        .when(~F.regexp_like(line, F.lit(r"[.!?:;]")), "no_sentence")
+        .when(~F.regexp_like(line, F.lit(SENTENCE_ENDS)), "no_sentence")
         .when(reduce(or_, [F.contains(F.lower(line), F.lit(p)) for p in BOILERPLATE]), "boilerplate")
     )
 
@@ -114,6 +116,11 @@ def clean(docs: DataFrame) -> DataFrame:
         "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST * F.col(chars_))).drop(chars_)
 
 
+BAD = rf"""(100 * (length(x) - length(translate(x, '#*$%&<>', ''))) > {LINE_SYMBOLS} * length(x)
+      OR length(x) - length(translate(x, '|', '')) >= {BARS}
+      OR (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '(\p{{Lu}}.*){{{CAPITALS}}}'))
+      OR NOT regexp_matches(x, '{SENTENCE_ENDS}')
+      OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)})"""
 #: The same as SQL; a document is told by its id.
 SQL = rf"""
 WITH d AS (
@@ -131,15 +138,10 @@ cover AS (
 judged AS (
   SELECT doc_id, count(*) AS n_lines, sum(length(x)) AS chars,
     count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(length(x)) FILTER (bad), 0) AS lost_chars
-  FROM (SELECT doc_id, x,
-      100 * (length(x) - length(translate(x, '#*$%&<>', ''))) > {LINE_SYMBOLS} * length(x)
-      OR length(x) - length(translate(x, '|', '')) >= {BARS}
-      OR (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '(\p{{Lu}}.*){{{CAPITALS}}}'))
-      OR NOT regexp_matches(x, '[.!?:;]')
-      OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)} AS bad
+  FROM (SELECT doc_id, x, {BAD} AS bad
     FROM (SELECT doc_id, unnest(l) AS x FROM d)) GROUP BY doc_id),
 counted AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words,
     length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
@@ -150,6 +152,8 @@ counted AS (
 verdict AS (
   SELECT *, n_words < {FEWEST} OR 100 * n_repeat_words > {REPEATED} * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines, lost_chars,
-  base_failed, NOT base_failed AND 100 * lost_chars <= {LOST} * chars AS kept
+  base_failed, NOT base_failed AND 100 * lost_chars <= {LOST} * chars AS kept,
+  sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x:
+    length(translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) = 0 OR NOT {BAD}), chr(10))) AS cleaned_sha256
 FROM verdict
 """
