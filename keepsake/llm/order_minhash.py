@@ -1,8 +1,10 @@
 """Order MinHash: fingerprints whose likeness follows the edit distance of texts.
 
-The k-mers of a text (k words in a row) are numbered by occurrence, so repeats are elements of their own. One hash
-deals them to bins; in each bin the two smallest are selected, put back into text order, and hashed as a
-tuple. Two texts agree in a bin if the same k-mers were selected and stand in the same order. Column expressions only.
+The k-mers of a text (k words in a row) are numbered by occurrence, so repeats are elements of their own. Each order
+begins at its own place of the circle of hash values: the two k-mers that come first from there on are its minimal ones,
+are put back into text order, and are hashed as a tuple. In a long text the orders look at different k-mers; in a short one
+they share them, so that every tuple has two and tells their order. Two texts agree in an order if the same k-mers
+were selected and stand in the same order in the text. Column expressions only.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm.common import written
 
-#: Words of a k-mer; log2 of the bins.
+#: Words of a k-mer; log2 of the number of orders, whose places part the circle of hash values into bins.
 K, BIN_BITS = 2, 6
 # Words without white space between them: single characters of these scripts, else at most 16 characters.
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -29,9 +31,10 @@ def _packed(hashed: Column, place: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bits: int = BIN_BITS) -> DataFrame:
-    """Adds ``name``: an ascending array of integers, each a bin (upper bits) and the hash of its tuple (lower bits).
+    """Adds ``name``: an ascending array of integers, one an order: its number (upper bits) and the hash of its tuple.
 
-    A null text or one without words gets an empty array; with fewer than ``k`` words all are one k-mer.
+    A null text or one without words gets an empty array; with fewer than ``k`` words all are one k-mer, which
+    is the whole tuple where a text has no second.
     """
     w, h, s, b, t, e = (f"_{x}_{name}" for x in "whsbte")
     kept = df.columns
@@ -65,30 +68,33 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, bits: int
     def bin_of(x: Column) -> Column:
         return F.shiftright(x, 64 - bits)
 
+    # Where the k-mers of each filled bin begin, and from there where each order's first k-mer stands.
     df = df.withColumn(e, F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i >= 0) & (
         (i == 0) | (bin_of(item(t, i)) != bin_of(item(t, i - 1))))))
-
-    def tuple_of(i: Column) -> Column:
-        first, second = item(t, i), item(t, i + 1)
+    low = -(1 << (bits - 1))
+    numbers = F.sequence(F.lit(low), F.lit(-low - 1))
+    from_there = F.transform(numbers, lambda g: F.coalesce(F.get(F.filter(
+        F.col(e), lambda i: bin_of(item(t, i)) >= g), F.lit(0)), F.lit(0)))
+    places = F.when(F.size(t) == 0, F.array().cast("array<int>")).when(F.size(e) == 1 << bits, F.col(e)).otherwise(from_there)
+
+    def tuple_of(i: Column, order: Column) -> Column:
+        first, second = item(t, i), item(t, F.pmod(i + 1, F.size(t)))
         a, c = F.shiftright(first, _PLACE), F.shiftright(second, _PLACE)
         after = first.bitwiseAND(F.lit(_LOW)) < second.bitwiseAND(F.lit(_LOW))
-        alone = F.coalesce(bin_of(first) != bin_of(second), F.lit(True))
-        hashed = F.when(alone, F.xxhash64(a)).when(after, F.xxhash64(a, c)).otherwise(F.xxhash64(c, a))
-        return F.shiftleft(bin_of(first) + (1 << (bits - 1)), HASH_BITS).bitwiseOR(
-            hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))).cast("int")
+        hashed = F.when(F.size(t) == 1, F.xxhash64(a)).when(after, F.xxhash64(a, c)).otherwise(F.xxhash64(c, a))
+        return F.shiftleft(order, HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))).cast("int")
 
-    return df.withColumn(name, F.transform(e, tuple_of)).select(*[F.col(f"`{c}`") for c in kept], name)
+    return df.withColumn(name, F.transform(places, tuple_of)).select(*[F.col(f"`{c}`") for c in kept], name)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins filled in either fingerprint that agree; 1 for two empty ones."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, HASH_BITS))
-    either = F.size(a) + F.size(b) - F.size(F.array_intersect(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of the orders in which two fingerprints agree; 1 for two empty ones."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Eight hexadecimal digits for each filled bin."""
+    """Eight hexadecimal digits for each order."""
     return F.array_join(F.transform(fingerprint, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
 
 
