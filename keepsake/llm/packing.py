@@ -2,14 +2,18 @@
 
 A configuration says how many pieces of each length share a sequence. The program "fewest configurations that cover
 the histogram" has one row a length, however many documents there are; multiplicative weights price the lengths that
-lag behind, a knapsack table over the capacity finds the best configurations at these prices, and their multiplicities
-are rounded down to whole numbers as they are taken, so what is left shrinks until nothing is. Documents never leave
+lag behind, a knapsack table over the capacity finds the best configurations at these prices, and their fractional
+multiplicities add up over the tables. They are rounded down, and the few pieces that are left are packed by the same
+tables in whole sequences. The prices also prove how few sequences any packing needs. Documents never leave
 Spark: a piece finds its sequence from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.chunks import library_encoder
-from keepsake.llm.common import text_bytes, worker_state, written
+from keepsake.llm.common import arrow_pass, text_bytes, worker_state, written
 
 CAPACITY = 2048
-#: Configurations taken from one knapsack table, and tables after which configurations are used up whole.
-COLUMNS, GENTLE = 48, 400
+#: Knapsack tables of the linear program, configurations taken from one, and how fast prices follow what lags behind.
+TABLES, COLUMNS, RATE = 150, 48, 4.0
+#: Tables for what is left, after which configurations are used up whole.
+GENTLE = 400
 #: Rows of one length that are ranked together.
 RANKED = 1_000_000
 
-Plan = list[tuple[list[tuple[int, int]], int]]
+Configuration = tuple[tuple[int, int], ...]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -57,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                  pa.array(length), pa.array(sums, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_pass(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,31 +80,110 @@ def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return best, last
 
 
+@dataclass
+class Plan:
+    """Configurations [(length, copies), ...] with the number of sequences that use each; together exactly the histogram.
+
+    No plan needs fewer sequences than ``bound``, which the prices of the linear program prove.
+    """
+
+    configurations: list[tuple[Configuration, int]]
+    bound: int
+
+    def sequences(self) -> int:
+        return sum(times for _, times in self.configurations)
+
+
+def _prices(ratio: np.ndarray, have: np.ndarray, size: np.ndarray, rate: float) -> np.ndarray:
+    """Multiplicative weights: lengths whose covered share lags behind the mean gain, those ahead of it lose.
+
+    They begin as what fills a sequence: the length, and a little more for long pieces, which are hard to place later.
+    """
+    mean = float((ratio * have * size).sum() / (have * size).sum())
+    return size * (1 + 0.05 * size) * np.exp(np.clip(rate * (mean - ratio), -30, 30))
+
+
+def _configurations(value: np.ndarray, best: np.ndarray, last: np.ndarray, capacity: int, most: int) -> Iterator[tuple[Configuration, float]]:
+    """The best configurations at some prices, each with a different length in it, and what they are worth."""
+    lengths = np.flatnonzero(np.isfinite(value)) + 1
+    worth = value[lengths - 1] + best[capacity - lengths]
+    seen = set()
+    for i in np.argsort(-worth, kind="stable")[:most].tolist():
+        used, room = Counter([int(lengths[i])]), capacity - int(lengths[i])
+        while room and (length := int(last[room])):
+            used[length] += 1
+            room -= length
+        made = tuple(sorted(used.items(), reverse=True))
+        if made not in seen:
+            seen.add(made)
+            yield made, float(worth[i])
+
+
+def linear_program(have: np.ndarray, capacity: int, tables: int = TABLES) -> tuple[dict[Configuration, float], int]:
+    """Fractional multiplicities of configurations that about cover ``have`` (pieces of each length), and a lower bound.
+
+    Each table prices the lengths, a knapsack over the capacity finds the best configurations at these prices, and
+    these take an equal share of the sequences that the total length asks for. The bound is the dual one: at any prices,
+    the value of all pieces divided by that of the best configuration; the best of all tables counts.
+    """
+    size = np.arange(1, capacity + 1) / capacity
+    some = have > 0
+    whole = np.maximum(have, 1).astype(float)
+    area = float((have * size).sum())
+    taken: dict[Configuration, float] = {}
+    covered, bound = np.zeros(capacity), max(area, float(have[capacity // 2:].sum()))
+    for _ in range(tables):
+        price = _prices(covered / whole, have, size, RATE)
+        value = np.where(some, price, -np.inf)
+        best, last = _knapsack(value, capacity)
+        bound = max(bound, float((have * price).sum() / best[capacity]))
+        found = [c for c, worth in _configurations(value, best, last, capacity, COLUMNS) if worth >= 0.98 * best[capacity]]
+        for c in found:
+            step = area / tables / len(found)
+            taken[c] = taken.get(c, 0.0) + step
+            for length, copies in c:
+                covered[length - 1] += copies * step
+    return taken, int(np.ceil(bound - 1e-6))
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Configurations [(length, copies), ...] and how many sequences use each; together exactly the histogram.
+    """Round the linear program down to whole sequences, and pack what is left.
 
     The work depends on the number of different lengths, at most ``capacity``, not on the number of pieces.
     """
     left = np.zeros(capacity, np.int64)
     for length, n in histogram.items():
         left[length - 1] = n
-    plan: Plan = []
-    if left[-1]:
-        plan.append(([(capacity, 1)], int(left[-1])))
+    plan: list[tuple[Configuration, int]] = []
+    full = int(left[-1])
+    if full:
+        plan.append((((capacity, 1),), full))
         left[-1] = 0
+    if not left.any():
+        return Plan(plan, full)
+    taken, bound = linear_program(left, capacity)
+    for configuration, share in sorted(taken.items(), key=lambda x: (-x[1], x[0])):
+        times = min(int(share), *(int(left[n - 1]) // k for n, k in configuration))
+        if times > 0:
+            for n, k in configuration:
+                left[n - 1] -= k * times
+            plan.append((configuration, times))
+    return Plan(plan + _residue(left, capacity), bound + full)
+
+
+def _residue(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Whole configurations for few pieces of each length: half of what fits at a time, so that prices can follow."""
+    plan: list[tuple[Configuration, int]] = []
     whole = np.maximum(left, 1).astype(float)
     size = np.arange(1, capacity + 1) / capacity
-    # A full sequence is worth most; among full ones those with long pieces, which are hard to place later.
-    price = size * (1 + 0.05 * size)
     table = 0
     while left.any():
-        behind = left / whole  # the share of each length that is still to be covered
-        weight = price * np.exp(0.5 * (behind - behind[left > 0].mean())) if table < GENTLE else price
-        value = np.where(left > 0, weight, -np.inf)
+        gentle = table < GENTLE
+        price = _prices(1 - left / whole, left, size, 0.5 if gentle else 0.0)
+        value = np.where(left > 0, price, -np.inf)
         best, last = _knapsack(value, capacity)
         lengths = np.flatnonzero(left > 0) + 1
         worth = value[lengths - 1] + best[capacity - lengths]
-        share = 0.5 if table < GENTLE else 1.0
         for rank, seed in enumerate(lengths[np.argsort(-worth, kind="stable")][:COLUMNS].tolist()):
             if not left[seed - 1]:
                 continue
@@ -120,10 +205,10 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
                         used[length] = used.get(length, 0) + 1
                         room -= length
             times = min(int(left[n - 1]) // k for n, k in used.items())
-            times = max(1, int(times * share))
+            times = max(1, times // 2 if gentle else times)
             for n, k in used.items():
                 left[n - 1] -= k * times
-            plan.append((sorted(used.items(), reverse=True), times))
+            plan.append((tuple(sorted(used.items(), reverse=True)), times))
         table += 1
     return plan
 
@@ -135,7 +220,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the driver. Pieces of a frequent length are ranked in salted parts.
     """
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    plan = solve(histogram, capacity)
+    plan = solve(histogram, capacity).configurations
     by_length = np.zeros(capacity + 2, np.int64)
     for length, n in histogram.items():
         by_length[length + 1] = n
