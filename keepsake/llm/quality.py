@@ -7,6 +7,8 @@ the attention finds the passages that decide.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,42 +40,63 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = np.zeros((int(number.sum()), WIDTH), np.float32)
     at = np.append(0, np.cumsum(number))
     for a, b in blocks(starts, BLOCK):
-        _block(data[starts[a]:starts[b]], starts[a:b + 1] - starts[a], number[a:b], out[at[a]:at[b]])
+        part, places = data[starts[a]:starts[b]], starts[a:b + 1] - starts[a]
+        if not len(part):
+            continue
+        # A long text is taken in slices; what is counted in them adds up.
+        counts = np.zeros((at[b] - at[a], _KINDS * _KINDS), np.int64)
+        words, again = np.zeros(at[b] - at[a], np.int64), np.zeros(at[b] - at[a], np.int64)
+        seen = np.zeros(0, np.uint64)
+        for low, high in _slices(part, BLOCK):
+            seen = _count(part, low, high, places, number[a:b], counts, words, again, seen)
+        rows = out[at[a]:at[b]]
+        rows[:, :-2] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        rows[:, -2] = again / np.maximum(words, 1)
+        rows[:, -1] = np.log1p(words) / 8
     return out, number
 
 
-def _block(data: np.ndarray, starts: np.ndarray, number: np.ndarray, out: np.ndarray) -> None:
-    if not len(data):
-        return
-    size = np.diff(starts)
-    row_of_text = np.cumsum(number) - number
-    within = np.arange(len(data)) - np.repeat(starts[:-1], size)
-    row = np.repeat(row_of_text, size) + within * np.repeat(number, size) // np.repeat(size, size)
-    kind = _KIND[data]
-    pair = kind.copy()
-    pair[1:] += _KINDS * kind[:-1] * (within[1:] > 0)  # the first byte of a text has none before it
-    n = len(out)
-    counts = np.bincount(row * (_KINDS * _KINDS) + pair, minlength=n * _KINDS * _KINDS).reshape(n, -1)
-    length = np.maximum(counts.sum(1, keepdims=True), 1)
-    out[:, :-2] = np.sqrt(counts / length)
+def _slices(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Slices of about ``size`` bytes that end before a blank, so that no word is parted; one slice if not twice as long."""
+    low = 0
+    while low < len(data):
+        high = len(data) if len(data) - low <= 2 * size else low + size
+        while high < len(data) and _KIND[data[high]] > 1:
+            blank = np.flatnonzero(_KIND[data[high:high + size]] <= 1)
+            high = high + int(blank[0]) if len(blank) else min(high + size, len(data))
+        yield low, high
+        low = high
+
+
+def _count(data: np.ndarray, low: int, high: int, starts: np.ndarray, number: np.ndarray, counts: np.ndarray,
+           words: np.ndarray, again: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Add the bytes from ``low`` to ``high`` to the counts of passages; ``seen`` are the words (with their text) before, sorted."""
+    size, first = np.diff(starts), np.cumsum(number) - number
+    place = np.arange(low, high)
+    text = np.searchsorted(starts, place, "right") - 1
+    within = place - starts[text]
+    row = first[text] + within * number[text] // size[text]
+    kind = _KIND[data[low:high]]
+    before = np.empty_like(kind)
+    before[1:], before[0] = kind[:-1], _KIND[data[low - 1]] if low else 0
+    pair = kind + _KINDS * before * (within > 0)  # the first byte of a text has none before it
+    counts += np.bincount(row * (_KINDS * _KINDS) + pair, minlength=counts.size).reshape(counts.shape)
     # Words whose letters came before in the same text: the share of each passage.
     blank = kind <= 1
-    begins = ~blank
-    begins[1:] &= blank[:-1] | (within[1:] == 0)
-    begin = np.flatnonzero(begins)
+    begin = np.flatnonzero(~blank & ((before <= 1) | (within == 0)))
     if not len(begin):
-        return
-    place = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))) if begin[0] == 0 else (
-        np.arange(len(data)) - np.append(np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(data))))))
-    mixed = _WORDS[(place & 31) * 256 + data] * ~blank
-    word = np.add.reduceat(mixed, begin) + row_of_text[np.searchsorted(starts, begin, "right") - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, first = np.unique(word, return_index=True)
-    again = np.ones(len(word))
-    again[first] = 0
+        return seen
+    spot = np.arange(len(kind))
+    spot[begin[0]:] -= np.repeat(begin, np.diff(np.append(begin, len(kind))))
+    mixed = _WORDS[(spot & 31) * 256 + data[low:high]] * ~blank
+    word = np.add.reduceat(mixed, begin) + first[text[begin]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    distinct, at = np.unique(word, return_index=True)
+    repeated = np.ones(len(word), bool)
+    repeated[at[~np.isin(distinct, seen, assume_unique=True)]] = False
     passage = row[begin]
-    words = np.bincount(passage, minlength=n)
-    out[:, -2] = np.bincount(passage, again, minlength=n) / np.maximum(words, 1)
-    out[:, -1] = np.log1p(words) / 8
+    words += np.bincount(passage, minlength=len(words))
+    again += np.bincount(passage[repeated], minlength=len(again))
+    return np.union1d(seen, distinct) if high < len(data) else seen
 
 
 _WORDS = np.random.default_rng(1).integers(1, 2**63, 32 * 256, dtype=np.uint64)
