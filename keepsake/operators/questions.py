@@ -18,9 +18,12 @@ from keepsake.functions.times import in_timeframe, in_window, quarter_key
 from keepsake.operators.ranking import (
     MAX_OWNERS, bounded_lists, broadcast_if_small, keep_first, top_counts, top_k,
 )
-from keepsake.operators.retrieval import ASK, MAX_LISTS, blank_terms, matching, with_terms
+from keepsake.operators.retrieval import ASK, blank_terms, matching, with_terms
+from keepsake.operators.term_index import TermIndex
 
 OWNER = ["owner_id"]
+# Lists of 500 periods: 200 of them stay within some megabytes.
+MAX_LISTS = 200
 
 
 def routed(questions: DataFrame, now: Column) -> DataFrame:
@@ -116,16 +119,11 @@ def lexical_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
     edge_a, edge_b = bounded(r"\b"), bounded(r"\b")
     patterns = F.transform(F.col("forms"), lambda w: F.struct(w.alias("words"), F.concat(
         F.lit("(?i)" + edge_a), F.array_join(w, "[^A-Za-z0-9_]+"), F.lit(edge_b)).alias("pattern")))
-    listed = (
-        asked.withColumn("words", words).filter(F.size("words") > 0).withColumn("forms", forms)
-        .select(*ASK, F.explode(patterns).alias("p")).select(*ASK, "p.*")
-        .withColumn("form_no", F.monotonically_increasing_id())
-    )
-    texts = rows.withColumn("low", F.lower("text"))
-    lists = listed.groupBy("owner_id", "question_id").agg(
-        F.array_sort(F.collect_list(F.struct("form_no", "words", "pattern"))).alias("forms"))
-    per_owner = broadcast_if_small(bounded_lists(
-        lists, OWNER, ["question_id", "forms"], "asked"), MAX_LISTS)
+    forms = asked.withColumn("words", words).filter(F.size("words") > 0).withColumn("forms", forms).withColumn(
+        "forms", patterns)
+    # Every occurrence of a form holds its longest word.
+    longest = F.transform("forms", lambda f: F.array_max(F.transform(f["words"], lambda w: F.struct(
+        F.length(w).alias("n"), w.alias("w"))))["w"])
     low = F.col("low")
 
     def count_form(f: Column) -> Column:
@@ -135,12 +133,9 @@ def lexical_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
             F.when(every, F.regexp_count("text", f["pattern"])).otherwise(0).alias("n"),
             F.when(every, F.regexp_instr("text", f["pattern"])).otherwise(0).alias("at"))
 
-    per_question = F.transform("asked", lambda q: F.struct(
-        q["question_id"].alias("question_id"),
-        F.transform(q["forms"], count_form).alias("found")))
+    found = TermIndex(rows.withColumn("low", F.lower("text")), OWNER).holding(forms, longest, "forms")
     hit = (
-        texts.join(per_owner, OWNER).withColumn("_q", F.explode(per_question))
-        .select(*rows.columns, "_q.question_id", "_q.found")
+        found.withColumn("found", F.transform("forms", count_form)).drop("low", "forms", "sure")
         .withColumn("occurrences", F.aggregate(
             "found", F.lit(0).cast("long"), lambda a, f: a + f["n"]))
         .filter(F.col("occurrences") > 0)

@@ -3,8 +3,8 @@
 A request holds an owner, a topic and its terms. Every route scores a text as *base + bonus*: the base
 does not depend on the request and a text without any of the terms has no bonus. So the best k texts
 of a request lie among (a) the texts that contain a term and (b) the k best texts by base alone:
-whatever is outside both has k texts above it. Only these candidates are formed; requests and texts
-are never paired off in full. An owner's requests meet the texts as lists of bounded length.
+whatever is outside both has k texts above it. Only these candidates are formed: (a) comes from an index
+over words, so requests and texts are never paired off.
 """
 
 from __future__ import annotations
@@ -23,15 +23,11 @@ from keepsake.functions.times import day_key
 from keepsake.operators.clusters import message_class
 from keepsake.operators.contacts import events_with
 from keepsake.operators.corpus import titled
-from keepsake.operators.ranking import (
-    bounded_lists, broadcast_if_small, dedupe_ranked, keep_first, top_k, within_budget,
-)
+from keepsake.operators.ranking import dedupe_ranked, keep_first, top_k, within_budget
+from keepsake.operators.term_index import TermIndex, with_blanks
 
 OWNER = ["owner_id"]
 ASK = ["owner_id", "question_id"]
-LIST_SIZE = 500
-# Lists of 500 short requests: 200 of them stay within some ten megabytes.
-MAX_LISTS = 200
 
 
 # --- Requests --------------------------------------------------------------------------------------
@@ -54,46 +50,44 @@ def with_terms(requests: DataFrame, terms: Column, *keep: str) -> DataFrame:
     return requests.select(*ASK, *keep, terms.alias("terms"))
 
 
-def request_lists(requests: DataFrame, group: Sequence[str] = OWNER, full: bool = False) -> DataFrame:
-    """Requests of a group as bounded lists. A batch of requests is small next to the texts; where a
-    count confirms it, the lists are broadcast and the texts stay in place."""
-    fields = ["question_id", "terms", *(["phrase"] if full else [])]
-    lists = bounded_lists(requests, group, fields, "requests", LIST_SIZE)
-    return broadcast_if_small(lists, MAX_LISTS)
-
-
 def matching(texts: DataFrame, requests: DataFrame, group: Sequence[str] = OWNER) -> DataFrame:
-    """Texts that contain at least one term of a request, with the number of terms.
+    """Texts that contain at least one term of a request, with the number of terms; those of white space only do not count.
 
     ``texts`` carries the lower-cased text as ``low``.
     """
-    found = F.filter(F.transform("requests", lambda r: F.struct(
-        r["question_id"].alias("question_id"),
-        hits_of(F.col("low"), r["terms"]).alias("hits"))), lambda x: x["hits"] > 0)
-    return (
-        texts.join(request_lists(requests, group), list(group))
-        .withColumn("_m", F.explode(found)).select(*texts.columns, "_m.question_id", "_m.hits")
-    )
+    return matches(TermIndex(texts, group), requests)
+
 
+def matches(index: TermIndex, requests: DataFrame) -> DataFrame:
+    """The same for texts that are indexed already."""
+    asked = requests.withColumn("phrases", with_blanks(F.col("terms")))
+    found = index.holding(asked, F.col("terms"), "phrases")
+    hits = F.col("sure") + F.when(F.size("phrases") > 0, hits_of(F.col("low"), F.col("phrases"))).otherwise(0)
+    return found.withColumn("hits", hits.cast("int")).filter(F.col("hits") > 0).drop("phrases", "sure")
 
-def candidates(texts: DataFrame, requests: DataFrame, order: Sequence[Column], k: int,
-               group: Sequence[str] = OWNER, key: Column | None = None,
+
+def candidates(index: TermIndex, requests: DataFrame, order: Sequence[Column], k: int, key: Column | None = None,
                within: Sequence[str] = ()) -> DataFrame:
     """Matching texts, and the k best of the group by ``order`` for requests they do not match.
 
     Where repeats drop out before the limit, ``key`` names what makes a repeat: then the best text of
     each of the k best keys is kept. ``within`` splits the group where a bonus depends on it.
     """
-    pool, heads = texts, [*group, *within]
+    return matches(index, requests).unionByName(idle(index, requests, order, k, key, within))
+
+
+def idle(index: TermIndex, requests: DataFrame, order: Sequence[Column], k: int, key: Column | None = None,
+         within: Sequence[str] = (), some: Column | None = None) -> DataFrame:
+    """The k best of the group by ``order`` (among ``some``) for requests they do not match."""
+    pool, heads = index.texts if some is None else index.texts.filter(some), [*index.group, *within]
     if key is not None:
-        pool = keep_first(texts.withColumn("_key", F.md5(key)), [*heads, "_key"], order).drop("_key")
+        pool = keep_first(pool.withColumn("_key", F.md5(key)), [*heads, "_key"], order).drop("_key")
     head = top_k(pool, heads, order, k, rank="_base_rank").drop("_base_rank")
-    idle = (
-        head.join(requests.select(*group, "question_id", "terms"), list(group))
-        .withColumn("hits", hits_of(F.col("low"), F.col("terms"))).filter(F.col("hits") == 0)
+    return (
+        head.join(requests.select(*index.group, "question_id", "terms"), index.group)
+        .withColumn("hits", hits_of(F.col("low"), F.filter("terms", lambda t: t.rlike(r"\S")))).filter(F.col("hits") == 0)
         .drop("terms")
     )
-    return matching(texts, requests, group).unionByName(idle)
 
 
 def score_column(weight: float, base: str = "base") -> Column:
@@ -165,15 +159,9 @@ def _asked_words(requests: DataFrame) -> DataFrame:
 
 
 def _question_hits(texts: DataFrame, requests: DataFrame, whole: int, each: int) -> DataFrame:
-    low = F.col("low")
-    found = F.filter(F.transform("requests", lambda r: F.struct(
-        r["question_id"].alias("question_id"),
-        (F.contains(low, r["phrase"]).cast("int") * whole
-         + hits_of(low, r["terms"]) * each).alias("points"))), lambda x: x["points"] > 0)
-    return (
-        texts.join(request_lists(_asked_words(requests), full=True), OWNER)
-        .withColumn("_m", F.explode(found)).select(*texts.columns, "_m.question_id", "_m.points")
-    )
+    found = TermIndex(texts, OWNER).holding(_asked_words(requests), F.col("terms"), "phrase", also=F.array("phrase"))
+    points = F.contains("low", F.col("phrase")).cast("int") * whole + F.col("sure") * each
+    return found.withColumn("points", points.cast("int")).filter(F.col("points") > 0).drop("phrase", "sure")
 
 
 def _with_hit_snippet(best: DataFrame, requests: DataFrame) -> DataFrame:
@@ -219,8 +207,11 @@ def write_examples(comments: DataFrame, posts: DataFrame, requests: DataFrame, k
     order = [F.desc(F.col("hits") > 0), F.desc("score"), *ties]
     base_order = [F.desc("base"), *ties]
 
-    every = candidates(pool, asked, base_order, 4).withColumn("score", score_column(12))
-    short = candidates(pool.filter(F.col("words") < 80), asked, base_order, 6).withColumn(
+    index = TermIndex(pool, OWNER)
+    hit = matches(index, asked)
+    every = hit.unionByName(idle(index, asked, base_order, 4)).withColumn("score", score_column(12))
+    brief = F.col("words") < 80
+    short = hit.filter(brief).unionByName(idle(index, asked, base_order, 6, some=brief)).withColumn(
         "score", score_column(12))
     relevant = top_k(every.filter(F.col("hits") > 0), ASK, order, 8)
     typical = top_k(short, ASK, order, 6).withColumn("rank", F.col("rank") + 8)
@@ -242,7 +233,7 @@ def cross_platform_examples(events: DataFrame, requests: DataFrame, limit: int =
                     + F.least(F.lit(6.0), F.length("text") / 180))
     )
     asked = with_terms(requests, word_terms("topic"))
-    scored = candidates(texts, asked, [F.desc("base"), F.asc("seq")], limit).withColumn(
+    scored = candidates(TermIndex(texts, OWNER), asked, [F.desc("base"), F.asc("seq")], limit).withColumn(
         "score", score_column(8))
     best = top_k(scored, ASK, [F.desc("score"), F.asc("seq")], limit, rank="cut")
     label = F.concat(F.lit("["), "source", F.coalesce(F.concat(F.lit("/"), "channel"), F.lit("")),
@@ -268,7 +259,7 @@ def message_examples(events: DataFrame, requests: DataFrame, limit: int = 10) ->
     ties = [F.desc_nulls_last("created_at"), F.asc("seq")]
     cut = max(limit * 3, 24)
     asked = with_terms(requests, word_terms("topic"))
-    scored = candidates(texts, asked, [F.desc("base"), *ties], cut).withColumn(
+    scored = candidates(TermIndex(texts, OWNER), asked, [F.desc("base"), *ties], cut).withColumn(
         "score", score_column(10))
     best = top_k(scored, ASK, [F.desc("score"), *ties], cut, rank="cut").withColumn(
         "example", clip("text", 500))
@@ -282,7 +273,7 @@ def _outbound_scored(texts: DataFrame, asked: DataFrame, now_ms: int, most: int,
     ties = [F.desc_nulls_last("created_at"), F.asc("seq")]
     based = texts.withColumn("base", base).withColumn("example", clip("text", 600))
     key = dedupe_text("example")
-    scored = candidates(based, asked, [F.desc("base"), *ties], most, group, key).withColumn(
+    scored = candidates(TermIndex(based, group), asked, [F.desc("base"), *ties], most, key).withColumn(
         "score", score_column(8))
     return dedupe_ranked(scored, ASK, key, [
         F.desc(F.col("hits") > 0), F.desc("score"), *ties], most)
@@ -349,7 +340,7 @@ def clone_context(comments: DataFrame, posts: DataFrame, requests: DataFrame,
         "base", F.least(F.lit(8.0), F.length("text") / 140) + F.col("votes") * 0.02)
     ties = [F.asc("place"), F.asc("seq")]
     asked = with_terms(requests, word_terms("topic", distinct=True))
-    scored = candidates(texts, asked, [F.desc("base"), *ties], k).withColumn(
+    scored = candidates(TermIndex(texts, OWNER), asked, [F.desc("base"), *ties], k).withColumn(
         "relevance", score_column(8))
     return top_k(scored, ASK, [F.desc("relevance"), *ties], k).withColumn(
         "example", clip("text", 900)).drop("low", "base", "text")
@@ -368,7 +359,7 @@ def messages_about(events: DataFrame, requests: DataFrame, k: int = 25) -> DataF
         .withColumn("base", F.least(F.lit(0.5), F.length("text") / 6000))
     )
     ties = [F.asc_nulls_first("created_at"), F.asc("seq")]
-    scored = candidates(texts, asked, [F.desc("base"), *ties], k, group).withColumn(
+    scored = candidates(TermIndex(texts, group), asked, [F.desc("base"), *ties], k).withColumn(
         "score", score_column(1))
     return top_k(scored.filter(F.col("score") > 0), ASK, [F.desc("score"), *ties], k).drop(
         "low", "base")
@@ -403,7 +394,7 @@ def routed_messages(events: DataFrame, requests: DataFrame, now_ms: int, most: i
     ties = [F.asc("seq")]
     key = clip(squeeze(F.lower("example")), 100)
     pairs = candidates(
-        texts, asked.select(*group, "question_id", "terms"), [F.desc("base"), *ties], most, group,
+        TermIndex(texts, group), asked.select(*group, "question_id", "terms"), [F.desc("base"), *ties], most,
         key, ["cluster"]).join(asked.select(*ASK, "wanted"), ASK)
     by_class = (F.when(F.col("cluster") == F.col("wanted"), 4.0)
                 .when(F.col("cluster") == "other", 1.0).otherwise(0.0))

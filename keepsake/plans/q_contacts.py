@@ -338,15 +338,18 @@ PHRASES = rf"""phrases AS (
         QUALIFY row_number() OVER (PARTITION BY {GROUP} ORDER BY count(*) DESC, phrase) <= 8)"""
 
 
-@query("agg_25_cluster_memory", f"""WITH {PHRASES},
+MEMORY = f"""{PHRASES},
     sizes AS (SELECT {GROUP}, count(*) AS message_count, avg(length(text)) AS a FROM {CLASSED} GROUP BY ALL),
     listed AS (SELECT {GROUP}, string_agg(phrase, '|' ORDER BY rank) AS top_phrases,
-               string_agg(phrase, '", "' ORDER BY rank) FILTER (rank <= 3) AS few FROM phrases GROUP BY ALL)
-    SELECT {GROUP}, message_count, round(a, 6) AS avg_length, coalesce(top_phrases, '') AS top_phrases,
+               string_agg(phrase, '", "' ORDER BY rank) FILTER (rank <= 3) AS few FROM phrases GROUP BY ALL),
+    memo AS (SELECT {GROUP}, message_count, round(a, 6) AS avg_length, coalesce(top_phrases, '') AS top_phrases,
         message_count || ' ' || CASE WHEN a < 30 THEN 'short' WHEN a < 80 THEN 'medium' ELSE 'detailed' END
         || ' messages. ' || CASE cluster {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASS_TONE.items())} END
         || '.' || coalesce(' Common: "' || few || '".', '') AS summary
-    FROM sizes LEFT JOIN listed USING ({GROUP})""")
+    FROM sizes LEFT JOIN listed USING ({GROUP}))"""
+
+
+@query("agg_25_cluster_memory", f"WITH {MEMORY} SELECT * FROM memo")
 def _(t):
     return clusters.cluster_memory(classed(t)).withColumn(
         "avg_length", F.round("avg_length", 6)).withColumn(

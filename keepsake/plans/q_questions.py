@@ -31,30 +31,32 @@ FORMS = [
 def question_sql(table, number):
     def cell(part):
         out = "'" + part.replace("'", "''") + "'"
-        for k, v in (("{a}", "w[1]"), ("{b}", "w[2]"), ("{n}", "(question_id % 9 + 1)")):
+        for k, v in (("{a}", "a"), ("{b}", "b"), ("{n}", "(question_id % 9 + 1)")):
             out = out.replace(k, f"' || {v} || '")
         return out
     cases = " ".join(f"WHEN {i} THEN {cell(''.join(f))}" for i, f in enumerate(FORMS))
     return f"""asked AS (SELECT question_id, owner_id, CASE question_id % {len(FORMS)} {cases} END AS question
-        FROM (SELECT {number} AS question_id, 'o' || ({number} % 3) AS owner_id,
-                     regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM {table}) WHERE len(w) >= 2)"""
+        FROM (SELECT *, w[1 + 7 * question_id % len(w)] AS a, w[1 + (7 * question_id + 3) % len(w)] AS b
+              FROM (SELECT {number} AS question_id, 'o' || ({number} % 3) AS owner_id,
+                           regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM {table}) WHERE len(w) >= 2))"""
 
 
 def asked(t, table, number):
     n = F.col(number)
-    w = F.col("w")
 
     def text(form):
         pieces = []
         for p in re.split(r"(\{[abn]\})", "".join(form)):
-            pieces.append({"{a}": w[0], "{b}": w[1], "{n}": (n % 9 + 1).cast("string")}.get(p, F.lit(p)))
+            pieces.append({"{a}": F.col("a"), "{b}": F.col("b"), "{n}": (n % 9 + 1).cast("string")}.get(p, F.lit(p)))
         return F.concat(*pieces)
 
     out = None
     for i, f in enumerate(FORMS):
         test = n % len(FORMS) == i
         out = F.when(test, text(f)) if out is None else out.when(test, text(f))
-    rows = t.raw(table).select(number, tokens("text").alias("w")).filter(F.size("w") >= 2)
+    # Two words at places that move over the texts.
+    rows = t.raw(table).select(number, tokens("text").alias("w")).filter(F.size("w") >= 2).select(
+        number, *[F.get("w", ((n * 7 + k) % F.size("w")).cast("int")).alias(c) for c, k in (("a", 0), ("b", 3))])
     return rows.select(n.alias("question_id"), t.owner(number), out.alias("question"))
 
 
@@ -208,17 +210,19 @@ def forum(t):
 
 
 WORDS2 = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
-PHRASED = f"""asked AS (SELECT item_id AS question_id, 'o' || (item_id % 3) AS owner_id, w[1] || ' ' || w[2] AS phrase,
-        w[1] AS topic, [w[1], w[2]] AS topics FROM (SELECT item_id, {WORDS2} AS w FROM benchmark) WHERE len(w) >= 2)"""
+# Two neighbouring words of each benchmark text, at a place that moves over the texts, are a phrase that its owner is asked about.
+PHRASED = f"""asked AS (SELECT item_id AS question_id, 'o' || (item_id % 3) AS owner_id, w[i] || ' ' || w[i + 1] AS phrase,
+        w[i] AS topic, [w[i], w[i + 1]] AS topics
+        FROM (SELECT *, 1 + 7 * item_id % (len(w) - 1) AS i FROM (SELECT item_id, {WORDS2} AS w FROM benchmark) WHERE len(w) >= 2))"""
 
 
 def phrased(t):
-    w = F.col("w")
-    return t.raw("benchmark").select("item_id", tokens("text").alias("w")).filter(
-        F.size("w") >= 2).select(
+    rows = t.raw("benchmark").withColumn("w", tokens("text")).filter(F.size("w") >= 2)
+    i = (F.col("item_id") * 7 % (F.size("w") - 1)).cast("int")
+    a, b = F.get("w", i), F.get("w", i + 1)
+    return rows.select(
         F.col("item_id").alias("question_id"), t.owner("item_id"),
-        F.concat_ws(" ", w[0], w[1]).alias("phrase"), w[0].alias("topic"),
-        F.array(w[0], w[1]).alias("topics"))
+        F.concat_ws(" ", a, b).alias("phrase"), a.alias("topic"), F.array(a, b).alias("topics"))
 
 
 def dates(df, *cols):

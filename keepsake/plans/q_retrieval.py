@@ -3,20 +3,21 @@
 from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import QUESTION_STOP_WORDS, TOPIC_STOP_WORDS
-from keepsake.functions.text import tokens
 from keepsake.operators import retrieval
 from keepsake.plans.q_contacts import class_sql
 from keepsake.plans.q_corpus import TRIM, quoted
 from keepsake.plans.registry import query
 
 NOW = 1_717_200_000_000
-# The first words of each benchmark text are a request of its owner.
-ASKED = """asked AS (
-        SELECT item_id AS question_id, 'o' || (item_id % 3) AS owner_id, array_to_string(w[1:3], ' ') AS topic,
-               w[1:3] AS w, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS target,
+# Each benchmark text, whole, is a request of its owner.
+ASKED = f"""asked AS (
+        SELECT item_id AS question_id, 'o' || (item_id % 3) AS owner_id, text AS topic, trim(lower(text), {TRIM}) AS phrase,
+               regexp_extract_all(lower(text), '[a-z0-9'']+') AS w,
+               [x for x in regexp_split_to_array(lower(text), '\\s+') if length(x) >= 3] AS pieces,
+               CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS target,
                (['casual', NULL, 'professional', NULL])[item_id % 4 + 1] AS preferred,
                (['personal_text', 'public_post', 'professional', 'unfiltered_me', 'other'])[item_id % 5 + 1] AS mode
-        FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM benchmark))"""
+        FROM benchmark)"""
 
 
 def asked(t):
@@ -25,7 +26,7 @@ def asked(t):
         "personal_text", "public_post", "professional", "unfiltered_me", "other")])
     return t.raw("benchmark").select(
         n.alias("question_id"), t.owner("item_id"),
-        F.array_join(F.slice(tokens("text"), 1, 3), " ").alias("topic"),
+        F.col("text").alias("topic"),
         F.when(n % 2 == 0, F.concat(F.lit("src"), (n % 20).cast("string"))).alias("target"),
         F.when(n % 4 == 0, "casual").when(n % 4 == 2, "professional").alias("preferred"),
         F.element_at(modes, (n % 5 + 1).cast("int")).alias("mode"),
@@ -64,9 +65,9 @@ def first(k, order, keys="a.owner_id, a.question_id"):
 
 
 @query("top_01_search", f"""WITH {ASKED}, {FORUM}
-    SELECT a.owner_id, question_id, kind, id, {snip("(instr(lower(text), topic) - 1)")} AS snippet,
+    SELECT a.owner_id, question_id, kind, id, {snip("(instr(lower(text), phrase) - 1)")} AS snippet,
         {first(25, 'place, seq')} AS rank
-    FROM asked a JOIN forum f ON f.owner_id = a.owner_id AND contains(lower(text), topic)
+    FROM asked a JOIN forum f ON f.owner_id = a.owner_id AND contains(lower(text), phrase)
     QUALIFY {first(25, 'place, seq')} <= 25""")
 def _(t):
     rows = retrieval.forum_rows(t.comments(), t.posts(), t.saved(), t.upvoted())
@@ -74,14 +75,14 @@ def _(t):
         "owner_id", "question_id", "kind", "id", "snippet", "rank")
 
 
-POINTS = f"""(CASE WHEN contains(lower(text), topic) THEN {{}} ELSE 0 END
+POINTS = f"""(CASE WHEN contains(lower(text), phrase) THEN {{}} ELSE 0 END
     + {{}} * {hits('lower(text)', 'terms')})"""
-AT = """greatest(0, CASE WHEN contains(lower(text), topic) THEN instr(lower(text), topic)
+AT = """greatest(0, CASE WHEN contains(lower(text), phrase) THEN instr(lower(text), phrase)
     ELSE instr(lower(text), coalesce(terms[1], '')) END - 1)"""
 # list_distinct keeps no order, and the snippet needs the first word.
 WORDED = f"""worded AS (SELECT * EXCLUDE (w), [w[i] for i in range(1, len(w) + 1)
         if length(w[i]) >= 3 AND w[i] NOT IN ({quoted(QUESTION_STOP_WORDS)})
-           AND list_position(w, w[i]) = i] AS terms FROM asked WHERE length(topic) >= 2)"""
+           AND list_position(w, w[i]) = i] AS terms FROM asked WHERE length(phrase) >= 2)"""
 
 
 @query("top_02_general_retrieval", f"""WITH {ASKED}, {FORUM}, {WORDED}, s AS (
@@ -109,9 +110,9 @@ def _(t):
         F.col("score").cast("long").alias("score"), "snippet")
 
 
-@query("top_05_relevant_comments", f"""WITH {ASKED}, q AS (SELECT *, {terms()} AS terms FROM asked)
-    SELECT a.owner_id, question_id, id, CAST({hits('lower(body)', 'terms')} AS BIGINT) AS hits
-    FROM q a JOIN v_comment c ON c.owner_id = a.owner_id WHERE {hits('lower(body)', 'terms')} > 0""")
+@query("top_05_relevant_comments", f"""WITH {ASKED}
+    SELECT a.owner_id, question_id, id, CAST({hits('lower(body)', 'pieces')} AS BIGINT) AS hits
+    FROM asked a JOIN v_comment c ON c.owner_id = a.owner_id WHERE {hits('lower(body)', 'pieces')} > 0""")
 def _(t):
     return retrieval.relevant_comments(t.comments(), asked(t)).select(
         "owner_id", "question_id", "id", F.col("hits").cast("long").alias("hits"))
@@ -236,10 +237,10 @@ def _(t):
 
 SNIPPETS = rf"""f1 AS (SELECT owner_id, place, seq, score, trim(text, {TRIM}) AS text FROM forum WHERE place < 2),
     fs AS (SELECT a.owner_id, question_id, place, seq, substr(text, 1, 700) AS example,
-            5 * {hits('lower(text)', 'terms')} + (least(2.0::DOUBLE, length(text)::DOUBLE / CASE place WHEN 1 THEN 500 ELSE 300 END)
+            5 * {hits('lower(text)', 'pieces')} + (least(2.0::DOUBLE, length(text)::DOUBLE / CASE place WHEN 1 THEN 500 ELSE 300 END)
             + greatest(0, coalesce(score, 0)) * 0.01::DOUBLE) AS score
           FROM q a JOIN f1 ON f1.owner_id = a.owner_id
-          WHERE length(text) >= CASE place WHEN 1 THEN 30 ELSE 15 END AND {hits('lower(text)', 'terms')} > 0),
+          WHERE length(text) >= CASE place WHEN 1 THEN 30 ELSE 15 END AND {hits('lower(text)', 'pieces')} > 0),
     fc AS (SELECT *, {first(0, 'score DESC, place, seq', ASK)} AS cut FROM fs
           QUALIFY {first(0, 'score DESC, place, seq', ASK)} <= 2 * {{0}}),
     fd AS (SELECT * FROM fc QUALIFY row_number() OVER (
@@ -298,13 +299,13 @@ def _(t):
 
 
 # Letters only: the channel "src7" and the target "src12" are both "src", so every channel fits.
-ROUTED = rf"""q AS (SELECT *, {terms()} AS terms, coalesce(preferred, {class_sql('topic')}) AS wanted FROM asked
+ROUTED = rf"""q AS (SELECT *, coalesce(preferred, {class_sql('lower(topic)')}) AS wanted FROM asked
           WHERE target IS NOT NULL),
     m AS (SELECT owner_id, created_at, seq, trim(text, {TRIM}) AS text,
                  {class_sql(f'lower(trim(text, {TRIM}))')} AS cluster FROM v_msg),
     s AS (SELECT a.owner_id, question_id, seq, cluster, wanted, substr(text, 1, 600) AS example,
             CASE WHEN cluster = wanted THEN 4.0 WHEN cluster = 'other' THEN 1.0 ELSE 0.0 END::DOUBLE
-            + least(3, {hits('lower(text)', 'terms')})
+            + least(3, {hits('lower(text)', 'pieces')})
             + ({LENGTH} + least(1.0::DOUBLE, (epoch_us(created_at) // 1000)::DOUBLE / {NOW}.0::DOUBLE)) AS score
           FROM q a JOIN m ON m.owner_id = a.owner_id WHERE length(text) >= 5),
     d AS (SELECT * FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (

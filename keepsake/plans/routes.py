@@ -44,10 +44,11 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
     in_order = [F.asc("place"), F.asc("seq")]
     phrase = shaped(q.phrase_matches(rows, of("phrase_frequency")), "phrase_frequency", 10, in_order)
     period = shaped(q.time_period_rows(rows, of("time_period")), "time_period", 10, in_order)
-    sides = of("comparison").select("owner_id", "question_id", F.explode(
-        F.slice("topics", 1, 2)).alias("topic"))
+    # A side is a request of its own.
+    sides = of("comparison").select("owner_id", "question_id", F.posexplode(
+        F.slice("topics", 1, 2)).alias("side", "topic")).withColumn("question_id", F.struct("question_id", "side"))
     compared = r.matching(rows.filter("place = 0").withColumn("low", F.lower("text")),
-                          r.with_terms(sides, r.blank_terms("topic")))
+                          r.with_terms(sides, r.blank_terms("topic"))).withColumn("question_id", F.col("question_id.question_id"))
     comparison = shaped(compared.drop("low"), "comparison", 10, [F.desc("hits"), *in_order])
     changed = r.matching(
         rows.filter("place = 0 AND created_at IS NOT NULL").withColumn("low", F.lower("text")),
