@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.functions.text import clip, count_matches, strip
+from keepsake.functions.text import clip, count_matches, let, strip
 from keepsake.operators.corpus import titled
 from keepsake.operators.ranking import rank_all, top_k
+from keepsake.operators.term_index import stored
 
 OWNER = ["owner_id"]
+#: Rows that are looked at together when batches are closed.
+SLOT = 4096
 
 
 def is_quality(text: Column | str, min_length: int = 50) -> Column:
@@ -86,32 +86,90 @@ def training_set(slices: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_chars: int | None = None,
-         separator: int = 7) -> DataFrame:
+         separator: int = 7, slot: int = SLOT) -> DataFrame:
     """Batch numbers for ranked texts: close a batch when items or characters would pass the cap.
 
-    The walk needs only lengths. They
-    stream in rank order through a partition, with the open batch carried along.
+    Where a batch that opens at a row ends, only the next ``max_items`` rows decide. So rows are dealt by their
+    place into slots, which the first rows of the next slot overlap; inside a slot pointers to the next opening row are
+    doubled until they leave it, and a slot becomes a map from the few rows at which it can be entered to those of the next one.
+    Maps of neighbouring slots are doubled too, which gives every slot its entry and the batches before it. No task
+    holds more than a slot, whoever owns the rows. Blank texts are left out; null is an owner like others.
     """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, batch_no, items, chars = None, 0, 0, 0
-        for batch in batches:
-            numbers = []
-            for who, n in zip(batch["owner_id"], batch["chars"]):
-                if who != owner:
-                    owner, batch_no, items, chars = who, 0, 0, 0
-                needed = chars + n + (separator if items else 0)
-                if items and (items >= max_items or needed > max_chars):
-                    batch_no, items, chars = batch_no + 1, 0, 0
-                items += 1
-                chars += n + (separator if items > 1 else 0)
-                numbers.append(batch_no)
-            yield batch.assign(batch=numbers)
-
+    if slot < max_items:
+        raise ValueError("a batch has to end in the next slot at the latest")
     text = strip("text")
     sized = ranked.withColumn("text", text if item_chars is None else clip(text, item_chars)).filter("text <> ''")
     lengths = sized.select("owner_id", "rank", F.length("text").cast("long").alias("chars"))
-    numbered = (
-        lengths.repartition("owner_id").sortWithinPartitions("owner_id", "rank")
-        .mapInPandas(walk, "owner_id string, rank bigint, chars bigint, batch bigint")
-    )
-    return sized.join(numbered, ["owner_id", "rank"])
+    slots = stored(_slots(rank_all(lengths, OWNER, [F.asc("rank")], "_at"), max_items, max_chars, separator, slot), "slots")
+    opened = slots.join(_entries(slots), _same("_owner", "_number")).select(
+        "owner_id", "_slot", "rows", "next", "_batch", "_entry")
+    # The rows of the slot that open a batch: from the entry on, each row points at the next.
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("next")), F.array("_entry"), lambda seen, _: F.when(
+        F.element_at(seen, -1) < F.size("next"), F.concat(seen, F.array(F.get("next", F.element_at(seen, -1))))).otherwise(seen))
+    batches = opened.withColumn("opens", walk).select(
+        "owner_id", "rows", F.posexplode(F.slice("opens", 1, F.size("opens") - 1)).alias("_nth", "_from"),
+        "opens", "_batch").select("owner_id", (F.col("_batch") + F.col("_nth")).alias("batch"), F.explode(F.slice(
+            "rows", F.col("_from") + 1, F.get("opens", F.col("_nth") + 1) - F.col("_from"))).alias("_rank"))
+    batches = batches.withColumnRenamed("owner_id", "_owner")
+    here = F.col("owner_id").eqNullSafe(F.col("_owner")) & (F.col("rank") == F.col("_rank"))
+    return sized.join(batches, here).drop("_owner", "_rank")
+
+
+def _same(owner: str, slot: str) -> Column:
+    return F.col("owner_id").eqNullSafe(F.col(owner)) & (F.col("_slot") == F.col(slot))
+
+
+def _slots(placed: DataFrame, max_items: int, max_chars: int, separator: int, slot: int) -> DataFrame:
+    """One row a slot: ranks of its rows (and of those that overlap), for each own row the place of the row that opens the
+    next batch, and for the first rows where a walk from there leaves the slot, and after how many batches."""
+    at = F.col("_at") - 1
+    own = F.floor(at / slot)
+    both = F.when((at % slot < max_items) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    window = Window.partitionBy("owner_id", "_slot").orderBy("_at")
+    rows = placed.select("owner_id", "rank", "_at", "chars", F.explode(both).alias("_slot")).withColumn(
+        "_sum", F.sum(F.col("chars") + separator).over(window))
+    held = rows.groupBy("owner_id", "_slot").agg(F.array_sort(F.collect_list(F.struct("_at", "_sum", "chars", "rank"))).alias("_rows"))
+    inside = F.least(F.size("_rows"), F.lit(slot))
+    held = held.select("owner_id", "_slot", F.transform("_rows", lambda r: r["rank"]).alias("rows"), inside.alias("_own"),
+                       F.transform("_rows", lambda r: r["_sum"]).alias("_sums"), F.slice("_rows", 1, inside).alias("_rows"))
+
+    def following(r: Column, i: Column) -> Column:
+        limit = r["_sum"] - r["chars"] + max_chars
+        fits = F.size(F.filter(F.slice("_sums", i + 1, max_items), lambda x: x <= limit))
+        return i + F.greatest(F.lit(1), fits)
+
+    held = held.withColumn("next", F.transform("_rows", following))
+    jumps = F.transform("next", lambda n: F.struct(n.alias("to"), F.lit(1).cast("long").alias("n")))
+
+    def twice(jump: Column) -> Column:
+        def on(j: Column) -> Column:
+            then = F.get(jump, j["to"])
+            return F.when(j["to"] >= F.col("_own"), j).otherwise(
+                F.struct(then["to"].alias("to"), (j["n"] + then["n"]).alias("n")))
+        return F.transform(jump, on)
+
+    for _ in range((slot - 1).bit_length()):
+        jumps = let(jumps, twice)
+    leave = F.transform(jumps, lambda j: F.struct((j["to"] - F.col("_own")).alias("to"), j["n"].alias("n")))
+    return held.withColumn("leave", F.slice(leave, 1, max_items)).select("owner_id", "_slot", "rows", "next", "leave")
+
+
+def _entries(slots: DataFrame) -> DataFrame:
+    """(_owner, _number, _entry, _batch): where the batches of an owner enter each of its slots, and how many lie before."""
+    maps = slots.select(F.col("owner_id").alias("_owner"), F.col("_slot").alias("_number"), "leave")
+    known = maps.filter("_number = 0").select("_owner", "_number", F.lit(0).alias("_entry"), F.lit(0).cast("long").alias("_batch"))
+    last, step = maps.agg(F.max("_number")).first()[0] or 0, 1
+    while step <= last:
+        # ``maps`` leads over ``step`` slots; entries are known of as many.
+        exits = F.get("leave", F.col("_entry"))
+        on = maps.withColumnsRenamed({"_owner": "owner_id", "_number": "_slot"})
+        further = known.join(on, _same("_owner", "_number")).select(
+            "_owner", (F.col("_number") + step).alias("_number"), exits["to"].alias("_entry"),
+            (F.col("_batch") + exits["n"]).alias("_batch")).filter(F.col("_entry").isNotNull())
+        known = stored(known.unionByName(further), "entries")
+        then = maps.select(F.col("_owner").alias("owner_id"), (F.col("_number") - step).alias("_slot"), F.col("leave").alias("_then"))
+        joined = F.transform("leave", lambda a: F.struct(
+            F.get("_then", a["to"])["to"].alias("to"), (a["n"] + F.get("_then", a["to"])["n"]).alias("n")))
+        maps = stored(maps.join(then, _same("_owner", "_number")).select("_owner", "_number", joined.alias("leave")), "maps")
+        step *= 2
+    return known

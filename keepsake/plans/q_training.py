@@ -104,8 +104,8 @@ def _(t):
     SELECT owner_id, source, seq, length(substr(text, 1, 6000)) AS kept, md5(substr(text, 1, 6000)) AS digest
     FROM v_timeline WHERE trim(text, {TRIM}) <> ''""")
 def _(t):
-    from keepsake.sources.events import nonblank
-    return nonblank(t.timeline()).select(
+    from keepsake.sources.events import cut_texts, nonblank
+    return cut_texts(nonblank(t.timeline()), 6000).select(
         "owner_id", "source", "seq", F.length("text").cast("long").alias("kept"),
         F.md5("text").alias("digest"))
 
