@@ -15,7 +15,7 @@ _SQL: dict[str, str] = {}
 _MODULES = (
     "q_activity", "q_corpus", "q_voice", "q_sessions", "q_contacts",
     "q_retrieval", "q_questions", "q_evidence", "q_knowledge", "q_insights", "q_maintained",
-    "q_sources", "q_training", "q_responses", "q_streams",
+    "q_sources", "q_archives", "q_training", "q_responses", "q_streams",
 )
 
 

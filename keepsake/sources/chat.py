@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.times import chat_date
-from keepsake.sources.files import parsed
+from keepsake.sources.files import counts_here, elements_before, parsed
 
 MIN_LENGTH = 5
 
@@ -46,8 +46,8 @@ def mapping_turns(docs: DataFrame, *extra: str) -> DataFrame:
     """The ``mapping`` form. An array at the root holds one conversation per element."""
     doc = F.col("doc")
     convs = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
-    nodes = docs.select("owner_id", *extra, F.posexplode(convs).alias("conv_no", "conv")).select(
-        "owner_id", *extra, "conv_no", F.posexplode(F.map_values(F.try_variant_get(
+    nodes = docs.filter(counts_here(None)).select("owner_id", *extra, "base", "array", F.posexplode(convs).alias("conv_no", "conv")).select(
+        "owner_id", *extra, (F.col("conv_no") + elements_before(None)).alias("conv_no"), F.posexplode(F.map_values(F.try_variant_get(
             "conv", "$.mapping", "map<string,variant>"))).alias("node_no", "node"))
     m = F.col("m")
     rows = nodes.withColumn("m", F.try_variant_get("node", "$.message", "variant")).withColumn(
@@ -65,13 +65,16 @@ def message_turns(docs: DataFrame, *extra: str) -> DataFrame:
     doc = F.col("doc")
     flat = F.try_variant_get(doc, "$", "array<variant>")
     convs = F.coalesce(F.try_variant_get(doc, "$.conversations", "array<variant>"), F.array(doc))
-    listed = docs.filter(flat.isNull()).select("owner_id", *extra, F.posexplode(convs).alias(
+    several = F.try_variant_get(doc, "$.conversations", "variant").isNotNull()
+    mine = F.when(several, counts_here("conversations")).otherwise(counts_here("messages"))
+    listed = docs.filter(flat.isNull() & mine).select("owner_id", *extra, "base", "array", F.posexplode(convs).alias(
         "conv_no", "conv")).select(
-        "owner_id", *extra, "conv_no", F.col("conv"),
-        F.posexplode(F.try_variant_get("conv", "$.messages", "array<variant>")).alias("turn_no", "m"))
+        "owner_id", *extra, "base", "array", (F.col("conv_no") + elements_before("conversations")).alias("conv_no"), F.col("conv"),
+        F.posexplode(F.try_variant_get("conv", "$.messages", "array<variant>")).alias("turn_no", "m")).withColumn(
+        "turn_no", F.col("turn_no") + elements_before("messages"))
     single = docs.filter(flat.isNotNull()).select(
-        "owner_id", *extra, F.lit(0).alias("conv_no"), F.lit(None).cast("variant").alias("conv"),
-        F.posexplode(flat).alias("turn_no", "m"))
+        "owner_id", *extra, "base", "array", F.lit(0).cast("long").alias("conv_no"), F.lit(None).cast("variant").alias("conv"),
+        F.posexplode(flat).alias("turn_no", "m")).withColumn("turn_no", F.col("turn_no") + elements_before(None))
     m = F.col("m")
     rows = listed.unionByName(single).withColumn(
         "seq", F.col("conv_no") * F.lit(1_000_000) + F.col("turn_no").cast("long")).filter(
@@ -87,8 +90,9 @@ def plain_turns(docs: DataFrame, *extra: str) -> DataFrame:
     m = F.col("m")
     listed = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"),
                         F.try_variant_get("doc", "$.messages", "array<variant>"))
-    rows = docs.select("owner_id", *extra, F.posexplode(listed).alias("turn_no", "m")).withColumn(
-        "seq", F.col("turn_no").cast("long")).filter(_string(m, "role") == "user")
+    rows = docs.filter(counts_here("messages") | counts_here(None)).select(
+        "owner_id", *extra, "base", "array", F.posexplode(listed).alias("turn_no", "m")).withColumn(
+        "seq", F.col("turn_no") + F.when(F.col("array").isNull(), F.col("base")).otherwise(elements_before("messages"))).filter(_string(m, "role") == "user")
     return _user_turns(rows, m, _date(m, "timestamp", "created_at", "date"),
                        F.coalesce(_string(m, "model"), F.lit("unknown")), "LLM",
                        F.lit(None).cast("string"), F.lit(None).cast("string"), list(extra))

@@ -10,6 +10,7 @@ import csv
 import io
 import itertools
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,25 +27,54 @@ def owner_from_path(folder: str = "owner") -> Column:
     return F.regexp_extract(F.col("path"), rf"/{folder}=([^/]+)/", 1)
 
 
-def read_whole(spark: SparkSession, root: str, glob: str, owner: Column | None = None) -> DataFrame:
-    """Files below a folder, one row each. Folders that cannot be read are skipped."""
+#: What a document has besides owner and path: see ``json_cuts``.
+CUT = ["content", "part", "array", "base", "counts"]
+
+
+def whole(raw: DataFrame) -> DataFrame:
+    """Documents that were not cut."""
+    return raw.withColumns({"part": F.lit(0), "array": F.lit(None).cast("string"), "base": F.lit(0).cast("long"),
+                            "counts": F.lit(None).cast("map<string,bigint>")})
+
+
+def counts_here(array: str | None) -> Column:
+    """Whether the elements of an array (None: the root) count with this part: its own, or what stayed whole, with the first."""
+    own = F.col("array").isNull() if array is None else F.col("array") == array
+    return (F.col("part") == 0) | F.coalesce(own, F.lit(False))
+
+
+def elements_before(array: str | None) -> Column:
+    """Elements before this part, if the document was cut at this array (None: at its root)."""
+    own = F.col("array").isNull() if array is None else F.col("array") == array
+    return F.when(own, F.col("base")).otherwise(F.lit(0).cast("long"))
+
+
+def read_whole(spark: SparkSession, root: str, glob: str, owner: Column | None = None, fits: Column | None = None,
+               some: Column | None = None) -> DataFrame:
+    """Files below a folder, one row each. Folders that cannot be read are skipped.
+
+    ``fits`` is a test on the file's metadata, ``some`` one on its ``path``: files that fail are not read.
+    """
     rows = (
         spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
         .option("pathGlobFilter", glob).text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
+    rows = (rows if fits is None else rows.filter(fits)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    rows = rows if some is None else rows.filter(some)
     return rows.select((owner if owner is not None else owner_from_path()).alias("owner_id"),
                        "path", "content")
 
 
 def read_pieces(spark: SparkSession, root: str, glob: str, separator: str,
-                owner: Column | None = None) -> DataFrame:
-    """Files cut at a separator while reading, so one large file spreads over many tasks."""
+                owner: Column | None = None, some: Column | None = None) -> DataFrame:
+    """Files cut at a separator while reading, so one large file spreads over many tasks. ``some`` is a test on the path."""
     rows = (
         spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
         .option("pathGlobFilter", glob).option("lineSep", separator).text(root)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
+    rows = rows if some is None else rows.filter(some)
     return rows.select((owner if owner is not None else owner_from_path()).alias("owner_id"),
                        "path", "content", F.monotonically_increasing_id().alias("seq"))
 
@@ -81,6 +111,7 @@ LARGEST_DOCUMENT = 128 << 20
 
 def parsed(raw: DataFrame, largest: int = LARGEST_DOCUMENT) -> DataFrame:
     """Documents as ``doc``; text that is not JSON gives null there. A document too large to parse is an error, not a gap."""
+    raw = raw if "base" in raw.columns else whole(raw)
     fits = F.when(F.octet_length("content") > largest, F.raise_error(F.concat(
         F.lit("document too large to parse, split it: "), F.coalesce("path", F.lit("unnamed")))).cast("string"))
     return raw.withColumn("doc", F.try_parse_json(F.coalesce(fits, F.col("content"))))
@@ -100,24 +131,51 @@ OBJECTS = (
 )
 
 
-def _all_objects(doc) -> Iterator[dict]:
-    stack = [doc]
+def _below(doc, start: int) -> Iterator[tuple[int, dict]]:
+    """Objects at any depth in reading order, numbered from ``start``; the last number of its 16 bits is shared by the rest."""
+    stack, i = [doc], 0
     while stack:
         cur = stack.pop()
         if isinstance(cur, dict):
-            yield cur
-            stack.extend(v for v in cur.values() if isinstance(v, (dict, list)))
-        elif isinstance(cur, list):
-            stack.extend(cur)
+            yield start + min(i, 0xFFFF), cur
+            i += 1
+        if isinstance(cur, (dict, list)):
+            stack.extend(reversed([v for v in (cur.values() if isinstance(cur, dict) else cur) if isinstance(v, (dict, list))]))
 
 
-def _tree_nodes(doc) -> Iterator[dict]:
+def _all_objects(doc, part: int, array: str | None, base: int) -> Iterator[tuple[int, dict]]:
+    """Objects with a position that is the same whether the document was cut or not.
+
+    It says which member of the root, which element of its array, and which object of the element. What surrounds
+    the array of a cut document counts once, with its first part.
+    """
+    def elements(values: list, member: int) -> Iterator[tuple[int, dict]]:
+        for e, v in enumerate(values):
+            yield from _below(v, (member << 48) + ((base + e + 1) << 16))
+
+    if isinstance(doc, list):
+        yield from elements(doc, 0)
+    elif isinstance(doc, dict):
+        if part == 0:
+            yield 0, doc
+        for k, v in doc.items():
+            member = 1 + zlib.crc32(k.encode("utf-8", "replace")) % 0x7FFE
+            if isinstance(v, list):
+                if part == 0 or k == array:
+                    yield from elements(v, member)
+            elif part == 0 and isinstance(v, dict):
+                yield from _below(v, member << 48)
+
+
+def _tree_nodes(doc, *_) -> Iterator[tuple[int, dict]]:
     roots = doc.get("roots") if isinstance(doc, dict) else None
     stack = list(reversed(list(roots.values()))) if isinstance(roots, dict) else []
+    i = 0
     while stack:
         cur = stack.pop()
         if isinstance(cur, dict):
-            yield cur
+            yield i, cur
+            i += 1
             children = cur.get("children")
             stack.extend(reversed(children) if isinstance(children, list) else [])
 
@@ -148,23 +206,24 @@ def json_objects(raw: DataFrame, tree: bool = False) -> DataFrame:
     cannot say, so the walk is a small Arrow-batched helper.
     """
     walk = _tree_nodes if tree else _all_objects
+    columns = ["owner_id", "path", "content", "part", "array", "base"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def objects():
             for batch in batches:
-                for owner, path, content in zip(batch["owner_id"], batch["path"], batch["content"]):
+                for owner, path, content, part, array, base in zip(*(batch[c] for c in columns)):
                     try:
                         doc = json.loads(content)
                     except (TypeError, ValueError):
                         continue
-                    for i, o in enumerate(walk(doc)):
+                    for i, o in walk(doc, part, array, base):
                         yield {"owner_id": owner, "path": path, "position": i, **_summary(o)}
 
         for rows in in_slices(objects()):
             yield pd.DataFrame(rows, columns=[
                 "owner_id", "path", "position", "keys", "strings", "numbers", "details", "head"])
 
-    return raw.select(*RAW).mapInPandas(run, OBJECTS)
+    return (raw if "base" in raw.columns else whole(raw)).select(*columns).mapInPandas(run, OBJECTS)
 
 
 def csv_rows(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import strip
-from keepsake.sources.files import parsed
+from keepsake.sources.files import counts_here, elements_before, parsed
 
 
 def _ms(c: Column) -> Column:
@@ -23,11 +23,12 @@ def messages(raw: DataFrame, owner_name: str | None = None) -> DataFrame:
                      lambda n: n.isNotNull())
     folder = F.replace(F.element_at(F.split("path", "/"), -2), F.lit("_"), F.lit(" "))
     rows = (
-        parsed(raw).filter(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^message_.*\.json$"))
+        parsed(raw).filter(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^message_.*\.json$")
+                           & counts_here("messages"))
         .select("owner_id", F.coalesce(names, F.array().cast("array<string>")).alias("people"),
-                folder.alias("folder"), F.posexplode(
+                folder.alias("folder"), elements_before("messages").alias("base"), F.posexplode(
                     F.try_variant_get(doc, "$.messages", "array<variant>")).alias("seq", "m"))
-        .select("owner_id", "people", "folder", F.col("seq").cast("long").alias("seq"),
+        .select("owner_id", "people", "folder", (F.col("seq") + F.col("base")).alias("seq"),
                 F.try_variant_get("m", "$.sender_name", "string").alias("sender"),
                 F.try_variant_get("m", "$.timestamp_ms", "double").alias("ms"),
                 F.coalesce(F.try_variant_get("m", "$.content", "string"), F.lit("")).alias("text"))
@@ -51,15 +52,25 @@ def messages(raw: DataFrame, owner_name: str | None = None) -> DataFrame:
 ENTRY = "struct<value:string,timestamp:double,href:string>"
 
 
+def _numbered(first: Column):
+    return lambda c, i: F.struct((first + i).alias("seq"), c.alias("c"))
+
+
 def comments(raw: DataFrame) -> DataFrame:
     """The owner's comments, from any of three lists and two spellings of the keys."""
     doc = F.col("doc")
-    lists = F.array(*[
-        F.coalesce(F.try_variant_get(doc, f"$.{k}", "array<variant>"),
-                   F.array().cast("array<variant>"))
-        for k in ("comments_media_comments", "comments", "media_comments")])
+    keys = ("comments_media_comments", "comments", "media_comments")
+    none = F.array().cast("array<struct<seq:bigint,c:variant>>")
+    lists, earlier = [], F.lit(0).cast("long")
+    for k in keys:
+        found = F.try_variant_get(doc, f"$.{k}", "array<variant>")
+        before = earlier + elements_before(k)
+        numbered = F.transform(found, _numbered(before))
+        lists.append(F.coalesce(F.when(counts_here(k), numbered), none))
+        # Lists follow each other; of a cut document the whole lists count.
+        earlier = earlier + F.coalesce(F.col("counts")[k], F.size(found).cast("long"), F.lit(0))
     rows = parsed(raw).filter(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(
-        r"comment.*\.json$")).select("owner_id", F.posexplode(F.flatten(lists)).alias("seq", "c"))
+        r"comment.*\.json$")).select("owner_id", F.explode(F.flatten(F.array(*lists))).alias("e")).select("owner_id", "e.seq", "e.c")
 
     def entry(name: str) -> Column:
         return F.coalesce(*[F.try_variant_get("c", f"$.string_map_data.{k}", ENTRY)
