@@ -97,6 +97,23 @@ def _(t):
     return tables.read_profile(t.spark, path, "identity")
 
 
+@query("snk_03_cleared", """
+    SELECT owner_id, 0 AS before, count(*) AS after FROM v_evt WHERE is_user_message GROUP BY 1
+    UNION ALL SELECT owner_id, count(*), 0 FROM v_evt GROUP BY 1""")
+def _(t):
+    """A table that is emptied keeps its schema, and takes new rows."""
+    path = stored_at(t, "cleared")
+    rows = t.dense().select("owner_id", "seq", "is_user_message")
+    rows.write.parquet(path)
+    n = F.count(F.lit(1))
+    before = rows.groupBy("owner_id").agg(n.alias("before"), F.lit(0).cast("long").alias("after"))
+    tables.clear(t.spark, path, rows.schema)
+    kept = t.spark.read.parquet(path)
+    kept.unionByName(rows.filter("is_user_message")).write.mode("append").parquet(path)
+    after = t.spark.read.parquet(path).groupBy("owner_id").agg(F.lit(0).cast("long").alias("before"), n.alias("after"))
+    return before.unionByName(after)
+
+
 @query("snk_04_latest_contact_profiles", """
     SELECT owner_id, contact, CASE WHEN count(*) FILTER (is_user_message) > 0 THEN count(*) FILTER (is_user_message)
         ELSE count(*) END AS messages FROM v_evt GROUP BY ALL""")
@@ -122,7 +139,6 @@ def writing(t):
         "contact", F.when(F.col("session_id") % 3 > 0, F.concat(
             F.lit("c"), (F.col("session_id") % 4).cast("string")))).withColumn(
         "timestamp", F.timestamp_seconds(F.col("session_id") * 3600)).withColumn(
-        "corrections", F.array().cast("array<struct<seq:bigint,feedback:string>>")).withColumn(
         "data_note", F.when(F.col("session_id") % 5 == 0, F.lit("few messages")))
 
 
@@ -148,15 +164,44 @@ def _(t):
 
 
 CORRECTED = f"""{SESSIONS}, cs AS (SELECT ws.*, coalesce(n, 0) AS n, f AS feedback FROM ws LEFT JOIN (
-        SELECT owner_id, session_id, count(*) AS n, string_agg(feedback, '; ' ORDER BY turn) AS f FROM fixes GROUP BY ALL)
+        SELECT owner_id, session_id, count(*) AS n, string_agg(feedback, '; ' ORDER BY turn % 2, turn) AS f FROM fixes GROUP BY ALL)
         USING (owner_id, session_id))"""
 
 
-@query("inc_08_corrections", f"""WITH {CORRECTED} SELECT owner_id, session_id, n, md5(coalesce(feedback, '')) AS digest FROM cs""")
+def changed(t, compact=False):
+    """Corrections in two writes, an update in each, and a compaction between them."""
+    path, late = stored_at(t, "changes"), F.col("seq") % 2 == 1
+    notes = writing(t).select("owner_id", "session_id", F.concat(F.lit("note "), "session_id").alias("data_note"),
+                              F.when(F.col("session_id") % 2 == 0, "somebody").alias("contact"))
+    first = tables.updates_as_changes(notes.withColumn("data_note", F.lit("old")), ["data_note", "contact"])
+    second = tables.updates_as_changes(notes.filter("session_id % 3 = 0").withColumn("contact", F.lit(None)), ["data_note", "contact"])
+    tables.log_changes(tables.corrections_as_changes(fixes(t).filter(~late)).unionByName(first), path, 1)
+    if compact:
+        tables.compact_changes(t.spark, path)
+    tables.log_changes(tables.corrections_as_changes(fixes(t).filter(late)).unionByName(second), path, 2)
+    if compact:
+        tables.compact_changes(t.spark, path)
+    return tables.read_changes(t.spark, path)
+
+
+# Even turns were written first.
+@query("inc_08_corrections", f"""WITH {SESSIONS}
+    SELECT owner_id, session_id, row_number() OVER (PARTITION BY owner_id, session_id ORDER BY turn % 2, turn) AS place,
+        md5(feedback) AS digest FROM fixes""")
 def _(t):
-    out = tables.apply_corrections(writing(t), fixes(t))
-    return out.select("owner_id", "session_id", F.size("corrections").cast("long").alias("n"),
-                      F.md5(F.array_join("corrections.feedback", "; ")).alias("digest"))
+    return tables.corrections_of(changed(t)).select("owner_id", "session_id", "place", F.md5("feedback").alias("digest"))
+
+
+@query("inc_08_updated_sessions", f"""WITH {SESSIONS}
+    SELECT owner_id, session_id, CASE WHEN session_id % 3 = 0 THEN 'note ' || session_id ELSE 'old' END AS data_note,
+        CASE WHEN session_id % 2 = 0 THEN 'somebody' ELSE contact END AS contact,
+        (SELECT count(*) FROM fixes f WHERE f.owner_id = ws.owner_id AND f.session_id = ws.session_id) AS corrections FROM ws""")
+def _(t):
+    changes = changed(t, compact=True)
+    n = tables.corrections_of(changes).groupBy("owner_id", "session_id").agg(F.count(F.lit(1)).alias("corrections"))
+    rows = tables.update_sessions(writing(t), changes, ["data_note", "contact"])
+    return rows.join(n, ["owner_id", "session_id"], "left").select(
+        "owner_id", "session_id", "data_note", "contact", F.coalesce("corrections", F.lit(0)).alias("corrections"))
 
 
 @query("ctx_04_session_lines", f"""WITH {CORRECTED}
@@ -167,14 +212,14 @@ def _(t):
         || CASE WHEN session_id % 5 = 0 THEN chr(10) || 'Note: few messages' ELSE '' END AS line
     FROM cs QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY session_id DESC) <= 5""")
 def _(t):
-    return context.session_lines(tables.apply_corrections(writing(t), fixes(t)), 5).select(
+    return context.session_lines(writing(t), tables.corrections_of(changed(t)), 5).select(
         "owner_id", "session_id", "line")
 
 
 # Chunk memory: each chat is a summarized chunk, the words of its first turn its topics.
 MEMORY = """mem AS (SELECT owner_id, 'k' || (conv_id % 6) AS contact_key, conv_id AS chunk_id, conv_id * 86400000 AS start_ms,
         conv_id * 86400000 + count(*) * 3600000 AS end_ms, count(*) AS message_count, arg_min(text, turn) AS summary,
-        list_distinct(regexp_extract_all(lower(arg_min(text, turn)), '[a-z0-9'']+')[1:3]) AS topics FROM v_chat GROUP BY owner_id, conv_id)"""
+        list_distinct(regexp_extract_all(lower(arg_min(text, turn)), '[a-z0-9'']+')) AS topics FROM v_chat GROUP BY owner_id, conv_id)"""
 
 
 def memory(t):
@@ -185,7 +230,7 @@ def memory(t):
         "owner_id", F.concat(F.lit("k"), (F.col("conv_id") % 6).cast("string")).alias("contact_key"),
         F.col("conv_id").alias("chunk_id"), day.alias("start_ms"),
         (day + F.col("message_count") * 3_600_000).alias("end_ms"), "message_count", "summary",
-        F.array_distinct(F.slice(tokens("summary"), 1, 3)).alias("topics"),
+        F.array_distinct(tokens("summary")).alias("topics"),
         F.array().cast("array<string>").alias("notable_events"))
 
 
@@ -200,12 +245,16 @@ def _(t):
     return out.select("chunk_id", "owner_id", "message_count", "tone")
 
 
-TOPICAL = f"""{ASKED}, {MEMORY}, who AS (SELECT question_id, owner_id, w[1] AS topic, 'k' || (question_id % 6) AS contact_key FROM asked)"""
+# Every word of every benchmark text is asked for.
+TOPICAL = f"""{ASKED}, {MEMORY}, who AS (SELECT question_id * 1000 + i AS question_id, owner_id, w[i] AS topic,
+        'k' || (question_id % 6) AS contact_key FROM asked, generate_series(1, len(w)) g(i))"""
 
 
 def asking(t):
-    return asked(t).select("owner_id", "question_id", F.split_part("topic", F.lit(" "), F.lit(1)).alias("topic"),
-                           F.concat(F.lit("k"), (F.col("question_id") % 6).cast("string")).alias("contact_key"))
+    from keepsake.functions.text import tokens
+    return asked(t).select("owner_id", "question_id", F.posexplode(tokens("topic")).alias("i", "topic")).select(
+        "owner_id", (F.col("question_id") * 1000 + F.col("i") + 1).alias("question_id"), "topic",
+        F.concat(F.lit("k"), (F.col("question_id") % 6).cast("string")).alias("contact_key"))
 
 
 @query("top_15_chunks_by_topic", f"""WITH {TOPICAL}, m AS (SELECT w.owner_id, question_id, chunk_id, start_ms,
@@ -219,29 +268,56 @@ def _(t):
         "owner_id", "question_id", "chunk_id", "rank")
 
 
-@query("top_16_first_chunks", f"""WITH {MEMORY}
-    SELECT owner_id, contact_key, chunk_id, 'meta ' || contact_key AS meta_summary,
-        row_number() OVER (PARTITION BY owner_id, contact_key ORDER BY start_ms, chunk_id) AS rank FROM mem
+# The summary of a contact was set twice, what is known of it once, a day later.
+SET_AT = ("2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-03 00:00:00")
+
+
+def state(t):
+    path = stored_at(t, "state")
+    contacts = memory(t).groupBy("owner_id", "contact_key").agg(F.sum("message_count").alias("n"))
+    at = [F.lit(x).cast("timestamp") for x in SET_AT]
+    tables.set_state(contacts.withColumn("v", F.concat(F.lit("meta "), "contact_key")), path, "meta_summary", "v", at[0])
+    tables.set_state(contacts.withColumn("v", F.concat(F.lit("known of "), F.col("n").cast("string"))), path, "knowledge_state", "v", at[1])
+    tables.set_state(contacts.filter("n % 2 = 0").withColumn("v", F.concat(F.lit("newer "), "contact_key")), path, "meta_summary", "v", at[2])
+    return tables.read_state(t.spark, path)
+
+
+@query("inc_09_state_as_of", f"""WITH {MEMORY}, c AS (SELECT owner_id, contact_key, sum(message_count) AS n FROM mem GROUP BY ALL),
+    days AS (SELECT unnest([0, 1, 2, 3]) AS day)
+    SELECT owner_id, contact_key, day, CASE WHEN day = 0 THEN NULL WHEN day = 3 AND n % 2 = 0 THEN 'newer ' || contact_key
+            ELSE 'meta ' || contact_key END AS meta_summary, CASE WHEN day >= 2 THEN 'known of ' || n END AS knowledge_state FROM c, days""")
+def _(t):
+    asked = memory(t).select("owner_id", "contact_key").distinct().withColumn(
+        "day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn(
+        "at", F.timestamp_seconds(F.unix_timestamp(F.lit("2023-12-31 12:00:00")) + F.col("day") * 86_400))
+    return tables.state_as_of(state(t), asked, ["meta_summary", "knowledge_state"]).drop("at")
+
+
+@query("top_16_first_chunks", f"""WITH {MEMORY}, c AS (SELECT owner_id, contact_key, sum(message_count) AS n FROM mem GROUP BY ALL)
+    SELECT owner_id, contact_key, chunk_id, CASE WHEN n % 2 = 0 THEN 'newer ' ELSE 'meta ' END || contact_key AS meta_summary,
+        'known of ' || n AS knowledge_state, row_number() OVER (PARTITION BY owner_id, contact_key ORDER BY start_ms, chunk_id) AS rank FROM mem JOIN c USING (owner_id, contact_key)
     QUALIFY row_number() OVER (PARTITION BY owner_id, contact_key ORDER BY start_ms, chunk_id) <= 10""")
 def _(t):
-    meta = memory(t).select("owner_id", "contact_key").distinct().withColumn(
-        "meta_summary", F.concat(F.lit("meta "), "contact_key"))
-    return context.first_chunks(memory(t), meta).select(
-        "owner_id", "contact_key", "chunk_id", "meta_summary", "rank")
+    asked = memory(t).select("owner_id", "contact_key").distinct().withColumn("at", F.lit("2024-02-01").cast("timestamp"))
+    known = tables.state_as_of(state(t), asked, ["meta_summary", "knowledge_state"]).drop("at")
+    return context.first_chunks(memory(t), known).select(
+        "owner_id", "contact_key", "chunk_id", "meta_summary", "knowledge_state", "rank")
 
 
 @query("ctx_05_memory_text", f"""WITH {MEMORY}, r AS (
         SELECT *, row_number() OVER (PARTITION BY owner_id, contact_key ORDER BY start_ms, chunk_id) AS rank FROM mem),
     l AS (SELECT *, chr(10) || '[' || strftime(make_timestamp(start_ms * 1000), '%Y-%m-%d') || ' to '
         || strftime(make_timestamp(end_ms * 1000), '%Y-%m-%d') || '] (' || message_count || ' messages)' || chr(10)
-        || 'Summary: ' || summary AS line FROM r WHERE rank <= 10)
+        || 'Summary: ' || summary || CASE WHEN len(w) > 0 THEN chr(10) || 'Topics: ' || array_to_string(w, ', ') ELSE '' END AS line
+        FROM (SELECT *, regexp_extract_all(lower(summary), '[a-z0-9'']+') AS w FROM r) WHERE rank <= 10)
     SELECT owner_id, contact_key, 'OVERALL SUMMARY: meta ' || contact_key || chr(10) || chr(10) || 'CONVERSATION CHUNKS:'
         || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS memory_text FROM l GROUP BY owner_id, contact_key""")
 def _(t):
     meta = memory(t).select("owner_id", "contact_key").distinct().withColumn(
         "meta_summary", F.concat(F.lit("meta "), "contact_key"))
-    bare = memory(t).withColumn("topics", F.array().cast("array<string>"))
-    return context.memory_text(context.first_chunks(bare, meta))
+    from keepsake.functions.text import tokens
+    every = memory(t).withColumn("topics", tokens("summary"))  # in order and with repeats, as SQL lists them
+    return context.memory_text(context.first_chunks(every, meta))
 
 
 @query("ctx_02_timeline_context", r"""WITH lines AS (
@@ -254,7 +330,11 @@ def _(t):
                     || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 150)
                 ELSE ' (' || channel || ') ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) END,
             row_number() OVER (PARTITION BY owner_id, source ORDER BY created_at DESC, seq DESC),
-            CASE source WHEN 'sms' THEN 200 ELSE 10 END FROM v_timeline WHERE source <> 'llm_chat')
+            CASE source WHEN 'sms' THEN 200 ELSE 10 END FROM v_timeline WHERE source <> 'llm_chat'
+        UNION ALL SELECT owner_id, 'domain', '- ' || domain || ': ' || format('{:,}', count(*)) || ' visits',
+            row_number() OVER (PARTITION BY owner_id ORDER BY count(*) DESC, domain), 30
+        FROM (SELECT owner_id, regexp_replace(lower(regexp_extract(text, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)),
+                  '^www\.', '') AS domain FROM v_timeline WHERE source = 'chrome') WHERE domain <> '' GROUP BY owner_id, domain)
     SELECT owner_id, section, rank, line FROM lines WHERE rank <= most""")
 def _(t):
-    return context.timeline_context(t.timeline()).filter(F.col("section") != "domain")
+    return context.timeline_context(t.timeline())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from keepsake.functions.text import clip, one_line
 from keepsake.functions.times import iso
-from keepsake.operators.ranking import keep_first, top_k
+from keepsake.operators.ranking import keep_first, rank_all, top_k
 from keepsake.schema import TIMELINE
 from keepsake.sources.files import exists
 
@@ -25,12 +25,12 @@ def newest_first_undated_last() -> list[Column]:
     return [F.desc_nulls_last("created_at"), F.asc("seq")]
 
 
-def timeline_key() -> Column:
-    """Identity of an event: source, kind, id, date and the start of its text.
+def timeline_key(chars: int = 180) -> Column:
+    """Identity of an event: source, kind, id, date and the first ``chars`` characters of its text (a rule of the archive format).
 
     A 128-bit digest, since it decides which rows are dropped: 64 bits would collide at 10^10 rows.
     """
-    text = clip(one_line(F.lower(F.coalesce("text", F.lit("")))), 180)
+    text = clip(one_line(F.lower(F.coalesce("text", F.lit("")))), chars)
     return F.md5(F.concat_ws(
         "|", "source", "kind", F.coalesce("external_id", F.lit("")),
         F.coalesce(iso("created_at"), F.lit("")), text))
@@ -65,21 +65,50 @@ def import_report(merged: DataFrame) -> DataFrame:
 
 # --- Saving ---------------------------------------------------------------------------------------
 
+#: Parts of a source by event key. A small batch touches few of them, and a merge reads no others.
+KEY_BUCKETS = 64
+
+
+def key_bucket() -> Column:
+    return (F.conv(F.substring("event_key", 1, 4), 16, 10).cast("int") % KEY_BUCKETS).cast("int")
+
+
 def write_timeline(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by source, each event with its key, so a later merge reads two columns."""
-    with_key(events).drop("imported").write.mode(mode).partitionBy("source").parquet(path)
+    """Parquet by source and key bucket, each event with its key, so a later merge reads two columns of few buckets."""
+    rows = with_key(events).drop("imported").withColumn("key_bucket", key_bucket())
+    # One file for each bucket of a write; AQE parts a hot one.
+    rows.hint("rebalance", F.col("source"), F.col("key_bucket")).write.mode(mode).partitionBy("source", "key_bucket").parquet(path)
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events; none before the first import."""
+def _stored_timeline(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([*TIMELINE.fields, T.StructField("event_key", T.StringType())]))
+        return spark.createDataFrame([], T.StructType([
+            *TIMELINE.fields, T.StructField("event_key", T.StringType()), T.StructField("key_bucket", T.IntegerType())]))
     return spark.read.parquet(path)
 
 
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The stored events; none before the first import."""
+    return _stored_timeline(spark, path).drop("key_bucket")
+
+
+def stored_keys(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
+    """Owner and key of the stored events in the buckets that hold a key of the batch.
+
+    A bucket has all events of its keys, so no other can hold one of them. At most KEY_BUCKETS numbers come to the
+    driver, as a filter on partitions; sources are not filtered, as a key already says its source.
+    """
+    held = sorted(r[0] for r in with_key(incoming).select(key_bucket().alias("b")).distinct().collect())
+    rows = _stored_timeline(spark, path)
+    if "key_bucket" in rows.columns and len(held) < KEY_BUCKETS:
+        rows = rows.filter(F.col("key_bucket").isin(held))
+    return rows.select("owner_id", "event_key")
+
+
 def import_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
-    """Append only what is new: the stored files are never rewritten."""
-    write_timeline(new_events(read_timeline(spark, path), incoming), path)
+    """Append only what is new: the stored files are never rewritten, and only the batch's buckets are read."""
+    keyed = with_key(incoming)
+    write_timeline(new_events(stored_keys(spark, path, keyed), keyed), path)
 
 
 FORUM_TABLES = ("comments", "posts", "saved", "upvoted", "subreddits")
@@ -206,29 +235,105 @@ def recent_of_contact(sessions: DataFrame, n: int = 5) -> DataFrame:
                  [F.desc("timestamp"), F.desc("session_id")], n)
 
 
-def apply_corrections(sessions: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Append corrections to their sessions; sessions without new ones keep what they have.
+SESSION = ["owner_id", "session_id"]
+#: A change of a session: a new value of a field, or a correction. ``version`` orders writes, ``seq`` what one write holds.
+CHANGE = "owner_id string, session_id bigint, field string, value string, seq bigint, version bigint"
+CORRECTION = "correction"
 
-    A session is one writing exchange, so its list is as short as a person's patience.
-    """
-    key = ["owner_id", "session_id"]
-    new = corrections.groupBy(*key).agg(F.array_sort(F.collect_list(
-        F.struct("seq", "feedback"))).alias("_new"))
-    merged = F.concat("corrections", F.coalesce("_new", F.array().cast(
-        "array<struct<seq:bigint,feedback:string>>")))
-    return sessions.join(new, key, "left").withColumn("corrections", merged).drop("_new")
-
-
-def update_sessions(sessions: DataFrame, updates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Given values replace stored ones; a null keeps the old value."""
-    key = ["owner_id", "session_id"]
-    new = updates.select(*key, *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = sessions.join(new, key, "left")
+
+def corrections_as_changes(corrections: DataFrame) -> DataFrame:
+    return corrections.select(*SESSION, F.lit(CORRECTION).alias("field"), F.col("feedback").alias("value"), "seq")
+
+
+def updates_as_changes(updates: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One change for each given value; a null changes nothing. Values are stored as text."""
+    given = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
+    rows = updates.select(*SESSION, F.explode(given).alias("g")).select(*SESSION, "g.field", "g.value")
+    return rows.filter("value IS NOT NULL").withColumn("seq", F.lit(0).cast("long"))
+
+
+def log_changes(changes: DataFrame, path: str, version: int) -> None:
+    """Append changes; sessions are not rewritten. A version that is written again replaces itself."""
+    changes.select(*SESSION, "field", "value", "seq").write.mode("overwrite").parquet(f"{path}/log/version={version}")
+
+
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    """All changes that count: those of the last finished compaction, and the log behind it."""
+    log = spark.read.schema(CHANGE).parquet(f"{path}/log") if exists(spark, f"{path}/log") else spark.createDataFrame([], CHANGE)
+    done = _compacted(spark, path)
+    if done is None:
+        return log
+    return spark.read.schema(CHANGE).parquet(f"{path}/base/upto={done}").unionByName(log.filter(F.col("version") > done))
+
+
+def _compacted(spark: SparkSession, path: str) -> int | None:
+    """The version up to which changes are compacted; a compaction counts from when its row is written."""
+    if not exists(spark, f"{path}/compacted"):
+        return None
+    return spark.read.schema("upto bigint").parquet(f"{path}/compacted").agg(F.max("upto")).first()[0]
+
+
+def compact_changes(spark: SparkSession, path: str) -> None:
+    """Fold the log into a new base: of a field its last value stays, and all corrections. Readers see the old or the new base."""
+    changes = read_changes(spark, path)
+    upto = changes.agg(F.max("version")).first()[0]
+    if upto is None or upto == _compacted(spark, path):
+        return
+    last = _last_values(changes).select(*SESSION, "field", "last.value", "last.seq", "last.version")
+    kept = last.unionByName(changes.filter(F.col("field") == CORRECTION).select(last.columns))
+    kept.write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    spark.createDataFrame([(upto,)], "upto bigint").coalesce(1).write.mode("append").parquet(f"{path}/compacted")
+
+
+def _last_values(changes: DataFrame) -> DataFrame:
+    return changes.filter(F.col("field") != CORRECTION).groupBy(*SESSION, "field").agg(
+        F.max(F.struct("version", "seq", "value")).alias("last"))
+
+
+def update_sessions(sessions: DataFrame, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sessions as the changes leave them: the last given value of a column replaces the stored one."""
+    last = _last_values(changes)
+    values = last.groupBy(*SESSION).agg(*[
+        F.max(F.when(F.col("field") == c, F.col("last.value"))).alias(f"_{c}") for c in columns])
+    joined = sessions.join(values, SESSION, "left")
     for c in columns:
-        joined = joined.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        joined = joined.withColumn(c, F.coalesce(F.col(f"_{c}").cast(sessions.schema[c].dataType), F.col(c))).drop(f"_{c}")
     return joined
 
 
+def corrections_of(changes: DataFrame) -> DataFrame:
+    """Corrections of each session as rows with their place, however many a session has."""
+    rows = changes.filter(F.col("field") == CORRECTION).select(*SESSION, "version", "seq", F.col("value").alias("feedback"))
+    return rank_all(rows, SESSION, [F.asc("version"), F.asc("seq"), F.asc("feedback")], "place").drop("version")
+
+
+# --- State of a contact --------------------------------------------------------------------------
+
+STATE = "owner_id string, contact_key string, field string, value string, set_at timestamp"
+
+
+def set_state(rows: DataFrame, path: str, field: str, value: str, set_at: Column) -> None:
+    """Store a value of a contact (its overall summary, what is known of it) as of a time. Older values stay readable."""
+    rows.select("owner_id", "contact_key", F.lit(field).alias("field"), F.col(value).cast("string").alias("value"),
+                set_at.cast("timestamp").alias("set_at")).write.mode("append").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATE).parquet(path) if exists(spark, path) else spark.createDataFrame([], STATE)
+
+
+def state_as_of(state: DataFrame, asked: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The rows of ``asked`` (owner_id, contact_key, at) with the value that each field had then, null before the first.
+
+    Of two values set at one time the greater counts. Only values that were set by then meet a request, and they are reduced
+    to one by an aggregate before the request's columns come back.
+    """
+    keys = ["owner_id", "contact_key", "at"]
+    found = asked.select(*keys).distinct().join(state, keys[:2]).filter(F.col("set_at") <= F.col("at")).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("field") == f, F.struct("set_at", "value")))["value"].alias(f) for f in fields])
+    return asked.join(found, keys, "left")
+
+
 def memory_rows(chunks: DataFrame, summaries: DataFrame, model: str, now: Column) -> DataFrame:
     """Chunks with their summary, ready to be stored."""
     return chunks.join(summaries, ["owner_id", "chunk_id"]).withColumn(

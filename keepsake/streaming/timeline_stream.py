@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from keepsake.plans.tables import new_events, read_timeline, write_timeline
+from keepsake.plans.tables import import_events
 from keepsake.session import configure
 
 
@@ -19,14 +19,13 @@ def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch
 
 def import_continuously(incoming: DataFrame, timeline: str, checkpoint: str,
                         available_now: bool = False) -> StreamingQuery:
-    """Append the events of each batch that are not stored yet.
+    """Append the events of each batch that are not stored yet; of the stored keys only the batch's buckets are read.
 
     The key holds no processing time, so late rows need no rule, and a batch that runs again after a
     failure finds its rows stored and adds nothing.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        stored = read_timeline(batch.sparkSession, timeline)
-        write_timeline(new_events(stored, batch), timeline)
+        import_events(batch.sparkSession, timeline, batch)
 
     writer = incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now

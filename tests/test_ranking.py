@@ -63,4 +63,5 @@ def test_import_twice_adds_nothing(spark):
 def test_update_keeps_old_where_new_is_null(spark):
     s = spark.createDataFrame([("a", 1, "x", "y")], "owner_id string, session_id bigint, m string, n string")
     u = spark.createDataFrame([("a", 1, "new", None)], "owner_id string, session_id bigint, m string, n string")
-    assert tuple(tables.update_sessions(s, u, ["m", "n"]).first()) == ("a", 1, "new", "y")
+    changes = tables.updates_as_changes(u, ["m", "n"]).withColumn("version", F.lit(1).cast("long"))
+    assert tuple(tables.update_sessions(s, changes, ["m", "n"]).first()) == ("a", 1, "new", "y")
