@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.text import pieces_of, strip
 from keepsake.operators.ranking import keep_first, top_k
+from keepsake.operators.roots import roots
+from keepsake.operators.term_index import stored
 
 ENTITY = ["owner_id", "entity_id"]
 
@@ -41,43 +43,34 @@ def alias_index(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve(incoming: DataFrame, index: DataFrame) -> DataFrame:
     """Incoming mentions with the entity they belong to.
 
-    By name, else by the first alias that is known. Unknown mentions of one name become one entity;
-    a mention whose alias is the name of another new entity joins that one. Numbers only order the mentions: equal
-    ones, as of two imports, are told apart by what they name.
+    By name, else by the first alias that is known. Unknown mentions of one name become one entity; names whose first
+    mention gives another new name as an alias become one with it, over any number of links and in any order of
+    rows: their id is that of the name that was mentioned first. Numbers only order the mentions: equal ones, as of two
+    imports, are told apart by what they name. The mentions are written once; all steps read them from there.
     """
-    incoming = incoming.withColumn("_said", F.md5(F.concat_ws("\u0001", "canonical_name", F.coalesce("aliases", F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    mentions = stored(incoming.withColumn("_said", F.md5(F.concat_ws(
+        "\u0001", "canonical_name", F.coalesce("aliases", none)))).withColumn("_own", name_key("canonical_name")), "mentions")
     mention = ["owner_id", "seq", "_said"]
-    probe = incoming.select(
-        *mention, F.posexplode(F.concat(
-            F.array(name_key("canonical_name")),
-            F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key))
-        ).alias("position", "alias"))
+    probe = mentions.select(*mention, F.posexplode(F.concat(
+        F.array("_own"), F.transform(F.coalesce("aliases", none), name_key))).alias("position", "alias"))
     probe = probe.filter((F.col("position") == 0) | (F.length("alias") >= 2)).filter("alias <> ''")
-
-    def first_match(found: DataFrame, name: str) -> DataFrame:
-        return keep_first(found, mention, [F.asc("position")]).select(
-            *mention, F.col("entity_id").alias(name))
-
-    stored = first_match(probe.join(index.drop("kind"), ["owner_id", "alias"]), "stored_id")
-    tagged = incoming.join(stored, mention, "left")
-    fresh = tagged.filter("stored_id IS NULL")
-    heads = fresh.groupBy("owner_id", name_key("canonical_name").alias("alias")).agg(
-        F.min("seq").alias("first_seq"))
-    linked = (
-        probe.filter("position > 0").join(
-            fresh.select(*mention, name_key("canonical_name").alias("own")).distinct(), mention)
-        .join(heads, ["owner_id", "alias"]).filter("alias <> own AND first_seq < seq")
-    )
-    # A name follows the link of its first mention.
-    own_first = heads.select("owner_id", F.col("alias").alias("own"), F.col("first_seq").alias("seq"))
-    target = keep_first(linked.join(own_first, ["owner_id", "own", "seq"], "left_semi"),
-                        ["owner_id", "own"], [F.asc("position")]).select(
-        "owner_id", "own", F.col("alias").alias("head"))
-    keyed = tagged.withColumn("own", name_key("canonical_name")).join(
-        target, ["owner_id", "own"], "left")
-    made = new_id(F.col("owner_id"), F.coalesce("head", "own"))
+    known = stored(probe.join(index.drop("kind"), ["owner_id", "alias"]).groupBy(*mention).agg(
+        F.min(F.struct("position", "entity_id"))["entity_id"].alias("stored_id")), "known")
+    # The first mention of each new name, and what it is called besides.
+    first = F.struct("seq", "_said", F.transform(F.coalesce("aliases", none), name_key).alias("aliases"))
+    heads = stored(mentions.join(known, mention, "left_anti").groupBy("owner_id", F.col("_own").alias("name")).agg(
+        F.min(first).alias("first")).select("owner_id", "name", F.struct("first.seq", "first._said").alias("place"),
+                                            F.col("first.aliases").alias("aliases")), "heads")
+    others = heads.select("owner_id", F.col("name").alias("other"))
+    links = heads.select("owner_id", "name", F.posexplode("aliases").alias("position", "other")).filter(
+        (F.length("other") >= 2) & (F.col("other") != F.col("name"))).join(others, ["owner_id", "other"])
+    links = links.groupBy("owner_id", "name").agg(F.min(F.struct("position", "other"))["other"].alias("other"))
+    root = roots(heads.select("owner_id", "name", "place"), links).withColumnRenamed("name", "_own")
+    keyed = mentions.join(known, mention, "left").join(root, ["owner_id", "_own"], "left")
+    made = new_id(F.col("owner_id"), F.coalesce("root", "_own"))
     return keyed.withColumn("entity_id", F.coalesce("stored_id", made)).withColumn(
-        "is_new", F.col("stored_id").isNull()).drop("stored_id", "own", "head", "_said")
+        "is_new", F.col("stored_id").isNull()).drop("stored_id", "_own", "root", "_said")
 
 
 def merge_entities(stored: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:

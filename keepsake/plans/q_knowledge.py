@@ -1,4 +1,4 @@
-"""Entities made from the texts: a text's first words name one, its next words are aliases."""
+"""Entities made from the texts: three neighbouring words, at a place that moves over the texts, name one."""
 
 from pyspark.sql import functions as F
 
@@ -13,9 +13,10 @@ NOW = "2024-01-20 00:00:00"
 MENTIONS = rf"""mention AS (
         SELECT event_id AS seq, owner_id, ([{", ".join(repr(k) for k in KINDS)}])[length(w[1]) % 5 + 1] AS type,
             upper(w[1]) AS canonical_name, [w[2], w[3] || ' '] AS aliases, lang, channel,
-            source, strftime(created_at, '%Y-%m-%d') AS date, substr(text, 1, 30) AS context, contact AS contact_name,
+            source, strftime(created_at, '%Y-%m-%d') AS date, text AS context, contact AS contact_name,
             created_at
-        FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM v_msg) WHERE len(w) >= 3),
+        FROM (SELECT * REPLACE (w[1 + 7 * event_id % (len(w) - 2):3 + 7 * event_id % (len(w) - 2)] AS w)
+              FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM v_msg) WHERE len(w) >= 3)),
     old AS (SELECT * FROM mention WHERE seq % 2 = 0), incoming AS (SELECT * FROM mention WHERE seq % 2 = 1),
     stored AS (SELECT owner_id, 'ent_' || md5(owner_id || '|' || lower(canonical_name)) AS entity_id,
             arg_min(type, seq) AS type, arg_min(canonical_name, seq) AS canonical_name, count(*) AS mention_count,
@@ -32,7 +33,8 @@ MENTIONS = rf"""mention AS (
 def mentions(t):
     w = F.col("w")
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    rows = t.messages().withColumn("w", tokens("text")).filter(F.size("w") >= 3)
+    rows = t.messages().withColumn("w", tokens("text")).filter(F.size("w") >= 3).withColumn(
+        "w", F.slice("w", (F.col("seq") * 7 % (F.size("w") - 2) + 1).cast("int"), 3))
     return rows.select(
         "seq", "owner_id", F.element_at(kinds, F.length(w[0]) % 5 + 1).alias("type"),
         F.upper(w[0]).alias("canonical_name"),
@@ -40,7 +42,7 @@ def mentions(t):
         F.create_map(F.lit("relationship"), F.col("lang"), F.lit("role"), F.col("channel"))
         .alias("attributes"), F.lit(None).cast("string").alias("status"),
         "source", F.date_format("created_at", "yyyy-MM-dd").alias("date"),
-        F.substring("text", 1, 30).alias("context"), F.col("contact").alias("contact_name"),
+        F.col("text").alias("context"), F.col("contact").alias("contact_name"),
         "created_at")
 
 
@@ -77,7 +79,7 @@ def _(t):
     return resolved(t).filter("NOT is_new").select("owner_id", "seq", "entity_id")
 
 
-# New names, and where the first mention of a name points to an earlier new name by an alias.
+# New names that the first mentions join by aliases are one, over any number of steps.
 RESOLVED = f"""{MENTIONS}, probe AS (
         SELECT owner_id, seq, 0 AS position, lower(canonical_name) AS alias FROM incoming UNION ALL
         SELECT owner_id, seq, i, lower(trim(aliases[i])) FROM incoming, generate_series(1, len(aliases)) g(i)
@@ -87,17 +89,23 @@ RESOLVED = f"""{MENTIONS}, probe AS (
     fresh AS (SELECT * FROM incoming i WHERE NOT EXISTS (
         SELECT 1 FROM known k WHERE k.owner_id = i.owner_id AND k.seq = i.seq)),
     heads AS (SELECT owner_id, lower(canonical_name) AS name, min(seq) AS first_seq FROM fresh GROUP BY ALL),
-    target AS (SELECT h.owner_id, h.name, g.name AS head FROM heads h
+    link AS (SELECT h.owner_id, h.name, g.name AS other FROM heads h
         JOIN probe p ON p.owner_id = h.owner_id AND p.seq = h.first_seq AND p.position > 0
-        JOIN heads g ON g.owner_id = h.owner_id AND g.name = p.alias AND g.name <> h.name AND g.first_seq < h.first_seq
+        JOIN heads g ON g.owner_id = h.owner_id AND g.name = p.alias AND g.name <> h.name
         QUALIFY row_number() OVER (PARTITION BY h.owner_id, h.name ORDER BY position) = 1),
+    edge AS (SELECT owner_id, name, other FROM link UNION SELECT owner_id, other, name FROM link),
+    reached AS (SELECT owner_id, name, name AS other FROM heads UNION
+        SELECT r.owner_id, r.name, e.other FROM reached r JOIN edge e ON e.owner_id = r.owner_id AND e.name = r.other),
+    target AS (SELECT r.owner_id, r.name, r.other AS head FROM reached r
+        JOIN heads g ON g.owner_id = r.owner_id AND g.name = r.other
+        QUALIFY row_number() OVER (PARTITION BY r.owner_id, r.name ORDER BY first_seq, other) = 1),
     resolved AS (SELECT i.*, coalesce(k.entity_id, 'ent_' || md5(i.owner_id || '|'
             || coalesce(head, lower(canonical_name)))) AS entity_id
         FROM incoming i LEFT JOIN known k ON k.owner_id = i.owner_id AND k.seq = i.seq
         LEFT JOIN target t ON t.owner_id = i.owner_id AND t.name = lower(canonical_name))"""
 
 
-@query("agg_33_entity_merge", f"""WITH {RESOLVED}, heard AS (
+@query("agg_33_entity_merge", f"""WITH RECURSIVE {RESOLVED}, heard AS (
         SELECT owner_id, entity_id, count(*) AS heard, arg_min(type, seq) AS type, arg_min(canonical_name, seq) AS name
         FROM resolved GROUP BY ALL)
     SELECT owner_id, entity_id, coalesce(s.type, h.type) AS type, coalesce(canonical_name, name) AS canonical_name,
@@ -114,7 +122,7 @@ def merged(t):
     return knowledge.merge_entities(stored(t)[0], resolved(t), F.lit(NOW).cast("timestamp"))
 
 
-@query("set_05_merged_aliases", f"""WITH {RESOLVED}
+@query("set_05_merged_aliases", f"""WITH RECURSIVE {RESOLVED}
     SELECT owner_id, entity_id, alias FROM stored_alias UNION
     SELECT owner_id, entity_id, unnest(aliases) FROM resolved""")
 def _(t):
@@ -127,7 +135,7 @@ def old_attributes(t):
         F.max_by("value", "seq").alias("value"))
 
 
-@query("agg_33_merged_attributes", f"""WITH {RESOLVED}, rows AS (
+@query("agg_33_merged_attributes", f"""WITH RECURSIVE {RESOLVED}, rows AS (
         SELECT owner_id, 'ent_' || md5(owner_id || '|' || lower(canonical_name)) AS entity_id, seq - 1000000000 AS seq, lang, channel FROM old
         UNION ALL SELECT owner_id, entity_id, seq, lang, channel FROM resolved)
     SELECT owner_id, entity_id, 'relationship' AS key, arg_max(lang, seq) AS value FROM rows GROUP BY ALL
@@ -136,7 +144,7 @@ def _(t):
     return knowledge.merge_attributes(old_attributes(t), resolved(t))
 
 
-@query("agg_33_merged_sources", f"""WITH {RESOLVED}, rows AS (
+@query("agg_33_merged_sources", f"""WITH RECURSIVE {RESOLVED}, rows AS (
         SELECT owner_id, 'ent_' || md5(owner_id || '|' || lower(canonical_name)) AS entity_id, -1 AS seq, source, date, context, contact_name FROM old
         UNION ALL SELECT owner_id, entity_id, seq, source, date, context, contact_name FROM resolved)
     SELECT owner_id, entity_id, source, date, context, contact_name FROM rows
@@ -151,13 +159,13 @@ def _(t):
     return knowledge.count_by_type(stored(t)[0])
 
 
-@query("jn_12_entities_of_contact", f"""WITH {RESOLVED}
+@query("jn_12_entities_of_contact", f"""WITH RECURSIVE {RESOLVED}
     SELECT DISTINCT owner_id, entity_id, contact_name AS contact FROM resolved""")
 def _(t):
     return knowledge.of_contact(resolved(t))
 
 
-@query("jn_13_entity_links", f"""WITH {RESOLVED}, pairs AS (
+@query("jn_13_entity_links", f"""WITH RECURSIVE {RESOLVED}, pairs AS (
         SELECT owner_id, entity_id AS a, 'ent_' || md5(owner_id || '|' || lower(aliases[1])) AS b FROM resolved)
     SELECT owner_id, a AS src_id, b AS dst_id FROM pairs UNION SELECT owner_id, b, a FROM pairs""")
 def _(t):
@@ -189,7 +197,7 @@ def _(t):
 
 RELEVANT = f"""b AS (SELECT *, CASE WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_mentioned) < 30 * 86400000000 THEN 2 ELSE 0 END
             + confidence::DOUBLE * 2 + least(mention_count, 5) AS base FROM stored WHERE confidence >= 0.5),
-    who AS (SELECT question_id, owner_id, topic, 'user_' || (question_id % 150) AS contact FROM asked),
+    who AS (SELECT question_id, owner_id, lower(topic) AS topic, 'user_' || (question_id % 150) AS contact FROM asked),
     src AS (SELECT DISTINCT owner_id, 'ent_' || md5(owner_id || '|' || lower(canonical_name)) AS entity_id, contact_name FROM old),
     s AS (SELECT q.owner_id, question_id, b.entity_id, b.type, canonical_name, base
             + CASE WHEN contains(topic, lower(canonical_name)) THEN 10 ELSE 0 END
