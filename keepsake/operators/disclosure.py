@@ -13,7 +13,8 @@ from keepsake.functions.lexicons import DISCLOSURE_DENIALS, TOPIC_SYNONYMS
 from keepsake.functions.text import clamp01, has_any, hits_of
 from keepsake.functions.times import iso
 from keepsake.operators.contacts import events_with
-from keepsake.operators.ranking import bounded_lists, keep_first
+from keepsake.operators.ranking import bounded_lists
+from keepsake.operators.term_index import stored
 
 CASE = ["owner_id", "contact", "topic"]
 WEEK_MS = 7 * 24 * 3_600_000
@@ -67,37 +68,67 @@ def case_deltas(summaries: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def evidence(messages: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
-    """Disclosing statements: the owner's messages, and recorded ones with a new text."""
-    said = messages.filter("is_user_message").select(*CASE, "at", "text")
-    if deltas is None:
+def statements(events: DataFrame, cases: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Everything that bears on a case, one row for each kind it counts as, in one pass over messages and summaries.
+
+    ``said``: the owner's messages; ``denial``: those that deny having told, and recorded contradictions; ``ack``: the
+    contact's own; ``told``: recorded disclosures; ``hint``: recorded hints. Recorded rows carry their place.
+    """
+    cases = stored(cases.select(*CASE).distinct(), "cases")
+    mine, text = F.col("is_user_message"), F.coalesce("text", F.lit(""))
+    messages = case_messages(events, cases).select(*CASE, "at", "text", _kinds(
+        said=mine, denial=mine & has_any(F.col("low"), DISCLOSURE_DENIALS), ack=~mine))
+    if summaries is None:
+        return messages
+    status = F.col("status")
+    recorded = case_deltas(summaries, cases).select(*CASE, "at", F.struct(
+        "start_ms", "chunk_id", "position").alias("place"), "text", _kinds(
+            told=(status == "disclosed") & (text != ""), denial=status == "contradicted", hint=status == "hinted"))
+    recorded = recorded.withColumn("text", F.when(F.col("kind") == "denial", F.coalesce(
+        "text", F.lit("contradicting statement"))).otherwise(F.col("text")))
+    return messages.unionByName(recorded, allowMissingColumns=True)
+
+
+def _kinds(**tests: Column) -> Column:
+    """The kinds whose test holds, exploded."""
+    named = F.array(*[F.when(test, F.lit(kind)) for kind, test in tests.items()])
+    return F.explode(F.filter(named, lambda k: k.isNotNull())).alias("kind")
+
+
+def _by_text(rows: DataFrame) -> DataFrame:
+    """Numbers of each text of a case (other kinds: of none), of recorded disclosures the first one."""
+    kind, ms = F.col("kind"), F.unix_millis(F.col("at").try_cast("timestamp"))
+    first = F.struct(F.col("place"), F.col("at"), ms.alias("ms"), F.length("text").alias("length"), F.col("text"))
+    said = kind == "said"
+    return rows.groupBy(*CASE, F.when(kind.isin("said", "told"), F.md5("text")).alias("_key")).agg(
+        F.count_if(said).alias("said"), F.max(F.when(said, F.col("at"))).alias("last"),
+        F.min(F.when(said, ms)).alias("from_ms"), F.max(F.when(said, ms)).alias("to_ms"),
+        F.max(F.when(said, F.length("text"))).alias("longest"),
+        F.min(F.when(kind == "told", first)).alias("told"),
+        *[F.count_if(kind == k).alias(n) for k, n in (("denial", "denials"), ("ack", "acks"), ("hint", "hints"))])
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """Disclosing statements: the owner's messages, and recorded ones with a new text, once each."""
+    said = rows.filter("kind = 'said'").select(*CASE, "at", "text")
+    if "place" not in rows.columns:
         return said
-    told = deltas.filter((F.col("status") == "disclosed") & (F.coalesce("text", F.lit("")) != ""))
-    told = told.withColumn("_key", F.md5("text"))
-    new = told.join(said.select(*CASE, F.md5("text").alias("_key")), [*CASE, "_key"], "left_anti")
-    once = keep_first(new, [*CASE, "_key"], [F.asc("start_ms"), F.asc("chunk_id"), F.asc("position")])
-    return said.unionByName(once.select(*CASE, "at", "text"))
+    new = _by_text(rows.filter("kind IN ('said', 'told')")).filter("said = 0").select(*CASE, "told.at", "told.text")
+    return said.unionByName(new)
 
 
-def contradictions(messages: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
+def contradictions(rows: DataFrame) -> DataFrame:
     """Statements that deny having told, in messages or as recorded."""
-    denied = messages.filter(
-        F.col("is_user_message") & has_any(F.col("low"), DISCLOSURE_DENIALS)).select(
-        *CASE, "at", "text")
-    if deltas is None:
-        return denied
-    recorded = deltas.filter(F.col("status") == "contradicted").select(
-        *CASE, "at", F.coalesce("text", F.lit("contradicting statement")).alias("text"))
-    return denied.unionByName(recorded)
+    return rows.filter("kind = 'denial'").select(*CASE, "at", "text")
 
 
-def acknowledgments(messages: DataFrame) -> DataFrame:
+def acknowledgments(rows: DataFrame) -> DataFrame:
     """The contact's own messages about the topic, at any time."""
-    return messages.filter(~F.col("is_user_message")).select(*CASE, "at", "text")
+    return rows.filter("kind = 'ack'").select(*CASE, "at", "text")
 
 
-def hints(deltas: DataFrame) -> DataFrame:
-    return deltas.filter(F.col("status") == "hinted").select(*CASE, "at", F.concat(
+def hints(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'hint'").select(*CASE, "at", F.concat(
         F.lit("Indirect mention on "), "at", F.lit(': "'),
         F.coalesce("text", F.lit("undefined")), F.lit('"')).alias("note"))
 
@@ -111,32 +142,25 @@ def confidence(mentions: Column, denials: Column, acknowledged: Column, spread:
 
 def disclosure(events: DataFrame, cases: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """One row per case: status, answer, counts, spread, confidence."""
-    messages = case_messages(events, cases)
-    deltas = None if summaries is None else case_deltas(summaries, cases)
-    # Every statement is reduced to numbers before it is grouped; one pass over all kinds.
-    ms = F.unix_millis(F.col("at").try_cast("timestamp"))
-
-    def numbers(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(*CASE, F.lit(kind).alias("kind"), "at", ms.alias("ms"),
-                         F.length("text").alias("length"))
-
-    rows = (
-        numbers(evidence(messages, deltas), "evidence")
-        .unionByName(numbers(contradictions(messages, deltas), "denial"))
-        .unionByName(numbers(acknowledgments(messages), "ack"))
-    )
-    is_evidence = F.col("kind") == "evidence"
-    grouped = rows.groupBy(*CASE).agg(
-        F.count_if(is_evidence).alias("mentions"),
-        F.count_if(F.col("kind") == "denial").alias("denials"),
-        F.count_if(F.col("kind") == "ack").alias("acks"),
-        F.max(F.when(is_evidence, F.col("at"))).alias("last_mentioned"),
-        (F.max(F.when(is_evidence, F.col("ms"))) - F.min(F.when(is_evidence, F.col("ms"))))
-        .alias("span_ms"), F.max(F.when(is_evidence, F.col("length"))).alias("longest"))
-    if deltas is not None:
-        hinted = hints(deltas).groupBy(*CASE).agg(F.count(F.lit(1)).alias("hints"))
+    return rollup(statements(events, cases, summaries), cases)
+
+
+def rollup(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """The same from the statements: first per text of a case, then per case, each statement reduced to numbers."""
+    if "place" not in rows.columns:
+        rows = rows.withColumn("place", F.lit(None).cast("struct<start_ms:bigint>"))
+    new = (F.col("said") == 0) & F.col("told").isNotNull()
+
+    def either(of_said: str, of_told: str) -> Column:
+        return F.coalesce(F.col(of_said), F.when(new, F.col(of_told)))
+
+    grouped = _by_text(rows).groupBy(*CASE).agg(
+        F.sum(F.col("said") + new.cast("int")).alias("mentions"),
+        *[F.sum(n).alias(n) for n in ("denials", "acks", "hints")],
+        F.max(either("last", "told.at")).alias("last_mentioned"),
+        (F.max(either("to_ms", "told.ms")) - F.min(either("from_ms", "told.ms"))).alias("span_ms"),
+        F.max(either("longest", "told.length")).alias("longest"))
     out = cases.select(*CASE).distinct().join(grouped, CASE, "left")
-    out = out.join(hinted, CASE, "left") if deltas is not None else out.withColumn("hints", F.lit(0))
     out = out.na.fill(0, ["mentions", "denials", "acks", "span_ms", "longest", "hints"])
     status = (
         F.when(F.col("mentions") == 0, "none").when(F.col("denials") > 0, "conflicting")
@@ -167,8 +191,8 @@ def disclosure(events: DataFrame, cases: DataFrame, summaries: DataFrame | None
     )
 
 
-def notes(cases: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
-    """Remarks on each disclosed case, one row each, in reading order."""
+def notes(cases: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Remarks on each disclosed case, one row each, in reading order; hints come from the statements."""
     def when(test: Column, order: int, text: Column) -> Column:
         return F.when(test, F.struct(F.lit(order).alias("order"), text.alias("note")))
 
@@ -182,22 +206,17 @@ def notes(cases: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
             m.cast("string"), F.lit(" mention(s) found"))),
         when(F.col("acknowledged"), 2, F.lit("Contact acknowledged the topic")),
         when(F.col("spread"), 3, F.lit("Mentions spread across multiple weeks")))
-    rows = cases.select(*CASE, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("n")).select(
+    out = cases.select(*CASE, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("n")).select(
         *CASE, "n.order", "n.note")
-    if deltas is None:
-        return rows
-    return rows.unionByName(hints(deltas).select(*CASE, F.lit(0).alias("order"), "note"))
+    return out if rows is None else out.unionByName(hints(rows).select(*CASE, F.lit(0).alias("order"), "note"))
 
 
 def evidence_lines(events: DataFrame, cases: DataFrame, summaries: DataFrame | None = None
                    ) -> DataFrame:
     """``[time] text`` of every statement behind a case, by kind."""
-    messages = case_messages(events, cases)
-    deltas = None if summaries is None else case_deltas(summaries, cases)
-    out = None
-    for kind, df in (("evidence", evidence(messages, deltas)),
-                     ("contradiction", contradictions(messages, deltas)),
-                     ("acknowledgment", acknowledgments(messages))):
+    rows, out = stored(statements(events, cases, summaries), "statements"), None
+    for kind, df in (("evidence", evidence(rows)), ("contradiction", contradictions(rows)),
+                     ("acknowledgment", acknowledgments(rows))):
         part = df.select(*CASE, F.lit(kind).alias("kind"), "at", F.concat(
             F.lit("["), F.coalesce("at", F.lit("unknown")), F.lit("] "), "text").alias("line"))
         out = part if out is None else out.unionByName(part)

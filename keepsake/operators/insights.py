@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from keepsake.functions.lexicons import (
     CHANNEL_PLATFORMS, STANCE_NEGATIVE, STANCE_POSITIVE, STANCE_TOPICS,
 )
-from keepsake.functions.text import bounded, clamp01, has_any, word_count
+from keepsake.functions.text import bounded, clamp01, has_any, hosts, strip, word_count
+from keepsake.operators.corpus import titled
 from keepsake.operators.ranking import top_k
+from keepsake.operators.term_index import stored
 
 OWNER = ["owner_id"]
 PLATFORMS = ["reddit", "twitter", "instagram", "facebook", "youtube", "tiktok", "linkedin", "spotify"]
@@ -21,29 +23,66 @@ def on_platform(channel: Column | str, platform: str) -> Column:
     return F.lower(F.coalesce(c, F.lit(""))).rlike(bounded(CHANNEL_PLATFORMS[platform]))
 
 
-def platform_counts(forum_tables, comments: DataFrame, posts: DataFrame, events: DataFrame
-                    ) -> DataFrame:
+def partials(comments: DataFrame, posts: DataFrame, saved: DataFrame, upvoted: DataFrame, events: DataFrame,
+             topics=None, positive=STANCE_POSITIVE, negative=STANCE_NEGATIVE) -> DataFrame:
+    """All that the scores need of an owner's rows, by month, table, source and channel, in one pass over each table.
+
+    A row counts once, and once more for each domain its text links to. Groups hold sums and first places only, so
+    map tasks reduce whatever they read; the result is stored, and every score is made from it.
+    """
+    topics = topics or STANCE_TOPICS
+
+    def part(df: DataFrame, place: int, name: str, text: Column, source=None, channel=None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return df.select("owner_id", F.lit(name).alias("part"), F.lit(place).alias("place"), "seq", "created_at", text.alias("text"),
+                         (none if source is None else F.col(source)).alias("source"),
+                         (none if channel is None else F.col(channel)).alias("channel"))
+
+    rows = (
+        part(comments, 0, "comment", F.coalesce("body", F.lit("")))
+        .unionByName(part(posts, 1, "post", titled()))
+        .unionByName(part(events, 2, "event", F.coalesce("text", F.lit("")), "source", "channel"))
+        .unionByName(part(saved, 3, "saved", titled("title", "permalink")))
+        .unionByName(part(upvoted, 4, "upvoted", titled("title", "permalink")))
+    )
+    low, at = F.lower("text"), F.struct("place", "seq", "created_at")
+    dated = (F.col("place") < 3) & F.col("created_at").isNotNull() & (strip("text") != "")
+    about = {name: dated & has_any(low, words) for name, words in topics.items()}
+    slim = rows.select(
+        "owner_id", "part", "source", "channel", F.date_format("created_at", "yyyy-MM").alias("month"),
+        at.alias("at"), dated.alias("dated"), (dated & F.hour("created_at").between(0, 5)).alias("late"),
+        ((F.col("place") == 0) & (word_count("text") >= 80)).alias("long"),
+        (dated & has_any(low, positive)).alias("pro"), (dated & has_any(low, negative)).alias("con"),
+        *[test.alias(f"is_{name}") for name, test in about.items()],
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(hosts("text")))).alias("domain"))
+    itself = F.col("domain").isNull()
+    keys = [F.when(itself, F.col(c)).alias(c) for c in ("month", "part", "source", "channel")]
+    sides = [
+        agg for name in topics for agg in (
+            F.count_if(itself & F.col(f"is_{name}")).alias(f"n_{name}"),
+            F.min(F.when(itself & F.col(f"is_{name}") & F.col("pro"), F.col("at"))).alias(f"pro_{name}"),
+            F.min(F.when(itself & F.col(f"is_{name}") & F.col("con"), F.col("at"))).alias(f"con_{name}"))]
+    return stored(slim.groupBy("owner_id", "domain", *keys).agg(
+        F.count_if(itself).alias("n"), *[F.count_if(itself & F.col(c)).alias(c) for c in ("dated", "late", "long")], *sides), "partials")
+
+
+def platform_counts(parts: DataFrame) -> DataFrame:
     """Rows per platform and owner: thirteen counts and the texts written on the forum."""
-    # Channel names are few: count per (owner, source, channel) first, match the names afterwards.
-    small = events.groupBy("owner_id", "source", "channel").agg(F.count(F.lit(1)).alias("n"))
+    event, n = F.col("part") == "event", F.col("n")
 
     def summed(test: Column, name: str) -> Column:
-        return F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name)
-
-    by_event = small.groupBy("owner_id").agg(
-        *[summed(on_platform("channel", p), p) for p in CHANNEL_PLATFORMS],
-        *[summed(F.col("source") == s, s)
-          for s in ("youtube", "gmail", "google_voice", "chrome", "discover")],
-        F.sum("n").alias("total_timeline"))
-    forum = None
-    for df in forum_tables:
-        part = df.select("owner_id")
-        forum = part if forum is None else forum.unionByName(part)
-    by_forum = forum.groupBy("owner_id").agg(F.count(F.lit(1)).alias("reddit"))
-    written = comments.select("owner_id").unionByName(posts.select("owner_id")).groupBy(
-        "owner_id").agg(F.count(F.lit(1)).alias("written"))
-    out = by_event.join(by_forum, OWNER, "full_outer").join(written, OWNER, "full_outer")
-    return out.na.fill(0)
+        return F.sum(F.when(test, n).otherwise(0)).alias(name)
+
+    return parts.groupBy("owner_id").agg(
+        *[summed(event & on_platform("channel", p), p) for p in CHANNEL_PLATFORMS],
+        *[summed(event & (F.col("source") == s), s) for s in ("youtube", "gmail", "google_voice", "chrome", "discover")],
+        summed(event, "total_timeline"), summed(F.col("part").isin("comment", "post", "saved", "upvoted"), "reddit"),
+        summed(F.col("part").isin("comment", "post"), "written"))
+
+
+def month_totals(parts: DataFrame) -> DataFrame:
+    """Dated rows of all tables by month."""
+    return parts.filter("month IS NOT NULL").groupBy("owner_id", "month").agg(F.sum("n").alias("total"))
 
 
 def entropy(counts: list[Column]) -> Column:
@@ -121,13 +160,22 @@ def long_texts(comments: DataFrame, words: int = 80) -> DataFrame:
         F.count_if(word_count(F.coalesce("body", F.lit(""))) >= words).alias("long_form"))
 
 
-def scores(platforms: DataFrame, months: DataFrame, conflicts: DataFrame, texts: DataFrame,
-           comments: DataFrame, domains: DataFrame) -> DataFrame:
-    """Eighteen activity scores in 0..1, one row per owner."""
-    found = conflicts.groupBy("owner_id").agg(F.count(F.lit(1)).alias("conflicts"))
-    rows = platforms
-    for part in (growth(months), found, corpus_flags(texts), long_texts(comments), domains):
-        rows = rows.join(part, OWNER, "left")
+def _conflicts(parts: DataFrame, min_days: float = 7, k: int = 8) -> list[Column]:
+    """Per owner, from all of its parts: how many topics have a first approving and a first rejecting text so far apart."""
+    names = [c.removeprefix("n_") for c in parts.columns if c.startswith("n_")]
+    def apart(name: str) -> Column:
+        p, c = F.min(f"pro_{name}"), F.min(f"con_{name}")
+        gap = F.abs(F.unix_millis(p["created_at"]) - F.unix_millis(c["created_at"])) / 86_400_000
+        return F.when((F.sum(f"n_{name}") >= 2) & (gap >= min_days), 1).otherwise(0)
+    return [F.least(F.lit(k), sum([apart(n) for n in names[1:]], apart(names[0]))).alias("conflicts")]
+
+
+def scores(parts: DataFrame) -> DataFrame:
+    """Eighteen activity scores in 0..1, one row per owner, from the partial sums."""
+    own = parts.groupBy("owner_id").agg(
+        F.sum("dated").alias("corpus"), F.sum("late").alias("late_night"), F.sum("long").alias("long_form"),
+        F.countDistinct("domain").alias("domains"), *_conflicts(parts))
+    rows = platform_counts(parts).join(own, OWNER).join(growth(month_totals(parts)), OWNER, "left")
     rows = rows.na.fill(0)
     c = F.col
     one = F.lit(1)

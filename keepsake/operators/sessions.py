@@ -236,11 +236,13 @@ def messages_in_chunks(chunk_table: DataFrame, messages: DataFrame) -> DataFrame
     spans = chunk_table.select(
         *KEY, "chunk_id", "start_ms", "end_ms", level.alias("level"),
         F.explode(buckets).alias("bucket"))
-    points = F.array(*[
-        F.struct(F.lit(i).alias("level"), F.floor(F.col("ts_ms") / w).alias("bucket"))
-        for i, (w, _) in enumerate(LEVELS)])
-    placed = messages.withColumn("_p", F.explode(points)).select(
-        "*", "_p.level", "_p.bucket").drop("_p")
+    # Where a message is looked for depends on the chunks its contact has: one short row a contact.
+    levels = spans.groupBy(*KEY).agg(F.collect_set("level").alias("_levels"))
+    widths = F.array(*[F.lit(w).cast("long") for w, _ in LEVELS])
+    points = F.transform("_levels", lambda i: F.struct(
+        i.alias("level"), F.floor(F.col("ts_ms") / F.get(widths, i)).alias("bucket")))
+    placed = messages.join(levels, KEY).withColumn("_p", F.explode(points)).select(
+        *messages.columns, "_p.level", "_p.bucket")
     return (
         placed.join(spans, [*KEY, "level", "bucket"])
         .filter(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))

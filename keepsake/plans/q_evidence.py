@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import DISCLOSURE_DENIALS, TOPIC_SYNONYMS
 from keepsake.operators import disclosure
+from keepsake.operators.term_index import stored
 from keepsake.plans.q_contacts import ISO
 from keepsake.plans.registry import query
 
@@ -29,7 +30,7 @@ BASE = rf"""{case_sql()}, terms AS (SELECT *, CASE {SYN} ELSE [lower(topic)] END
             SELECT owner_id, lang AS contact, seq, split_part(text, ' ', 2) AS dtopic,
                 ([ 'disclosed', 'hinted', 'contradicted', 'updated'])[seq % 4 + 1] AS status,
                 strftime(created_at, '%Y-%m-%d') AS at_date,
-                CASE WHEN seq % 3 = 0 THEN text ELSE substr(text, 1, 40) END AS evidence FROM v_msg) d
+                CASE WHEN seq % 3 = 0 THEN text ELSE 'heard: ' || text END AS evidence FROM v_msg) d
         JOIN terms t ON t.owner_id = d.owner_id AND t.contact = d.contact
         WHERE len([x for x in terms if contains(lower(dtopic), x)]) > 0),
     said AS (SELECT owner_id, contact, topic, stamp, text FROM hit WHERE is_user_message),
@@ -61,7 +62,7 @@ def summaries(t):
     delta = F.struct(
         F.split_part("text", F.lit(" "), F.lit(2)).alias("topic"), status.alias("status"),
         F.date_format("created_at", "yyyy-MM-dd").alias("date"),
-        F.when(F.col("seq") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, 40))
+        F.when(F.col("seq") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("heard: "), "text"))
         .alias("evidence"))
     return t.messages().select(
         "owner_id", F.col("lang").alias("contact_key"), F.col("seq").alias("start_ms"),
@@ -85,15 +86,14 @@ def _(t):
 @query("jn_09_disclosing_statements", f"""WITH {BASE}
     SELECT owner_id, contact, topic, stamp, md5(text) AS text_md5 FROM ev""")
 def _(t):
-    rows = disclosure.evidence(disclosure.case_messages(people(t), cases(t)),
-                               disclosure.case_deltas(summaries(t), cases(t)))
+    rows = disclosure.evidence(stored(disclosure.statements(people(t), cases(t), summaries(t)), "statements"))
     return rows.select(*disclosure.CASE, F.col("at").alias("stamp"), F.md5("text").alias("text_md5"))
 
 
 @query("jn_10_acknowledgments", f"""WITH {BASE}
     SELECT owner_id, contact, topic, stamp, md5(text) AS text_md5 FROM ack""")
 def _(t):
-    rows = disclosure.acknowledgments(disclosure.case_messages(people(t), cases(t)))
+    rows = disclosure.acknowledgments(disclosure.statements(people(t), cases(t)))
     return rows.select(*disclosure.CASE, F.col("at").alias("stamp"), F.md5("text").alias("text_md5"))
 
 
@@ -138,9 +138,8 @@ def _(t):
             FROM delta WHERE status = 'hinted')
     SELECT * FROM made WHERE note IS NOT NULL""")
 def _(t):
-    out = disclosure.disclosure(people(t), cases(t), summaries(t))
-    return disclosure.notes(out, disclosure.case_deltas(summaries(t), cases(t))).withColumn(
-        "order", F.col("order").cast("long"))
+    rows = stored(disclosure.statements(people(t), cases(t), summaries(t)), "statements")
+    return disclosure.notes(disclosure.rollup(rows, cases(t)), rows).withColumn("order", F.col("order").cast("long"))
 
 
 @query("ctx_06_evidence_lines", f"""WITH {BASE}

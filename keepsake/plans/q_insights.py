@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.lexicons import STANCE_NEGATIVE, STANCE_POSITIVE, STANCE_TOPICS
 from keepsake.operators import corpus, insights
-from keepsake.plans.q_corpus import DATED, LINKS, dated, linked
+from keepsake.plans.q_corpus import DATED, LINKS, TRIM, dated
 from keepsake.plans.registry import query
 
 # Channel and source names for the dense events, so that every platform occurs.
@@ -17,7 +17,9 @@ def chosen(values):
     return f"([{', '.join(repr(v) for v in values)}])[event_id % {len(values)} + 1]"
 
 
-EVENTS = f"ev AS (SELECT owner_id, event_id, created_at, {chosen(CHANNELS)} AS channel, {chosen(SOURCES)} AS source FROM v_evt)"
+# The events span one month; orders, as events of a shop, give the owners rows in many.
+EVENTS = f"""ev AS (SELECT owner_id, event_id, event_id AS seq, created_at, {chosen(CHANNELS)} AS channel, {chosen(SOURCES)} AS source, text FROM v_evt
+    UNION ALL SELECT 'o' || (o_custkey % 3), 1000000000 + o_orderkey, 1000000000 + o_orderkey, o_orderdate, 'shop', 'shop', NULL FROM orders)"""
 LIKE = {
     "twitter": r"twitter|x\b", "instagram": "instagram|insta", "facebook": r"facebook|fb\b",
     "tiktok": r"tiktok|tik\s*tok", "linkedin": "linkedin", "spotify": "spotify|music",
@@ -38,12 +40,21 @@ def event_rows(t):
     def at(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]),
                             (F.col("event_id") % len(values) + 1).cast("int"))
-    return t.dense().withColumn("channel", at(CHANNELS)).withColumn("source", at(SOURCES))
+    cols = ["owner_id", "event_id", "seq", "created_at", "channel", "source", "text"]
+    number = F.col("o_orderkey") + 1_000_000_000
+    orders = t.raw("orders").select(
+        t.owner("o_custkey"), number.alias("event_id"), number.alias("seq"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.lit("shop").alias("channel"), F.lit("shop").alias("source"), F.lit(None).cast("string").alias("text"))
+    return t.dense().withColumn("channel", at(CHANNELS)).withColumn("source", at(SOURCES)).select(cols).unionByName(
+        orders.select(cols))
+
+
+def parts(t):
+    return insights.partials(t.comments(), t.posts(), t.saved(), t.upvoted(), event_rows(t))
 
 
 def platforms(t):
-    forum = (t.comments(), t.posts(), t.saved(), t.upvoted())
-    return insights.platform_counts(forum, t.comments(), t.posts(), event_rows(t))
+    return insights.platform_counts(parts(t))
 
 
 @query("agg_35_platform_counts", f"WITH {PLATFORMS} SELECT * FROM pf")
@@ -73,25 +84,21 @@ def _(t):
                                insights.coverage(cols).alias("coverage"))
 
 
-# The data spans one month, so hours stand for months.
-HOURS = """mon AS (SELECT owner_id, strftime(created_at, '%Y-%m-%dT%H') AS month, count(*) AS total
-    FROM v_evt GROUP BY ALL)"""
-GROWTH = f"""{HOURS}, placed AS (SELECT *, count(*) OVER (PARTITION BY owner_id) AS n,
+MONTHS = """mon AS (SELECT owner_id, strftime(created_at, '%Y-%m') AS month, count(*) AS total FROM (
+    SELECT owner_id, created_at FROM ev UNION ALL SELECT owner_id, created_at FROM v_comment UNION ALL
+    SELECT owner_id, created_at FROM v_post UNION ALL SELECT owner_id, created_at FROM v_saved UNION ALL
+    SELECT owner_id, created_at FROM v_upvoted) GROUP BY ALL)"""
+GROWTH = f"""{MONTHS}, placed AS (SELECT *, count(*) OVER (PARTITION BY owner_id) AS n,
         row_number() OVER (PARTITION BY owner_id ORDER BY month) AS at_no FROM mon),
     gr AS (SELECT owner_id, max(n) AS months, coalesce(avg(total) FILTER (at_no > greatest(1, n // 2)), 0)
         - coalesce(avg(total) FILTER (at_no <= greatest(1, n // 2)), 0) AS growth FROM placed GROUP BY 1),
     gn AS (SELECT *, greatest(0, least(1, (growth + 50) / 120)) AS growth_norm FROM gr)"""
 
 
-def months(t):
-    return t.dense().groupBy("owner_id", F.date_format("created_at", "yyyy-MM-dd'T'HH").alias("month")
-                             ).agg(F.count(F.lit(1)).alias("total"))
-
-
-@query("agg_37_growth", f"""WITH {GROWTH}
+@query("agg_37_growth", f"""WITH {EVENTS}, {GROWTH}
     SELECT owner_id, months, round(growth, 6) AS growth, round(growth_norm, 6) AS growth_norm FROM gn""")
 def _(t):
-    return insights.growth(months(t)).select(
+    return insights.growth(insights.month_totals(parts(t))).select(
         "owner_id", "months", F.round("growth", 6).alias("growth"),
         F.round("growth_norm", 6).alias("growth_norm"))
 
@@ -109,7 +116,7 @@ def stance_sql(topics, pro, con, days, texts):
     tagged = " UNION ALL ".join(
         f"SELECT *, '{n}' AS topic FROM dt WHERE {either(k)}" for n, k in topics.items())
     return f"""dt AS (SELECT *, place * 10000000000 + seq AS at_no
-        FROM {texts} WHERE source <> 'chrome'), tg AS ({tagged}),
+        FROM {texts}), tg AS ({tagged}),
     sided AS (SELECT owner_id, topic, count(*) AS texts, min(at_no) FILTER ({either(pro)}) AS positive_at,
             min(at_no) FILTER ({either(con)}) AS negative_at,
             arg_min(created_at, at_no) FILTER ({either(pro)}) AS p, arg_min(created_at, at_no) FILTER ({either(con)}) AS c
@@ -149,17 +156,25 @@ def _(t):
     return insights.corpus_flags(dated(t)).join(insights.long_texts(t.comments()), "owner_id")
 
 
-SCORES = f"""{PLATFORMS}, {GROWTH}, {stance_sql(STANCE_TOPICS, STANCE_POSITIVE, STANCE_NEGATIVE, 7, PLACED)},
+# Texts with a date, whole, in corpus order; and the domains that any text links to.
+TEXTS = f"""txt AS (SELECT * FROM (SELECT owner_id, created_at, seq, 0 AS place, body AS text FROM v_comment
+    UNION ALL SELECT owner_id, created_at, seq, 1, title || chr(10) || body FROM v_post
+    UNION ALL SELECT owner_id, created_at, seq, 2, text FROM ev) WHERE created_at IS NOT NULL AND trim(text, {TRIM}) <> ''),
+    said AS (SELECT owner_id, body AS text FROM v_comment UNION ALL SELECT owner_id, title || chr(10) || body FROM v_post
+    UNION ALL SELECT owner_id, title || chr(10) || permalink FROM v_saved UNION ALL SELECT owner_id, permalink FROM v_upvoted
+    UNION ALL SELECT owner_id, text FROM ev)"""
+LINKED = LINKS.replace("SELECT owner_id, text FROM v_corpus UNION ALL SELECT owner_id, url FROM v_page", "SELECT * FROM said")
+SCORES = f"""{PLATFORMS}, {GROWTH}, {TEXTS}, {stance_sql(STANCE_TOPICS, STANCE_POSITIVE, STANCE_NEGATIVE, 7, "txt")},
     nc AS (SELECT owner_id, count(*) AS conflicts FROM con GROUP BY 1),
     fl AS (SELECT owner_id, count(*) AS corpus, count(*) FILTER (hour(created_at) BETWEEN 0 AND 5) AS late_night
-           FROM {DATED} GROUP BY 1),
+           FROM txt GROUP BY 1),
     lf AS (SELECT owner_id, count(*) FILTER (len(regexp_extract_all(lower(body), '[a-z0-9'']+')) >= 80) AS long_form
            FROM v_comment GROUP BY 1),
-    dm AS (SELECT owner_id, count(DISTINCT domain) AS domains FROM {LINKS} GROUP BY 1),
+    dm AS (SELECT owner_id, count(DISTINCT domain) AS domains FROM {LINKED} GROUP BY 1),
     k AS (SELECT *, linkedin + twitter + instagram + facebook AS pub, reddit + youtube + gmail + google_voice AS priv,
             youtube + chrome + discover AS passive, written + twitter + instagram + facebook + linkedin AS active,
             {COVER} AS cover, least(1, coalesce(conflicts, 0) / 6) AS conflict FROM pf
-          JOIN gn USING (owner_id) JOIN fl USING (owner_id) JOIN lf USING (owner_id) JOIN dm USING (owner_id)
+          JOIN gn USING (owner_id) JOIN fl USING (owner_id) JOIN lf USING (owner_id) LEFT JOIN dm USING (owner_id)
           LEFT JOIN nc USING (owner_id)),
     sc AS (SELECT owner_id, priv / greatest(1, pub + priv) AS public_private,
         active / greatest(1, active + passive) AS consumption_creation,
@@ -167,7 +182,7 @@ SCORES = f"""{PLATFORMS}, {GROWTH}, {stance_sql(STANCE_TOPICS, STANCE_POSITIVE,
         priv / greatest(1, pub + priv) AS authenticity,
         least(1, (long_form / 800 + youtube / 2500) / 2) AS knowledge_map, cover AS social_identity,
         least(1, months / 36) AS temporal_patterns, conflict AS contradiction_detector,
-        least(1, (months / 48 + growth_norm) / 2) AS life_phase, least(1, domains / 80) AS influence_sources,
+        least(1, (months / 48 + growth_norm) / 2) AS life_phase, least(1, coalesce(domains, 0) / 80) AS influence_sources,
         active / greatest(1, active + passive) AS energy_investment,
         passive / greatest(1, active + passive) AS hidden_interests, pub / greatest(1, pub + priv) AS performativity,
         least(1, ({ENTROPY}) / 3) AS identity_fragmentation, greatest(0, 0.9 - 0.5 * conflict) AS value_alignment,
@@ -181,8 +196,7 @@ NAMES = [
 
 
 def score_rows(t):
-    return insights.scores(platforms(t), months(t), insights.contradictions(placed(t)), dated(t),
-                           t.comments(), corpus.distinct_domains(linked(t)))
+    return insights.scores(parts(t))
 
 
 @query("agg_38_activity_scores", f"""WITH {SCORES}

@@ -21,7 +21,7 @@ def run(spark, contact, topic, messages, deltas=()):
     cases = spark.createDataFrame([("a", contact, topic)], "owner_id string, contact string, topic string")
     stored = spark.createDataFrame([("a", "c", contact, 0, list(deltas))] if deltas else [], SUMMARY)
     out = disclosure.disclosure(events, cases, stored)
-    notes = disclosure.notes(out, disclosure.case_deltas(stored, cases))
+    notes = disclosure.notes(out, disclosure.statements(events, cases, stored))
     return out.first(), [r["note"] for r in notes.orderBy("order").collect()]
 
 
@@ -104,7 +104,7 @@ def test_acknowledgment(spark, text, mine, found):
     events = spark.createDataFrame(
         [("a", 1, "sms", ["Mom"], text, datetime(2025, 1, 20), mine)], EVENT)
     cases = spark.createDataFrame([("a", "Mom", "startup")], "owner_id string, contact string, topic string")
-    assert disclosure.acknowledgments(disclosure.case_messages(events, cases)).count() == found
+    assert disclosure.acknowledgments(disclosure.statements(events, cases)).count() == found
 
 
 @pytest.mark.parametrize("question,name,topic", [
@@ -123,3 +123,22 @@ def test_disclosure_questions(spark, question, name, topic):
     ("how did I change", "time_period"), ("tell me something", "general")])
 def test_intents(spark, question, kind):
     assert spark.range(1).select(ask.intent(F.lit(question)).alias("k")).first().k == kind
+
+
+def test_recorded_statements_count_once(spark):
+    long = "I told you all about the new job, from the first day to the last one of it " * 3
+    r, notes = run(spark, "Mom", "job", [(long, True, DAY), (long, True, DAY), ("nice job", False, DAY)], [
+        ("job", "disclosed", "2025-01-16", long), ("job", "disclosed", "2025-03-16", "about the job"),
+        ("job", "disclosed", "2025-03-17", "about the job"), ("job", "disclosed", "2025-03-18", ""), ("job", "contradicted", "2025-01-16", None)])
+    assert (r.mentions, r.denials, r.acks, r.status, r.spread) == (3, 1, 1, "conflicting", True)
+    assert r.last_mentioned == "2025-03-16" and "1 contradiction(s) found" in notes
+
+
+def test_scans_of_each_table(spark, tmp_path):
+    events = spark.createDataFrame([("a", 1, "sms", ["Mom"], "job", datetime(2025, 1, 1), True)], EVENT)
+    cases = spark.createDataFrame([("a", "Mom", "job")], "owner_id string, contact string, topic string")
+    for name, df in (("events", events), ("cases", cases), ("summaries", spark.createDataFrame([], SUMMARY))):
+        df.write.parquet(str(tmp_path / name))
+    e, c, s = (spark.read.parquet(str(tmp_path / n)) for n in ("events", "cases", "summaries"))
+    plan = disclosure.disclosure(e, c, s)._jdf.queryExecution().executedPlan().toString()
+    assert all(plan.count(f"{tmp_path / n}") <= 3 for n in ("events", "cases", "summaries"))
