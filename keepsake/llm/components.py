@@ -31,8 +31,11 @@ def components(links: DataFrame) -> DataFrame:
         ).select("x.u", "x.v").filter(F.col("u") != F.col("v")).distinct()
         small = written(small, "links")
         # Stars: every id has one link, and none leads on.
-        again = small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count() or small.join(
-            small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        ends = small.select(F.explode(F.array(
+            F.struct(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+            F.struct(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+        again = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter(
+            (F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).limit(1).count()
         links = small
         if not again:
             break

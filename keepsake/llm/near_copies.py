@@ -2,9 +2,9 @@
 
 Each permutation of the shingles gives two samples, its smallest and its largest value, so a signature of 2p values takes p
 hash evaluations a shingle. Bands of the signature put documents that may be alike into buckets; links are confirmed
-on the full shingle sets. Texts with equal sets form a class first, so copies cost nothing further. In a bucket no pairs are
-listed: some members, the centres, are compared with those of other components, links join components, and centres
-retire from the bucket once compared with all. Pairs that cannot link, by how many shingles
+on the full shingle sets. Texts with equal sets form a class first, so copies cost nothing further. Then each member of a bucket is
+compared with its smallest one, which settles most buckets. In the others no pairs are listed: some members, the centres, are
+compared with those of other components, links join components, and centres retire from the bucket once compared with all. Pairs that cannot link, by how many shingles
 each part of the hash can have in common, are not compared. A bucket is done when all members but those of one component have
 been centres, which is as complete as comparing all pairs and costs a group of near copies one comparison a member.
 """
@@ -16,20 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import blocks, passed, text_bytes, written
+from keepsake.llm.common import passed, text_bytes, written
 from keepsake.llm.components import components
-from keepsake.llm.shingles import mixed, shingle_sets
+from keepsake.llm.shingles import mixed, sets_of
 
 #: Bands, and permutations of a band: with 6 values a band, a pair of similarity 0.8 shares none of 40 bands with
 #: probability (1 - 0.8 ** 6) ** 40 = 5e-6.
 BANDS, PERMUTATIONS = 40, 3
 #: Centres of a bucket in the first round; eight times as many in each later one.
 CENTRES = 64
-#: Rounds before that compare a member with one of its bucket's largest component.
-QUICK = 2
 #: Parts of the shingle hash by which common shingles are bounded.
 PARTS = 64
-_BLOCK = 1 << 19
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -67,8 +64,7 @@ def sketches(docs: DataFrame, k: int, number: int = BANDS, permutations: int = P
         data, starts = text_bytes(t.column("text"))
         n, a, b, keys = (np.zeros(len(t), np.int64), np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64),
                          np.zeros((len(t), number), np.uint64))
-        for i, j in blocks(starts, _BLOCK):
-            values, count = shingle_sets(data[starts[i]:starts[j]], starts[i:j + 1] - starts[i], k)
+        for i, j, values, count in sets_of(data, starts, k):
             n[i:j] = count
             full = np.flatnonzero(count)
             if not len(full):
@@ -87,51 +83,62 @@ def sketches(docs: DataFrame, k: int, number: int = BANDS, permutations: int = P
     return made.withColumn("keys", F.when(F.col("n_shingles") > 0, F.col("keys")))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def set_table(docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the sorted shingles of each text, eight bytes each."""
+    def shingled(t: pa.Table) -> pa.Table:
+        made = []
+        for i, j, values, count in sets_of(*text_bytes(t.column("text")), k):
+            ends = np.append(0, np.cumsum(count))
+            made += [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        return pa.table({"id": t.column("id"), "hashes": pa.array(made, pa.binary())})
+
+    return passed(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), shingled, "id long, hashes binary")
+
+
+def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for c in column.chunks for x in c]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets reach the similarity: 100 * common >= percent * union."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
 
     def compare(t: pa.Table) -> pa.Table:
-        (va, na), (vb, nb) = (shingle_sets(*text_bytes(t.column(c)), k) for c in ("ta", "tb"))
-        row = np.concatenate([np.repeat(np.arange(len(t)), na), np.repeat(np.arange(len(t)), nb)])
-        value = np.concatenate([va, vb])
-        order = np.lexsort((value, row))
-        value, row = value[order], row[order]
-        twice = row[1:][(value[1:] == value[:-1]) & (row[1:] == row[:-1])]
-        common = np.bincount(twice, minlength=len(t))
-        alike = (100 * common >= percent * (na + nb - common)) & (common > 0)
-        return t.select(["a", "b"]).filter(pa.array(alike))
+        alike = []
+        for x, y in zip(_hashes(t.column("left")), _hashes(t.column("right"))):
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            alike.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+        return t.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return passed(pairs.select("a", "b").join(left, "a").join(right, "b"), compare, "a long, b long")
 
 
-def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+def shared_shingles(sets: DataFrame) -> DataFrame:
     """(rep, shared): in how many shingles, by PARTS parts of their hash, a document is not alone among these.
 
     Ids with several rows are left out.
     """
-    once = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows = 1").select("doc_id")
-    texts = texts.select("doc_id", "text").join(once, "doc_id", "left_semi")
+    once = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows = 1").select("id")
+    sets = sets.join(once, "id", "left_semi")
 
     def spread(t: pa.Table) -> pa.Table:
-        values, count = shingle_sets(*text_bytes(t.column("text")), k)
-        ids = t.column("doc_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(t)), count)))
-        return pa.table({"rep": ids, "shingle": pa.array(values.view(np.int64))})
+        lists = _hashes(t.column("hashes"))
+        ids = t.column("id").combine_chunks().take(pa.array(np.repeat(np.arange(len(t)), [len(x) for x in lists])))
+        return pa.table({"rep": ids, "shingle": pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64))})
 
     def count_parts(t: pa.Table) -> pa.Table:
-        values, count = shingle_sets(*text_bytes(t.column("text")), k)
-        row = np.repeat(np.arange(len(t)), count)
-        every = np.bincount(row * PARTS + (values & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(t) * PARTS)
-        return pa.table({"rep": t.column("doc_id"), "every": pa.ListArray.from_arrays(
-            pa.array(np.arange(len(t) + 1, dtype=np.int32) * PARTS), pa.array(every.astype(np.int32)))})
+        every = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for x in _hashes(t.column("hashes"))]
+        return pa.table({"rep": t.column("id"), "every": pa.ListArray.from_arrays(
+            pa.array(np.arange(len(t) + 1, dtype=np.int32) * PARTS),
+            pa.array(np.concatenate([*every, np.zeros(0, np.int64)]).astype(np.int32)))})
 
-    alone = passed(texts, spread, "rep long, shingle long").groupBy("shingle").agg(
+    alone = passed(sets, spread, "rep long, shingle long").groupBy("shingle").agg(
         F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).filter("times = 1")
     part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")
     alone = alone.groupBy("rep", part).agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("rep").agg(
         F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
-    return passed(texts, count_parts, "rep long, every array<int>").join(alone, "rep", "left").select("rep", F.transform(
+    return passed(sets, count_parts, "rep long, every array<int>").join(alone, "rep", "left").select("rep", F.transform(
         "every", lambda x, i: x - F.coalesce(F.try_element_at("alone", i), F.lit(0))).alias("shared"))
 
 
@@ -142,6 +149,22 @@ def may_link(n: Column, shared: Column, other_n: Column, other_shared: Column, p
     return 100 * most >= percent * (n + other_n - most)
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (id, component) after more links. What is known is contracted first: only links between groups are followed."""
+    def of(side: str) -> DataFrame:
+        return groups.select(F.col("id").alias(side), F.col("component").alias(f"{side}_group"))
+
+    a, b = F.coalesce("a_group", "a"), F.coalesce("b_group", "b")
+    between = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(a != b).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "between")
+    if not between.limit(1).count():
+        return groups
+    tops = written(components(between), "tops")
+    moved = groups.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(
+        "id", F.coalesce("top", "component").alias("component"))
+    return written(moved.unionByName(tops.join(groups, "id", "left_anti")), "groups")
+
+
 def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BANDS,
                 permutations: int = PERMUTATIONS, centres: int = CENTRES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id is that id): one row per row of ``docs``.
@@ -152,35 +175,34 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
     """
     sketched = written(sketches(docs, k, number, permutations), "sketches")
     named = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = written(named.select("doc_id", "set_a", "set_b", "n_shingles", "keys").join(
-        classes, ["set_a", "set_b", "n_shingles"]).select(
+    same_set = ["set_a", "set_b", "n_shingles"]
+    # Written, so that the join below has exchanges on both sides and a large class of copies is split.
+    classes = written(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
+    member = written(named.join(classes, same_set).select(
         "doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")),
-        "classes")
+        "members")
     placed = member.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "rep", "n")
-    shared = placed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter(
-        F.col("lo") < F.col("hi")).select("key")
-    buckets = written(placed.join(shared, "key").distinct(), "buckets")
+    # Of each key that several documents have: the smallest id, and how large its sets are.
+    shared_keys = written(placed.groupBy("key").agg(
+        F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.struct("rep", "n"))["n"].alias("n_least"),
+        F.max(F.struct((-F.col("rep")).alias("rep"), "n"))["n"].alias("n_most")).filter(F.col("lo") < F.col("hi")).drop("hi"), "keys")
+    buckets = written(placed.join(shared_keys, "key").distinct(), "buckets")
     # An id with texts of several classes links each of them to the one of the smallest id.
     several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter(F.col("b") < F.col("last"))
     same_id = member.join(several.select("doc_id", "b"), "doc_id").filter(F.col("rep") != F.col("b")).select(
         F.col("rep").alias("a"), "b").distinct()
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"),
-                    "texts")
-
-    # First the likeliest pair of each document: with the smallest id of most of its buckets.
-    first = buckets.groupBy("key").agg(F.min("rep").alias("a"))
-    often = buckets.join(first, "key").filter(F.col("rep") != F.col("a")).groupBy("a", F.col("rep").alias("b")).agg(
-        F.count(F.lit(1)).alias("times"))
-    pairs = often.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a"))
-    tried = written(pairs.select("a", "b"), "pairs")
-    links = written(confirmed(tried, texts, k, percent).unionByName(same_id.select("a", "b")).distinct(), "links")
+    sets = written(set_table(docs.join(wanted, docs["doc_id"].cast("long") == wanted["doc_id"], "left_semi"), k), "sets")
+
+    # First each document with the smallest id of every of its buckets, if their sizes allow a link.
+    fits = 100 * F.least("n", "n_most") >= percent * F.greatest("n", "n_least")
+    tried = written(buckets.filter((F.col("rep") != F.col("lo")) & fits).select(
+        F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = written(confirmed(tried, sets, percent).unionByName(same_id).distinct(), "links")
     groups = written(components(links), "groups")
+    buckets = buckets.select("key", "rep", "n")
     shared: DataFrame | None = None
-    turn = 0
     while True:
-        turn += 1
         now = buckets.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep"))
         parts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
@@ -188,41 +210,27 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, number: int = BA
         largest = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("n_parts"))
         open_keys = largest.filter(F.col("n_parts") > 1).select("key", F.col("most.component").alias("largest"))
         still = written(now.join(open_keys, "key"), "open-buckets")
-        if turn <= QUICK:
-            # Most that link at all link to one of a few members of their bucket's largest component.
-            anchor = still.filter(F.col("component") == F.col("largest")).groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("x")).select("key", F.col("x.rep").alias("a"))
-            near = still.filter(F.col("component") != F.col("largest")).join(anchor, "key").groupBy(
-                "a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("times")).join(tried, ["a", "b"], "left_anti")
-            new = written(near.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b"), "pairs")
-            tried = tried.unionByName(new)
-            links = links.unionByName(written(confirmed(new, texts, k, percent), "links"))
-            groups = written(components(links), "groups")
-            continue
+        if not still.limit(1).count():
+            break
         if shared is None:
             # Partners stand in these buckets; shingles that no other document here has are common to no pair.
-            rest = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            shared = written(shared_shingles(rest, k), "shared-shingles")
+            rest = sets.join(still.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+            shared = written(shared_shingles(rest), "shared-shingles")
         known = still.join(shared, "rep", "left")
         part = F.pmod(F.xxhash64("rep"), F.lit(centres))
-        chosen = known.filter(F.col("component") != F.col("largest")).groupBy("key", part.alias("part")).agg(
+        chosen = written(known.filter(F.col("component") != F.col("largest")).groupBy("key", part.alias("part")).agg(
             F.min(F.struct("rep", "n", "shared", "component")).alias("c")).select(
             "key", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"), F.col("c.shared").alias("c_shared"),
-            F.col("c.component").alias("c_component"))
-        chosen = written(chosen, "centres")
+            F.col("c.component").alias("c_component")), "centres")
         met = known.join(chosen, "key").filter(
             (F.col("component") != F.col("c_component"))
             & may_link(F.col("n"), F.col("shared"), F.col("c_n"), F.col("c_shared"), percent))
-        new = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct().join(
-            tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        if chosen.limit(1).count() == 0:
-            break
-        more = written(confirmed(new, texts, k, percent), "links")
-        tried = tried.unionByName(new)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            groups = written(components(links), "groups")
+        new = written(met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct().join(
+            tried, ["a", "b"], "left_anti"), "pairs")
+        if new.limit(1).count():
+            tried = tried.unionByName(new)
+            groups = joined(groups, confirmed(new, sets, percent))
+        # Centres have met everybody in their bucket.
         buckets = written(still.select("key", "rep", "n").join(
             chosen.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "buckets")
         centres *= 8

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+from keepsake.llm.common import blocks
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +49,45 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed(np.add.reduceat(value, begin)), np.diff(np.searchsorted(begin, starts))
 
 
+def sliced_word_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Word hashes of one text, a slice at a time; slices end before a blank, so no word is parted."""
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end, step = min(at + size, len(data)), size
+        while end < len(data):
+            blank = np.flatnonzero(_BLANK[data[end - step:end]])
+            if len(blank) and end - step + blank[-1] > at:
+                end = end - step + int(blank[-1])
+                break
+            end, step = min(end + step, len(data)), min(step, len(data) - end)
+        part = data[at:end]
+        parts.append(word_hashes(part, np.array([0, len(part)]))[0])
+        at = end
+    return np.concatenate(parts)
+
+
+def long_shingle_set(data: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The shingles of one long text, sorted."""
+    words = sliced_word_hashes(data, size)
+    number = max(len(words) - k + 1, min(len(words), 1))
+    width = min(len(words), k)
+    value = np.full(number, width, np.uint64)
+    for j in range(width):
+        value = mixed(value * _STEP + words[j:j + number])
+    return np.unique(value)
+
+
+def sets_of(data: np.ndarray, starts: np.ndarray, k: int, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``shingle_sets`` of about ``size`` bytes of texts together: first and last text, shingles, how many each text has."""
+    for i, j in blocks(starts, size):
+        part = data[starts[i]:starts[j]]
+        if len(part) > 2 * size and j == i + 1:
+            values = long_shingle_set(part, k, size)
+            yield i, j, values, np.array([len(values)])
+        else:
+            yield i, j, *shingle_sets(part, starts[i:j + 1] - starts[i], k)
+
+
 def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, sorted, and how many each has; fewer words are one shingle."""
     words, count = word_hashes(data, starts)
