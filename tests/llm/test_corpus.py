@@ -204,15 +204,19 @@ def test_line_spread(spark, none):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "n_lines", "n_removed"]
     rows = Counter((r.doc_id, r.text, r.n_removed) for r in got.collect())
     gone = lambda t: "\n".join(x for x in t.split("\n") if x.lower() != common.lower())
-    want = Counter((i, gone(t), 1) for i, t, *_ in docs + odd[4:]) + Counter((i, t, 0) for i, t, *_ in copies + odd[:4])
-    assert rows == want
+    want = Counter((i, gone(t), 1) for i, t, *_ in docs + odd[4:]) + Counter((i, t, 0) for i, t, *_ in copies + odd[1:4])
+    # A page that is all boilerplate loses all of it; copies of a whole text are one site.
+    assert rows == want + Counter([(None, "", 1)])
+    heavy = spark.createDataFrame([(300, f"{common}\n" * 20 + "own", "en", "s9", 0)], df.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    more = line_spread.without_boilerplate(df.select(*heavy.columns).unionByName(heavy))
+    assert more.filter("doc_id = 300").first().text == "own"
     assert line_spread.without_boilerplate(none).count() == 0
 
 
 def test_lines_near_the_threshold_count_exactly(spark):
-    rows = [(n * 1000 + s, f"line {n} for the sites", "en", f"site{s}", 0) for n in range(90, 112) for s in range(n)]
+    rows = [(n * 1000 + s, f"line {n} for the sites\nown text {s} of {n}", "en", f"site{s}", 0) for n in range(90, 112) for s in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert line_spread.boilerplate(df, sites=100).count() == 12
+    assert line_spread.boilerplate(line_spread.line_table(df), sites=100).count() == 12
 
 
 def record(i, url, s, kind, **headers):
@@ -248,6 +252,20 @@ def test_revisits(spark):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_without_id_or_with_one_id(spark):
+    rows = [record(1, "http://e.org/", 100, "response", etag='"1"'), record(1, "http://e.org/", 200, "revisit", etag='"1"'),
+            record(None, "http://e.org/", 300, "revisit", etag='"1"'), record(None, "http://e.org/", 300, "revisit", etag='"1"'),
+            record(None, "http://e.org/", 301, "revisit", etag='"2"'), record(None, "http://f.org/", 1, "response", etag='"3"'),
+            record(7, "http://f.org/", 2, "revisit", etag='"3"'), record(7, "http://f.org/", 0, "revisit", etag='"3"')]
+    schema = "record_id long, url string, s long, kind string, headers array<struct<name:string,value:string>>, payload_digest string"
+    df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("s"))
+    got = Counter((r.record_id, r.outcome, r.response_id) for r in revisits.resolve(df).collect())
+    # Two rows of id 7 are one, the smaller: it came before the response. A response without id proves as any other.
+    assert got == Counter([(1, "resolved", 1), (None, "resolved", 1), (None, "changed", 1), (7, "no_response", None)])
+    later = revisits.resolve(df.filter("s <> 0")).filter("record_id = 7").first()
+    assert (later.outcome, later.response_id, later.payload_digest) == ("resolved", None, "digest None")
+
+
 def test_revisits_do_not_depend_on_slots(spark):
     records = revisits.records_of_pages(table(spark, FOLDER, "pages")).withColumn("url", F.lit("http://one.example/"))
     want = None
@@ -269,6 +287,15 @@ def test_pipeline_stages(spark, odd_wide, tmp_path):
         "language_id", "quality_classifier", "line_dedup", "minhash_near_dedup", "best_fit_packing"]
 
 
+def test_repeated_rows_of_a_kept_document_stay_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "b", 9), (1, text, "en", "a", 9), (2, text, "en", "a", 9), (None, text, "en", "a", 9),
+            (None, text, "en", "a", 9), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.minhash_near_dedup(spark, df, FOLDER).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, text), (None, text), (3, None), (4, "")])
+
+
 def test_pipeline_against_plain_python(spark):
     """Stages over the table, each against what its operator's brute force says of its own input."""
     docs = table(spark, FOLDER, "documents")

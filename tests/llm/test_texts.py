@@ -151,14 +151,25 @@ def test_pieces_and_packing(odd_wide, none):
 @pytest.mark.parametrize("histogram", [{}, {2048: 7}, {1: 5}, {1500: 3, 548: 2, 100: 40}, {1025: 10}, {n: n % 7 for n in range(1, 900) if n % 7}])
 def test_plan_covers_the_histogram(histogram):
     plan, back = packing.solve(histogram), Counter()
-    for used, times in plan:
+    for used, times in plan.configurations:
         assert sum(n * k for n, k in used) <= 2048 and times > 0
         for n, k in used:
             back[n] += k * times
     assert back == Counter(histogram)
     # No worse than one sequence in a hundred above what any packing needs.
     least = max(-(-sum(n * k for n, k in histogram.items()) // 2048), sum(k for n, k in histogram.items() if n > 1024))
-    assert sum(t for _, t in plan) <= least * 1.01 + 1
+    assert least * 0.999 <= plan.bound <= plan.sequences() <= least * 1.01 + 1
+
+
+def test_linear_program_covers_and_bounds():
+    """Thirds and halves: the bound is the optimum, which the total length does not show."""
+    have = np.zeros(100, np.int64)
+    have[[33, 50]] = 3000, 1000  # 34 twice beside nothing else, or 51 with 34
+    taken, bound = packing.linear_program(have, 100)
+    assert 1900 <= bound <= 2000 and bound > (34 * 3000 + 51 * 1000) / 100 + 100
+    for length in (34, 51):
+        assert sum(dict(c).get(length, 0) * x for c, x in taken.items()) >= 0.7 * have[length - 1]
+    assert packing.solve({34: 3000, 51: 1000}, 100).sequences() == 2000
 
 
 def plain_counts(text):
@@ -184,6 +195,9 @@ def test_cleaning(spark, odd_wide, none):
     assert row.cleaned_text == lines[0] + "\n" and row.n_bad_lines == 5 and not row.kept
     rules = one.select(F.transform(F.split("text", "\n"), cleaning.failed_rule).alias("r")).first().r
     assert rules == [None, "navigation", "shouting", "symbols", "no_sentence", "boilerplate", None]
+    scripts = ["这是一个完整的句子。", "これは文です。", "यह एक वाक्य है।", "هل هذه جملة؟", "Ist das ein Satz?", "ይህ ዓረፍተ ነገር ነው።"]
+    rules = spark.createDataFrame([(x,) for x in scripts], "x string").select(cleaning.failed_rule(F.col("x")).alias("r")).collect()
+    assert [r.r for r in rules] == [None] * len(scripts)
 
 
 def test_order_minhash(spark, odd_wide, none):
@@ -216,3 +230,45 @@ def test_order_minhash_follows_order_and_repeats(spark):
     assert near[0, 0] == 1 and near[0, 2] > 0.8 and near[0, 3] == 0
     assert near[0, 1] < 0.75  # the same k-mers nearly, in another order
     assert near[3, 4] < 1  # the same k-mers, but fewer occurrences
+
+
+@pytest.mark.parametrize("n", [6, 20, 40, 80, 160])
+def test_order_counts_in_short_texts(spark, n):
+    words = [f"w{i}" for i in range(n)]
+    texts = [" ".join(words), " ".join(words[n // 2:] + words[:n // 2]), " ".join(words[:-1] + ["x"])]
+    fp = order_minhash.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "fp")
+    a, b, c = (r.fp for r in fp.orderBy("i").collect())
+    swapped, edited = (len(set(a) & set(x)) / 64 for x in (b, c))
+    assert len(a) == len(b) == 64 and swapped < 0.75 and (n < 40 or edited > swapped)
+
+
+def plain_fingerprint(spark, text, k=order_minhash.K):
+    """Minimal k-mers of every order, by trying them all, from the hashes that Spark gives."""
+    words = re.findall(r"[\u4e00-\u9fff\u3040-\u30ff]|[^\x20\x09-\x0d\u4e00-\u9fff\u3040-\u30ff]{1,16}", text)
+    grams = [words[i:i + k] for i in range(max(len(words) - k, 0) + 1)] if words else []
+    if not grams:
+        return []
+    row = lambda g: F.xxhash64(*[F.lit(w) for w in g + [None] * (k - len(g))])
+    hashed = list(spark.range(1).select(*[row(g) for g in grams]).first())
+    seen, items = Counter(), []
+    for at, h in sorted(enumerate(hashed), key=lambda x: (x[1] >> 30, x[0])):
+        items.append((h >> 30, seen[h >> 30], at))
+        seen[h >> 30] += 1
+    numbered = list(spark.range(1).select(*[F.xxhash64(F.lit(h).cast("long"), F.lit(n)) for h, n, _ in items]).first())
+    circle = sorted(((v >> 30) << 30 | at) for v, (_, _, at) in zip(numbered, items))
+    out = []
+    for order in range(64):
+        start = (order - 32) << 58
+        i = next((i for i, x in enumerate(circle) if x >= start), 0)
+        pair = [circle[i], circle[(i + 1) % len(circle)]] if len(circle) > 1 else [circle[i]]
+        pair.sort(key=lambda x: x & ((1 << 30) - 1))
+        out.append((order, [x >> 30 for x in pair]))
+    values = list(spark.range(1).select(*[F.xxhash64(*[F.lit(x).cast("long") for x in p]) for _, p in out]).first())
+    return [(o << 25) | (v & ((1 << 25) - 1)) for (o, _), v in zip(out, values)]
+
+
+def test_fingerprints_against_all_kmers(spark):
+    texts = ["", "one", "one two", "a b a b a b a b", "日本語 テスト x", " ".join(f"w{i % 37}" for i in range(90))]
+    fp = order_minhash.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "fp")
+    for r in fp.collect():
+        assert [v & 0xFFFFFFFF for v in r.fp] == plain_fingerprint(spark, r.text), r.text
