@@ -43,7 +43,8 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned_text")
+    cleaned = cleaning.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.withColumn("cleaned_sha256", F.sha2("cleaned_text", 256)).drop("text", "cleaned_text")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
