@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.operators import questions as q
 from keepsake.operators import retrieval as r
 from keepsake.operators.ranking import top_k
+from keepsake.operators.term_index import stored
 
 RESULT = ["owner_id", "question_id", "route", "rank", "kind", "id", "subreddit", "created_at",
           "snippet", "score"]
@@ -28,7 +29,8 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
         .when((F.col("intent") == "comparison") & (F.size("topics") >= 2), "comparison")
         .when((F.col("intent") == "evolution") & (F.col("change_topic") != ""), "evolution")
         .otherwise("general"))
-    asked = asked.withColumn("route", route)
+    # Routed once: every branch reads the result.
+    asked = stored(asked.withColumn("route", route), "routed")
 
     def of(name: str) -> DataFrame:
         return asked.filter(F.col("route") == name)
