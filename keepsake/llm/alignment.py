@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.chunks import ChunkEncoder, Encoded, flat, gather, library_encoder, spans
-from keepsake.llm.common import passing, prefix, text_bytes, worker_state, written
+from keepsake.llm.common import arrow_pass, passing, prefix, text_bytes, worker_state, written
 
 MADE = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 #: Ids of the second tokenizer are below 2 ** SHIFT.
@@ -223,9 +223,9 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> Alignment:
                  pa.array(sha, pa.string()), *lists],
                 names=["key", "times", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "number"])
 
-    texts = written(distinct.select(digest.alias("key"), F.concat(F.lit(" "), "text").alias("text"), "times").mapInArrow(
-        by_text, "key binary, times long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, "
-                 "number array<int>"), "aligned")
+    texts = written(arrow_pass(
+        distinct.select(digest.alias("key"), F.concat(F.lit(" "), "text").alias("text"), "times"), by_text,
+        "key binary, times long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, number array<int>"), "aligned")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -242,7 +242,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> Alignment:
             some = seen[at:at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "links"])
 
-    counts = texts.select("times", "pairs", "number").mapInArrow(counted, "pair long, links long").groupBy("pair").agg(
+    counts = arrow_pass(texts.select("times", "pairs", "number"), counted, "pair long, links long").groupBy("pair").agg(
         F.sum("links").alias("links"))
     # At most one row for each possible pair of the two vocabularies.
     pairs = possible_pairs(level_bytes(path_a), piece_bytes(path_b))
@@ -266,7 +266,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> Alignment:
                 names=[key, *MADE])
 
     schema = f"{key} binary, " + ", ".join(f"{m} {'string' if m == 'groups_sha256' else 'long'}" for m in MADE)
-    measures = texts.select("key", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "number").mapInArrow(measured, schema)
+    measures = arrow_pass(
+        texts.select("key", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "number"), measured, schema)
     kept = [F.col(f"`{n}`") for n in names]
     with_text = docs.filter(some).select(*kept, digest.alias(key)).join(measures, key).select(*kept, *MADE)
     without = docs.filter(~some).select(*kept, *[F.lit(0).cast("long").alias(m) for m in MADE[:-1]], F.lit("").alias(MADE[-1]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.session import configure, shared_dir
 
 #: Arrow batches end at so many rows or bytes, whichever comes first.
-BATCH_ROWS, BATCH_BYTES = 4096, 24 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +61,23 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def worker_state(key: object, make: Callable[[], object]) -> object:
-    """Something costly to build that one Python worker keeps between its tasks."""
+    """Something costly to build that one Python worker keeps between its tasks, until another is asked for."""
     held = sys.modules.setdefault("keepsake_worker_state", types.ModuleType("keepsake_worker_state"))
-    if not hasattr(held, "kept"):
-        held.kept = {}
-    if key not in held.kept:
-        held.kept[key] = make()
-    return held.kept[key]
+    if getattr(held, "kept", (None,))[0] != key:
+        held.kept = None
+        released()
+        held.kept = (key, make())
+    return held.kept[1]
+
+
+def released() -> None:
+    """Give memory that nothing uses any more back to the system: workers outlive the passes they run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,4 +108,12 @@ def passed(df: DataFrame, change: Callable[[pa.Table], pa.Table], schema: str) -
         for b in batches:
             if b.num_rows:
                 yield from change(pa.Table.from_batches([b])).combine_chunks().to_batches()
-    return df.mapInArrow(run, schema)
+    return arrow_pass(df, run, schema)
+
+
+def arrow_pass(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, whose tasks leave no memory behind them in the worker but its state."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+    return df.mapInArrow(task, schema)

@@ -244,8 +244,9 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     edges = starts[:-1][starts[:-1] < len(data)]
     begins[edges] = word[edges]
     begin = np.flatnonzero(begins)
-    before = np.append(0, np.cumsum(word, dtype=np.int64))  # bytes of words
-    offsets = np.append(before[begin], before[-1])
+    ends = word.copy()
+    ends[:-1] &= ~word[1:] | begins[1:]
+    offsets = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - begin))
     column = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])])
     number = column.dictionary_encode().indices.to_numpy().astype(np.int64)
     return number, begin, np.diff(offsets), np.searchsorted(begin, starts)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.chunks import library_encoder
-from keepsake.llm.common import passed, text_bytes, worker_state
+from keepsake.llm.common import arrow_pass, passed, text_bytes, worker_state
 
 SCHEMA = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page before compression, and rows of a page.
@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_gr
                  pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "part", "place", "n_tokens", "ids"])
 
     (
-        ordered.mapInArrow(encode, SCHEMA).write
+        arrow_pass(ordered, encode, SCHEMA).write
         .option("parquet.block.size", str(row_group)).option("parquet.page.size", str(PAGE))
         .option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")
