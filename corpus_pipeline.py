@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm import common, language, line_spread, near_copies, packing, quality
@@ -24,7 +24,10 @@ def beside(docs: DataFrame, made: list[str], change: Callable[[DataFrame], DataF
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known and not ambiguous."""
+    """Keep documents whose language is known and not ambiguous.
+
+    Documents without a letter go (null and empty texts among them); repeated rows are judged alike. Columns stay as they are.
+    """
     common.prepared(spark)
     model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
     known = (F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")
@@ -32,7 +35,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier counts as good."""
+    """Keep documents that the classifier counts as good.
+
+    Null texts count as empty and are scored like any other; repeated rows are judged alike; without labels all have one score.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     good = F.col("predicted") == 1
     return beside(docs, ["score", "predicted", "top_passage"], lambda d: quality.score(d, model).filter(good))
@@ -53,15 +59,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 of five-word shingles) stays: that of the smallest id."""
+    """One document of each group of near copies (similarity 0.8 of five-word shingles) stays: that of the smallest id.
+
+    Null and empty texts, and rows without id, are in no group. Of rows with the same id (or none) and text one stays, whatever
+    its other columns: the first by a hash of these.
+    """
     common.prepared(spark)
-    other = f"{common.prefix(docs)}gone"
-    gone = near_copies.near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = common.prefix(docs)
+    gone = near_copies.near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(f"{p}gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(f"{p}gone"), "left_anti")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    keyed = left.withColumns({f"{p}t": F.xxhash64("text"), f"{p}u": F.xxhash64(F.lit(9), "text"), f"{p}order": F.xxhash64(*hashed)})
+    first = Window.partitionBy("doc_id", f"{p}t", f"{p}u").orderBy(f"{p}order")
+    once = keyed.withColumn(f"{p}copy", F.row_number().over(first)).filter(F.col(f"{p}copy") == 1)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, with sequence and place."""
+    """Pieces of what is left, with sequence and place.
+
+    A null or empty text is the end id alone; repeated rows are packed each; ids may be null; no rows give none.
+    """
     common.prepared(spark)
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
 
