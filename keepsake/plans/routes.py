@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.operators import questions as q
 from keepsake.operators import retrieval as r
 from keepsake.operators.ranking import top_k
-from keepsake.operators.term_index import stored
+from keepsake.operators.term_index import TermIndex, stored
 
 RESULT = ["owner_id", "question_id", "route", "rank", "kind", "id", "subreddit", "created_at",
           "snippet", "score"]
@@ -44,25 +44,31 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
             text.alias("snippet"), F.col("score").cast("double").alias("score"))
 
     in_order = [F.asc("place"), F.asc("seq")]
-    phrase = shaped(q.phrase_matches(rows, of("phrase_frequency")), "phrase_frequency", 10, in_order)
+    # Ranked as numbers; the texts of the few that stay are fetched.
+    shown = ["kind", "id", "subreddit", "created_at", "text"]
+    whole = TermIndex(rows.withColumn("low", F.lower("text")), r.OWNER)
+    said = r.matches(whole, q.phrase_terms(of("phrase_frequency"))).select(*r.ASK, "_row", "place", "seq", "score")
+    phrase = shaped(whole.fetch(top_k(said, r.ASK, in_order, 10), *shown), "phrase_frequency", 10, in_order)
     period = shaped(q.time_period_rows(rows, of("time_period")), "time_period", 10, in_order)
     # A side is a request of its own.
     sides = of("comparison").select("owner_id", "question_id", F.posexplode(
         F.slice("topics", 1, 2)).alias("side", "topic")).withColumn("question_id", F.struct("question_id", "side"))
-    compared = r.matching(rows.filter("place = 0").withColumn("low", F.lower("text")),
-                          r.with_terms(sides, r.blank_terms("topic"))).withColumn("question_id", F.col("question_id.question_id"))
-    comparison = shaped(compared.drop("low"), "comparison", 10, [F.desc("hits"), *in_order])
-    changed = r.matching(
-        rows.filter("place = 0 AND created_at IS NOT NULL").withColumn("low", F.lower("text")),
-        r.with_terms(of("evolution"), r.blank_terms("change_topic")))
-    evolution = shaped(changed.drop("low"), "evolution", 10, [F.desc("hits"), *in_order])
+    best = [F.desc("hits"), *in_order]
+    comments_only = TermIndex(rows.filter("place = 0").withColumn("low", F.lower("text")), r.OWNER)
+    slim = ["place", "seq", "score", "created_at"]
+    compared = r.matched(comments_only, r.with_terms(sides, r.blank_terms("topic")), slim).withColumn(
+        "question_id", F.col("question_id.question_id"))
+    changed = r.matched(comments_only, r.with_terms(of("evolution"), r.blank_terms("change_topic")), slim).filter(
+        "created_at IS NOT NULL")
+    comparison, evolution = (
+        shaped(comments_only.fetch(top_k(found, r.ASK, best, 10).drop("created_at"), *shown), name, 10, best)
+        for found, name in ((compared, "comparison"), (changed, "evolution")))
     general = of("general").select("owner_id", "question_id", F.col("question").alias("topic"))
     found = shaped(r.general(rows, general), "general", 6, [])
-    texts = r.message_hits(events, general)
+    texts = r.message_hits(events, general, 25)
     told = shaped(
         texts.withColumn("kind", F.lit("message")).withColumn("id", F.col("seq")).withColumn(
-            "subreddit", F.lit(None).cast("string")),
-        "messages", 25, [F.desc("score"), F.asc("seq")])
+            "subreddit", F.lit(None).cast("string")), "messages", 25, [])
     out = phrase
     for part in (period, comparison, evolution, found, told):
         out = out.unionByName(part)
