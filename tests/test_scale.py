@@ -1,7 +1,9 @@
 """Plans that carry numbers instead of texts, and joins that do not gather a hot group."""
 
+import json
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from keepsake.functions.text import any_word, bounded
 from keepsake.operators import questions, retrieval
 from keepsake.operators.contacts import events_with
 from keepsake.operators.term_index import TermIndex
+from keepsake.sources import json_cuts, takeout
 
 
 def test_matches_are_ranked_without_their_texts(spark):
@@ -75,3 +78,29 @@ def test_words_are_found_as_by_both_edges(spark):
 def test_batches_for_python_are_small(spark):
     from keepsake.session import configure
     assert int(configure(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_large_documents_of_an_archive_are_cut_once(spark, tmp_path, monkeypatch):
+    def put(name, doc):
+        at = tmp_path / "owner=ana" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(json.dumps(doc))
+
+    put("Chrome/History.json", {"Browser History": [{"title": f"t{i}", "url": f"http://t.org/{i}"} for i in range(40)]})
+    put("Chrome/Bookmarks.json", {"roots": {"bar": {"name": "", "children": [{"name": f"n{i}", "url": "http://n.org"} for i in range(40)]}}})
+    put("Mail/all.json", {"messages": [{"id": str(i), "snippet": f"s{i}, {'x' * 20}"} for i in range(40)]})
+    put("Voice/calls.json", [{"messageText": "short"}])
+    put("Voice/other.txt", [])
+    (tmp_path / "owner=ana" / "Voice" / "rows.csv").write_text("text\nrow\n")
+    (tmp_path / "owner=ana" / "Voice" / "page.html").write_text("<p>none</p>")
+    (tmp_path / "owner=ana" / "Mail" / "a.mbox").write_text("From x\n\nempty\n")
+    cut, parts = [], json_cuts.parts
+    monkeypatch.setattr(json_cuts, "parts", lambda *a: cut.append(1) or parts(*a))
+    events = takeout.read_takeout(spark, str(tmp_path), largest=600).collect()
+    found = Counter(re.sub(r"\d+", "", r.text.split("\n")[0]) for r in events if r.owner_id == "ana")
+    assert len(cut) == 1
+    # A root object counts as a page of its own.
+    assert found["Visited: t"] == found["Bookmark: n"] == 40 and found["short"] == found["row"] == 1
+    assert sum(r.source == "gmail" and r.text.startswith("s") for r in events) == 40
+    few = int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"))
+    assert few == spark.sparkContext.defaultParallelism
