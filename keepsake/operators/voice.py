@@ -16,6 +16,10 @@ from keepsake.functions.text import (
     strip, tokens, word_count,
 )
 from keepsake.operators.ranking import MAX_OWNERS, broadcast_if_small, top_counts, top_k
+from keepsake.operators.term_index import stored
+
+# Frequent pairs of words: a million of them are some tens of megabytes.
+MAX_PAIRS = 1_000_000
 
 # What each mark is.
 MARKS = {
@@ -103,14 +107,32 @@ def style_numbers(corpus: DataFrame) -> DataFrame:
 def common_phrases(corpus: DataFrame, k: int = 20) -> DataFrame:
     """Most frequent two- and three-word runs with a content word, per text."""
     w = F.col("w")
-    grams = (
-        corpus.select("owner_id", tokens("body").alias("w"))
-        .select("owner_id", F.explode(F.concat(ngrams(w, 2), ngrams(w, 3))).alias("phrase"))
-    )
+    words = stored(corpus.select("owner_id", tokens("body").alias("w")), "words")
     content = F.exists(F.split("phrase", " "), lambda p: ~p.isin(*STYLE_STOP_WORDS))
+
+    def counted(grams: DataFrame) -> DataFrame:
+        return grams.groupBy("owner_id", "phrase").agg(F.count(F.lit(1)).alias("count"))
+
     # Counting first leaves one test per distinct phrase instead of one per occurrence.
-    counted = grams.groupBy("owner_id", "phrase").agg(F.count(F.lit(1)).alias("count"))
-    best = top_k(counted.filter(content), ["owner_id"], [F.desc("count"), F.asc("phrase")], k)
+    pairs = stored(counted(words.select("owner_id", F.explode(ngrams(w, 2)).alias("phrase"))), "pairs")
+    order = [F.desc("count"), F.asc("phrase")]
+    best = stored(top_k(pairs.filter(content), ["owner_id"], order, k), "best").drop("rank")
+    # Three words stand no more often than either pair of neighbours in them: only runs of pairs that are as frequent as the
+    # last of the k best pairs can be among the k best phrases, so the many rare runs are neither shuffled nor counted.
+    least = best.groupBy("owner_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("count")).otherwise(1).alias("least"))
+    frequent = stored(pairs.join(broadcast_if_small(least, MAX_OWNERS), "owner_id").filter(
+        F.col("count") >= F.col("least")).select("owner_id", "phrase"), "frequent")
+    if frequent.limit(MAX_PAIRS + 1).count() <= MAX_PAIRS:
+        few = F.broadcast(frequent)
+        rest = F.greatest(F.size("p") - 1, F.lit(0))
+        runs = words.select("owner_id", ngrams(w, 2).alias("p")).select("owner_id", F.explode(F.arrays_zip(
+            F.slice("p", F.lit(1), rest).alias("a"), F.slice("p", F.lit(2), rest).alias("b"))).alias("r")).select("owner_id", "r.a", "r.b")
+        for side in ("a", "b"):
+            runs = runs.join(few.withColumnRenamed("phrase", side), ["owner_id", side], "left_semi")
+        triples = runs.select("owner_id", F.concat_ws(" ", "a", F.substring_index("b", " ", -1)).alias("phrase"))
+    else:
+        triples = words.select("owner_id", F.explode(ngrams(w, 3)).alias("phrase"))
+    best = top_k(best.unionByName(counted(triples).filter(content)), ["owner_id"], order, k)
     n = corpus.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"))
     return best.join(n, "owner_id").withColumn("frequency", F.col("count") / F.col("n")).drop("n")
 

@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import any_word, bounded
-from keepsake.operators import questions, retrieval
+from keepsake.operators import clusters, questions, retrieval, voice
 from keepsake.operators.contacts import events_with
 from keepsake.operators.term_index import TermIndex
 from keepsake.sources import json_cuts, takeout
@@ -104,3 +104,40 @@ def test_large_documents_of_an_archive_are_cut_once(spark, tmp_path, monkeypatch
     assert sum(r.source == "gmail" and r.text.startswith("s") for r in events) == 40
     few = int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"))
     assert few == spark.sparkContext.defaultParallelism
+
+
+def test_only_runs_of_frequent_pairs_are_counted(spark, monkeypatch):
+    rng = random.Random(5)
+    names = ["w%d" % i for i in range(12)] + ["the", "of"]
+    texts = [("o%d" % (i % 2), " ".join(rng.choice(names) for _ in range(rng.randint(1, 30)))) for i in range(60)] + [("p", "a lone text of six words")]
+    corpus = spark.createDataFrame(texts, "owner_id string, body string")
+    stop = set(voice.STYLE_STOP_WORDS)
+    want = {}
+    for owner in {o for o, _ in texts}:
+        count = Counter(" ".join(w[i:i + n]) for o, b in texts if o == owner for w in [b.split()] for n in (2, 3) for i in range(len(w) - n + 1))
+        ranked = sorted(((p, c) for p, c in count.items() if not set(p.split()) <= stop), key=lambda x: (-x[1], x[0]))
+        want[owner] = [(p, c, i + 1) for i, (p, c) in enumerate(ranked[:6])]
+
+    def found():
+        got = {}
+        for r in voice.common_phrases(corpus, 6).orderBy("owner_id", "rank").collect():
+            got.setdefault(r.owner_id, []).append((r.phrase, r["count"], r["rank"]))
+        return got
+
+    ranked, top_k = [], voice.top_k
+    monkeypatch.setattr(voice, "top_k", lambda df, *a: ranked.append(df) or top_k(df, *a))
+    assert found() == want
+    triples = ranked[-1].filter("size(split(phrase, ' ')) = 3").count()
+    assert 0 < triples < sum(max(0, len(b.split()) - 2) for _, b in texts) / 4
+    # More frequent pairs than are broadcast: all runs are counted.
+    monkeypatch.setattr(voice, "MAX_PAIRS", 0)
+    assert found() == want
+
+
+def test_messages_are_classified_once(spark):
+    events = spark.createDataFrame([("o", "sms", ["Me", "a"], "see you on mon at the cafe"), ("o", "sms", ["Me", "b"], "see you on mon")],
+                                   "owner_id string, source string, participants array<string>, text string")
+    out = clusters.cluster_memory(events)
+    assert "mon|tue" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.contact, r.message_count): list(r.top_phrases) for r in out.collect()}
+    assert got == {("Me", 2): ["see you", "you mon"], ("a", 1): [], ("b", 1): []}
