@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.chunks import ChunkEncoder, Encoded, gather
+from keepsake.llm.chunks import LONGEST, ChunkEncoder, Encoded, gather
 from keepsake.llm.common import passed, text_bytes, worker_state
 
 #: Ids that are turned into bytes together.
 DECODED = 1 << 20
+#: Words whose ids are kept by an encoder; it starts anew beyond that.
+KNOWN = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,16 +54,20 @@ def replay(words: Sequence[bytes], ranks: dict[bytes, int], text: dict[int, byte
         if j >= 0:
             before[j] = i
 
-    def rank_of(left: int, right: int) -> int | None:
-        key = (left, right)
-        if key not in pairs:
-            pairs[key] = ranks.get(text[left] + text[right])
-        return pairs[key]
-
+    seen, unknown = pairs.get, -1
     index: dict[int, list[int]] = {}
+    filed = index.get
     for i, j in enumerate(after):
-        if j >= 0 and (r := rank_of(token[i], token[j])) is not None:
-            index.setdefault(r, []).append(i)
+        if j < 0:
+            continue
+        key = (token[i], token[j])
+        if (r := seen(key, unknown)) == unknown:
+            r = pairs[key] = ranks.get(text[key[0]] + text[key[1]])
+        if r is not None:
+            if (at := filed(r)) is None:
+                index[r] = [i]
+            else:
+                at.append(i)
     heap = list(index)
     heapq.heapify(heap)
     while heap:
@@ -69,8 +75,8 @@ def replay(words: Sequence[bytes], ranks: dict[bytes, int], text: dict[int, byte
         places = sorted(index.pop(rank))
         for n, i in enumerate(places):
             j = after[i]
-            # Merged meanwhile, or the pair has changed.
-            if token[i] < 0 or j < 0 or rank_of(token[i], token[j]) != rank:
+            # Merged meanwhile, or the pair has changed; a pair that stands anywhere was looked up when it arose.
+            if token[i] < 0 or j < 0 or seen((token[i], token[j])) != rank:
                 continue
             token[i], token[j] = rank, -1
             k = after[i] = after[j]
@@ -79,10 +85,17 @@ def replay(words: Sequence[bytes], ranks: dict[bytes, int], text: dict[int, byte
             lower = False
             for left in (before[i], i):
                 right = after[left] if left >= 0 else -1
-                if right >= 0 and (r := rank_of(token[left], token[right])) is not None:
-                    if r not in index:
+                if right < 0:
+                    continue
+                key = (token[left], token[right])
+                if (r := seen(key, unknown)) == unknown:
+                    r = pairs[key] = ranks.get(text[key[0]] + text[key[1]])
+                if r is not None:
+                    if (at := filed(r)) is None:
                         heapq.heappush(heap, r)
-                    index.setdefault(r, []).append(left)
+                        index[r] = [left]
+                    else:
+                        at.append(left)
                     lower = lower or r < rank
             if lower:
                 # A pair arose that goes first; the other places wait.
@@ -106,15 +119,22 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
     ranks = read_ranks(path)
     text = {rank: token for token, rank in ranks.items()}
     pairs: dict[tuple[int, int], int | None] = {}
+    known: dict[str, list[int]] = {}
     matches = regex.compile(pattern).findall
 
     def encode(chunks: list[bytes]) -> Encoded:
         if len(pairs) > 500_000:
             pairs.clear()
+        if len(known) > KNOWN:
+            known.clear()
         parts = [matches(c.decode()) for c in chunks]
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-        ids = replay([w.encode() for w in number], ranks, text, pairs)
-        of_chunk = [[i for w in p for i in ids[number[w]]] for p in parts]
+        # New chunks are mostly known words with other signs around them.
+        new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in known]
+        known.update(zip(new, replay([w.encode() for w in new], ranks, text, pairs)))
+        of_chunk = [[i for w in p for i in known[w]] for p in parts]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         count = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))
         return np.fromiter((i for c in of_chunk for i in c), np.uint32, int(count.sum())), count
 
