@@ -5,12 +5,14 @@ Column expressions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.functions.text import let
 from keepsake.llm.common import passing, prefix
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -49,7 +51,7 @@ def failed_rule(line: Column) -> Column:
         .when(~F.regexp_like(line, F.lit(r"\p{Ll}"))
               & F.regexp_like(line, F.lit(r"(\p{Lu}.*){%d}" % CAPITALS)), "shouting")
         .when(~F.regexp_like(line, F.lit(SENTENCE_ENDS)), "no_sentence")
-        .when(reduce(or_, [F.contains(F.lower(line), F.lit(p)) for p in BOILERPLATE]), "boilerplate")
+        .when(let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE])), "boilerplate")
     )
 
 
@@ -67,8 +69,8 @@ def clean(docs: DataFrame) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines",
             "lost_chars", "base_failed", "kept", "cleaned_text"]
     kept, p = [f"`{c}`" for c in passing(docs, made)], prefix(docs)
-    words_, text_, lines_, hashes_, sorted_, alike_, places_, full_, bad_, chars_ = (p + n for n in (
-        "words", "text", "lines", "hashes", "sorted", "alike", "places", "full", "bad", "chars"))
+    words_, text_, lines_, hashes_, sorted_, alike_, places_, judged_, full_, bad_, chars_ = (p + n for n in (
+        "words", "text", "lines", "hashes", "sorted", "alike", "places", "judged", "full", "bad", "chars"))
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0))
     rows = docs.select(*kept, text.alias(text_), words.alias(words_), F.split(text, "\n").alias(lines_))
@@ -100,8 +102,14 @@ def clean(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         F.transform(places_, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(places_), i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda n, x: n + x)
-    rows = rows.withColumn(full_, F.filter(lines_, has_word))
-    rows = rows.withColumn(bad_, F.filter(full_, lambda x: failed_rule(x).isNotNull()))
+    # The rules are the costly part: each line is judged once.
+    rows = rows.withColumn(judged_, F.transform(lines_, lambda x: F.struct(
+        x.alias("line"), has_word(x).alias("full"), failed_rule(x).isNotNull().alias("bad"))))
+
+    def judged(test: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(judged_, test), lambda j: j["line"])
+
+    rows = rows.select("*", judged(lambda j: j["full"]).alias(full_), judged(lambda j: j["bad"]).alias(bad_))
     n_words, whole = F.size(words_).cast("long"), F.col(text_)
     rows = rows.select(
         *kept, n_words.alias("n_words"), _length(F.col(words_)).alias("word_chars"),
@@ -110,7 +118,7 @@ def clean(docs: DataFrame) -> DataFrame:
         covered.alias("n_repeat_words"), F.size(full_).cast("long").alias("n_lines"),
         F.size(bad_).cast("long").alias("n_bad_lines"), _length(F.col(bad_)).alias("lost_chars"),
         _length(F.col(full_)).alias(chars_),
-        F.array_join(F.filter(lines_, lambda x: failed_rule(x).isNull()), "\n").alias("cleaned_text"))
+        F.array_join(judged(lambda j: ~j["bad"]), "\n").alias("cleaned_text"))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST * F.col(chars_))).drop(chars_)
