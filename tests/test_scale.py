@@ -141,3 +141,36 @@ def test_messages_are_classified_once(spark):
     assert "mon|tue" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.contact, r.message_count): list(r.top_phrases) for r in out.collect()}
     assert got == {("Me", 2): ["see you", "you mon"], ("a", 1): [], ("b", 1): []}
+
+
+def test_few_phrases_are_tested_where_texts_are_read(spark, monkeypatch):
+    rng = random.Random(7)
+    letters = "ab'é \n\t"
+    texts = [("o%d" % (i % 2), i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))) for i in range(120)] + [
+        ("o0", 120, None), (None, 121, "a b"), ("o0", 122, "A B"), ("o0", 123, "a  b"), ("o0", 124, "a\nb"), ("o1", 125, "I say TBH a b")]
+    phrases = ["a b", "aa b", "b 'a", "a b a", "a", "a  b", "! !", "to be honest", " ", None, "é a", "a b"]
+    asked = [("o%d" % (i % 2), i // 3, p) for i, p in enumerate(phrases * 2)] + [(None, 1, "a b")]
+    rows = spark.createDataFrame(texts, "owner_id string, seq int, text string").repartition(3)
+    requests = spark.createDataFrame(asked, "owner_id string, question_id int, phrase string")
+    terms = [(r.owner_id, r.question_id, r.terms) for r in questions.phrase_terms(requests).collect()]
+    want = Counter((o, i, q) for o, i, t in texts for p, q, ts in terms if o is not None and o == p and t is not None
+                   and any(x in t.lower() for x in ts if x.strip()))
+    indexed = []
+    monkeypatch.setattr(questions, "matching", lambda *a: indexed.append(1) or retrieval.matching(*a))
+    found = questions.phrase_matches(rows, requests)
+    assert found.columns == ["owner_id", "seq", "text", "question_id"] and not indexed
+    assert Counter((r.owner_id, r.seq, r.question_id) for r in found.collect()) == want
+    monkeypatch.setattr(questions, "MAX_PHRASES", 3)
+    numbered = requests.withColumn("question_id", F.monotonically_increasing_id())
+    want = {(o, i, r.question_id) for r in questions.phrase_terms(numbered).collect() for o, i, t in texts
+            if o is not None and o == r.owner_id and t is not None and any(x in t.lower() for x in r.terms if x.strip())}
+    found = [(r.owner_id, r.seq, r.question_id) for r in questions.phrase_matches(rows, numbered).collect()]
+    assert indexed and len(found) == len(want) and set(found) == want
+
+
+def test_two_words_are_looked_up_as_neighbours(spark):
+    texts = spark.range(300).selectExpr("'o' AS owner_id", "concat('the of x', id, ' of  the\\tend') AS low")
+    requests = spark.createDataFrame([("o", 1, ["of the"]), ("o", 2, ["he of", "none"]), ("o", 3, ["x7 o"]), ("o", 4, ["the\tend"])],
+                                     "owner_id string, question_id int, terms array<string>")
+    found = TermIndex(texts, ["owner_id"]).holding(requests, F.col("terms"))
+    assert {r.question_id: r["count"] for r in found.groupBy("question_id").count().collect()} == {2: 300, 3: 1, 4: 300}
