@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.text import clip, contact_key, one_line
 from keepsake.functions.times import conversation_key, iso_seconds
 from keepsake.operators.ranking import first_last_longest, keep_first, top_k
+from keepsake.operators.term_index import stored
 
 HOUR = 3_600_000
 KEY = ["owner_id", "contact_key"]
@@ -163,9 +164,10 @@ def chunk_messages(events: DataFrame, gap_ms: int = 6 * HOUR, min_messages: int
 def chunks(events: DataFrame, gap_ms: int = 6 * HOUR, min_messages: int = 30,
            max_messages: int = 150, hot_slot: int = HOT_SLOT) -> DataFrame:
     """The chunk table: merged conversations cut every ``max_messages`` messages."""
-    messages = prepare(events)
+    # Read three times, and the walk's result twice: contact keys are made once, and the walk runs once.
+    messages = stored(prepare(events).select(*KEY, "ts_ms", "seq"), "messages")
     table = slots(messages, gap_ms)
-    merged = merge_small(conversations(table), min_messages)
+    merged = stored(merge_small(conversations(table), min_messages), "merged")
     pieces = (
         numbered(messages, table, merged, gap_ms, hot_slot)
         .groupBy(*KEY, "merged_group", F.floor(F.col("position") / max_messages).alias("piece"))
@@ -226,6 +228,8 @@ def messages_in_chunks(chunk_table: DataFrame, messages: DataFrame) -> DataFrame
     Dense chunks are short, so they use minutes: a busy day does not compare all its messages with
     all its chunks.
     """
+    # Read twice, and made of many steps.
+    chunk_table = stored(chunk_table.select(*KEY, "chunk_id", "start_ms", "end_ms"), "chunks")
     span = F.col("end_ms") - F.col("start_ms")
     level, width = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, (w, longest) in reversed(list(enumerate(LEVELS))):

@@ -134,7 +134,8 @@ def _(t):
     QUALIFY row_number() OVER (PARTITION BY owner_id, chunk_id ORDER BY picked) <= 6""")
 def _(t):
     inside = sessions.messages_in_chunks(chunks(t), sessions.prepare(t.dense()))
-    return sessions.chunk_samples(inside).select("owner_id", "chunk_id", "event_id", "rank")
+    slim = inside.select("owner_id", "chunk_id", "event_id", "created_at", "seq", "text")
+    return sessions.chunk_samples(slim).select("owner_id", "chunk_id", "event_id", "rank")
 
 
 STORED = f"""stored AS (

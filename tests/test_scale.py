@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import any_word, bounded
-from keepsake.operators import clusters, questions, retrieval, voice
+from keepsake.operators import clusters, questions, ranking, retrieval, sessions, voice
 from keepsake.operators.contacts import events_with
 from keepsake.operators.term_index import TermIndex
 from keepsake.sources import json_cuts, takeout
@@ -174,3 +174,26 @@ def test_two_words_are_looked_up_as_neighbours(spark):
                                      "owner_id string, question_id int, terms array<string>")
     found = TermIndex(texts, ["owner_id"]).holding(requests, F.col("terms"))
     assert {r.question_id: r["count"] for r in found.groupBy("question_id").count().collect()} == {2: 300, 3: 1, 4: 300}
+
+
+def test_chunks_and_their_messages_are_made_once(spark):
+    rng = random.Random(9)
+    events = spark.createDataFrame([("o", "sms", ["Me", "u%d" % (i % 3)], i, rng.randint(0, 4000), "t" * rng.randint(0, 3)) for i in range(300)],
+                                   "owner_id string, source string, participants array<string>, seq long, minute long, text string").select(
+        "*", F.timestamp_seconds(F.col("minute") * 600).alias("created_at"))
+    table = sessions.chunks(events, min_messages=5, max_messages=8)
+    inside = sessions.messages_in_chunks(table, sessions.prepare(events))
+    plan = sessions.chunk_samples(inside)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("LogicalRDD") <= 1
+    groups = {}
+    for r in inside.select("owner_id", "chunk_id", "created_at", "seq", "text").collect():
+        groups.setdefault((r.owner_id, r.chunk_id), []).append(r)
+    want = set()
+    for key, rows in groups.items():
+        up = sorted(rows, key=lambda r: (r.created_at, r.seq))
+        size = sorted(up, key=lambda r: -len(r.text))
+        want |= {(*key, r.seq, p) for picks, at in ((up[:3], lambda i: i + 1), (up[::-1][:3], lambda i: 6 - i), (size[:2], lambda i: 7 + i))
+                 for i, r in enumerate(picks) for p in (at(i),)}
+    got = ranking.first_last_longest(inside, ["owner_id", "chunk_id"], ["created_at", "seq"], F.length("text"), 3, 3, 2)
+    rows = [(r.owner_id, r.chunk_id, r.seq, r.picked) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(groups) > 20
