@@ -1,8 +1,9 @@
 """Byte-level BPE by replaying merges over a corpus of words.
 
-The distinct words of a block of texts are laid out in one array of tokens. An inverted index leads from the rank of a
-token pair to the places where the pair stands; ranks are taken in order, every place is merged, and only the pairs with the
-two neighbours change and enter the index again. Words never depend on each other, so blocks may be replayed anywhere.
+The distinct words of a block of texts are laid out in arrays of tokens, with the rank of the pair at every place. Merges are
+replayed in the order of ranks: the place of lowest rank is merged, and only the pairs with the two neighbours change. Words of one
+length are replayed together, one merge of each in a step. For long words an inverted index leads from the rank of a pair to the
+places where the pair stands. Words never depend on each other, so blocks may be replayed anywhere.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from keepsake.llm.common import passed, text_bytes, worker_state
 DECODED = 1 << 20
 #: Words whose ids are kept by an encoder; it starts anew beyond that.
 KNOWN = 100_000
+#: Words of up to so many bytes are replayed by length, this many together.
+SHORT, TOGETHER = 64, 1 << 16
+#: Rank of a pair that is no token.
+NONE = np.int32(2**31 - 1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,12 +36,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
+class PairRanks:
+    """Ranks of the pairs of tokens that make a token, sorted by pair."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
+                 if t[:i] in ranks and t[i:] in ranks]
+        found.sort()
+        self.keys = np.array([-1, *[k for k, _ in found]], np.int64)
+        self.ranks = np.array([NONE, *[r for _, r in found]], np.int32)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        # Pairs of bytes, with which every word begins.
+        left, right = np.repeat(self.single, 256), np.tile(self.single, 256)
+        self.bytes = self(left, right)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key, "right") - 1
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+
 def replay(words: Sequence[bytes], ranks: dict[bytes, int], text: dict[int, bytes] | None = None,
-           pairs: dict[tuple[int, int], int | None] | None = None) -> list[list[int]]:
+           pairs: dict[tuple[int, int], int | None] | None = None, table: PairRanks | None = None) -> list[list[int]]:
     """Ids of each word: as long as a pair of neighbours is a token, the one of lowest rank merges, leftmost first.
 
-    ``text`` (bytes of each rank) and ``pairs`` (ranks looked up before) may be handed on from call to call.
+    ``text`` (bytes of each rank), ``pairs`` (ranks looked up before) and ``table`` may be handed on from call to call.
     """
+    table = PairRanks(ranks) if table is None else table
+    out: list[list[int]] = [[] for _ in words]
+    by_length: dict[int, list[int]] = {}
+    for i, word in enumerate(words):
+        by_length.setdefault(len(word) if len(word) <= SHORT else -1, []).append(i)
+    for length, of in by_length.items():
+        for at in range(0, len(of) if length else 0, TOGETHER):
+            part = of[at:at + TOGETHER]
+            some = [words[i] for i in part]
+            for i, ids in zip(part, _by_index(some, ranks, text, pairs) if length < 0 else _together(some, length, table)):
+                out[i] = ids
+    return out
+
+
+def _together(words: Sequence[bytes], length: int, table: PairRanks) -> list[list[int]]:
+    """``replay`` of words of one length: all that still change have as many tokens, since each merges once a step."""
+    data = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
+    token, rank = table.single[data], table.bytes[data[:, :-1].astype(np.int64) << 8 | data[:, 1:]]
+    out: list[list[int]] = [[]] * len(words)
+    place = np.arange(len(words))
+    while len(place):
+        if token.shape[1] == 1:
+            lowest, best = np.full(len(place), NONE), np.zeros(len(place), np.int64)
+        else:
+            best = rank.argmin(1)
+            lowest = rank[np.arange(len(place)), best]
+        ended = lowest == NONE
+        if ended.any():
+            for i, ids in zip(place[ended].tolist(), token[ended].tolist()):
+                out[i] = ids
+            token, rank, place, best, lowest = (x[~ended] for x in (token, rank, place, best, lowest))
+            if not len(place):
+                break
+        row, n = np.arange(len(place)), token.shape[1] - 1
+        token = np.where(np.arange(n) > best[:, None], token[:, 1:], token[:, :-1])
+        token[row, best] = lowest
+        rank = np.where(np.arange(n - 1) >= best[:, None], rank[:, 1:], rank[:, :-1])
+        for rows, first in ((np.flatnonzero(best > 0), best - 1), (np.flatnonzero(best < n - 1), best)):
+            i = first[rows]
+            rank[rows, i] = table(token[rows, i], token[rows, i + 1])
+    return out
+
+
+def _by_index(words: Sequence[bytes], ranks: dict[bytes, int], text: dict[int, bytes] | None,
+              pairs: dict[tuple[int, int], int | None] | None) -> list[list[int]]:
+    """``replay`` of long words, all places of a rank after each other."""
     text = {rank: token for token, rank in ranks.items()} if text is None else text
     pairs = {} if pairs is None else pairs
     single = [ranks[bytes([b])] for b in range(256)]
@@ -119,6 +190,7 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
     ranks = read_ranks(path)
     text = {rank: token for token, rank in ranks.items()}
     pairs: dict[tuple[int, int], int | None] = {}
+    table = PairRanks(ranks)
     known: dict[str, list[int]] = {}
     matches = regex.compile(pattern).findall
 
@@ -130,7 +202,7 @@ def replay_encoder(path: str, pattern: str) -> ChunkEncoder:
         parts = [matches(c.decode()) for c in chunks]
         # New chunks are mostly known words with other signs around them.
         new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in known]
-        known.update(zip(new, replay([w.encode() for w in new], ranks, text, pairs)))
+        known.update(zip(new, replay([w.encode() for w in new], ranks, text, pairs, table)))
         of_chunk = [[i for w in p for i in known[w]] for p in parts]
         for w in new:
             if len(w) > LONGEST:

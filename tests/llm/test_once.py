@@ -28,3 +28,19 @@ def test_known_words_are_not_replayed(tmp_path, monkeypatch):
         assert got.tolist() == ids and count.tolist() == [len(ids)]
     # Long words are not kept.
     assert replayed == [b"abc", b",", b"ab", long.encode(), long.encode()]
+
+
+def test_words_of_one_length_are_replayed_together(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    ranks = {bytes([b]): b for b in range(256)}
+    # Ranks at random: merged tokens may rank below their parts.
+    made = list({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(200)})
+    ranks |= {t: 256 + i for i, t in enumerate(rng.sample(made, len(made)))}
+    words = [bytes(rng.choice(b"abcd\xc3") for _ in range(rng.randint(0, 100))) for _ in range(400)] + [b"", b"a", b"a" * 64, b"a" * 65]
+    want = merge_replay._by_index(words, ranks, None, None)
+    indexed, by_index = [], merge_replay._by_index
+    monkeypatch.setattr(merge_replay, "_by_index", lambda some, *a: indexed.extend(some) or by_index(some, *a))
+    assert merge_replay.replay(words, ranks) == want
+    assert sorted(indexed) == sorted(w for w in words if len(w) > merge_replay.SHORT)
