@@ -79,10 +79,17 @@ def source_counts(comments: DataFrame, posts: DataFrame, slices: DataFrame) -> D
 
 
 def training_set(slices: DataFrame, most: int | None = None) -> DataFrame:
-    """The best items of each owner, in order; all of them unless ``most`` is given."""
+    """The best items of each owner, in order; all of them unless ``most`` is given.
+
+    With ``most``, numbers of items are ranked: only the texts of the best are joined, none is shuffled to be ranked.
+    """
     scored = slices.withColumn("quality", content_score("text", "score"))
     order = [F.desc("quality"), F.desc("score"), F.asc("slice"), F.asc("seq")]
-    return rank_all(scored, OWNER, order) if most is None else top_k(scored, OWNER, order, most)
+    if most is None:
+        return rank_all(scored, OWNER, order)
+    rows = stored(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    best = top_k(rows.select("_row", "owner_id", "quality", "score", "slice", "seq"), OWNER, order, most)
+    return stored(stored(best.select("_row", "rank"), "ranks").join(rows, "_row").select(*scored.columns, "rank"), "best")
 
 
 def pack(ranked: DataFrame, max_items: int = 30, max_chars: int = 16_000, item_chars: int | None = None,

@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import any_word, bounded
-from keepsake.operators import clusters, questions, ranking, retrieval, sessions, voice
+from keepsake.operators import clusters, questions, ranking, retrieval, sessions, training, voice
 from keepsake.operators.contacts import events_with
 from keepsake.operators.term_index import TermIndex
 from keepsake.sources import json_cuts, takeout
@@ -197,3 +197,15 @@ def test_chunks_and_their_messages_are_made_once(spark):
     got = ranking.first_last_longest(inside, ["owner_id", "chunk_id"], ["created_at", "seq"], F.length("text"), 3, 3, 2)
     rows = [(r.owner_id, r.chunk_id, r.seq, r.picked) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and len(groups) > 20
+
+
+def test_numbers_of_training_items_are_ranked(spark, monkeypatch):
+    rows = [("o%d" % (i % 2), i, "s%d" % (i % 3), "word " * (i % 7 + 1) + ".", float(i % 5)) for i in range(60)] + [(None, 60, "s0", "none", 0.0)]
+    slices = spark.createDataFrame(rows, "owner_id string, seq long, slice string, text string, score double")
+    ranked, top_k = [], training.top_k
+    monkeypatch.setattr(training, "top_k", lambda df, *a: ranked.append(df.columns) or top_k(df, *a))
+    found = training.training_set(slices, 4)
+    assert len(ranked) == 1 and "text" not in ranked[0]
+    assert found.columns == ["owner_id", "seq", "slice", "text", "score", "quality", "rank"]
+    every = training.training_set(slices).filter("rank <= 4").select(found.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
