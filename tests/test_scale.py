@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from keepsake.functions.text import any_word, bounded
-from keepsake.operators import clusters, questions, ranking, retrieval, sessions, training, voice
+from keepsake.operators import clusters, contacts, questions, ranking, retrieval, sessions, training, voice
 from keepsake.operators.contacts import events_with
 from keepsake.operators.term_index import TermIndex
 from keepsake.sources import json_cuts, takeout
@@ -209,3 +209,40 @@ def test_numbers_of_training_items_are_ranked(spark, monkeypatch):
     assert found.columns == ["owner_id", "seq", "slice", "text", "score", "quality", "rank"]
     every = training.training_set(slices).filter("rank <= 4").select(found.columns)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
+
+
+def phone_page(title, *messages):
+    def block(mine, said):
+        who = '<abbr class="fn">Me</abbr>' if mine else '<a href="tel:+15550199"><span class="fn">L &amp; E</span></a>'
+        return (f'<DIV id="1" class="message"><abbr class="dt" title="2024-01-05T10:00:00Z">x</abbr>:\r\n<CITE class="sender vcard">{who}\n'
+                f"</CITE>: <Q>{said}</Q>\u2028</DIV>\n ")
+    return f'<html><title> {title}\n</title><div class="hChatLog">{"".join(block(*m) for m in messages)}</div></html>'
+
+
+def test_phone_messages_do_not_carry_their_page(spark):
+    said = ["one\r\ntwo", "a<BR/>b &lt; \U0001f600", " \n", "\u2028line\u0085", "12345"]
+    pages = spark.createDataFrame([("o", "a", phone_page("Lee", *[(i % 2 == 0, s) for i, s in enumerate(said)])),
+                                   ("o", "b", phone_page(" ", (False, "<b>x</b>"))), ("o", "c", None), ("o", "d", "no page")],
+                                  "owner_id string, path string, content string")
+    found = takeout.sms_messages(pages)
+    got = sorted((r.path, r.seq, r.contact_name, r.sender_name, r.phone, r.text, r.created_at.hour, r.is_user_message) for r in found.collect())
+    me, other = ("Me", None), ("L & E", "+15550199")
+    assert got == [("a", 0, "Lee", *me, "one\r\ntwo", 10, True), ("a", 1, "Lee", *other, "a\nb < \U0001f600", 10, False),
+                   ("a", 3, "Lee", *other, "line\u0085", 10, False), ("a", 4, "Lee", *me, "12345", 10, True),
+                   ("b", 0, None, *other, "<b>x</b>", 10, False)]
+    # Above the explode nothing reads the page again, and no condition searches a block for sender and words again.
+    above, _, _ = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert "content" not in above and "<cite" not in above and "<q>" not in above
+
+
+def test_automated_messages_are_found_where_their_first_letters_are(spark):
+    said = ["code: 1", "xcode: 1", "code:", "an otp.", "otps", "_otp", "order #a", "order #", "order # a", "your  order", "fraud\talert!", "é otp",
+            "pre-shipped", "unshipped", "9delivered", "verify yours", "balance is", "abc", ""]
+    rng = random.Random(3)
+    words = [p.replace(r"\b", "").replace(r"\s*", " ").replace(r"\d+", "7") for p in contacts.SPAM_PATTERNS] + ["x", "_", "#", "é", "."]
+    said += ["".join(rng.choice(words) + rng.choice(["", " ", "-", "_"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    rows = spark.createDataFrame([(s,) for s in said], "text string").select("text", contacts.is_spam(
+        F.col("text"), F.lit("Lee"), F.lit(None).cast("string"), F.lit(3)).alias("spam")).collect()
+    pattern = re.compile("|".join(contacts.SPAM_PATTERNS), re.ASCII)
+    assert [r.spam for r in rows] == [pattern.search(r.text) is not None for r in rows]
+    assert {True, False} == {r.spam for r in rows}
