@@ -175,7 +175,7 @@ SENTENCES = (f"[trim(s, {TRIM}) for s in string_split(regexp_replace(text, '([.!
 def _(t):
     s = F.col("s")
     return t.raw("documents").select("doc_id", tx.sentences("text").alias("s")).select(
-        "doc_id", F.size(s).cast("long").alias("sentences"), s[0].alias("first_sentence"))
+        "doc_id", F.size(s).cast("long").alias("sentences"), F.get(s, 0).alias("first_sentence"))
 
 
 @query("fn_10_ngrams", """
