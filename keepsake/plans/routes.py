@@ -44,17 +44,18 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
             text.alias("snippet"), F.col("score").cast("double").alias("score"))
 
     in_order = [F.asc("place"), F.asc("seq")]
-    # Ranked as numbers; the texts of the few that stay are fetched.
+    # Ranked as numbers; the texts of the few that stay are fetched. Forum texts are numbered once for all routes.
     shown = ["kind", "id", "subreddit", "created_at", "text"]
-    whole = TermIndex(rows.withColumn("low", F.lower("text")), r.OWNER)
+    whole = TermIndex(rows, r.OWNER, "text")
     said = r.matches(whole, q.phrase_terms(of("phrase_frequency"))).select(*r.ASK, "_row", "place", "seq", "score")
     phrase = shaped(whole.fetch(top_k(said, r.ASK, in_order, 10), *shown), "phrase_frequency", 10, in_order)
-    period = shaped(q.time_period_rows(rows, of("time_period")), "time_period", 10, in_order)
+    dated = q.time_period_rows(whole.slim("place", "seq", "score", "created_at"), of("time_period")).drop("created_at")
+    period = shaped(whole.fetch(top_k(dated, r.ASK, in_order, 10), *shown), "time_period", 10, in_order)
     # A side is a request of its own.
     sides = of("comparison").select("owner_id", "question_id", F.posexplode(
         F.slice("topics", 1, 2)).alias("side", "topic")).withColumn("question_id", F.struct("question_id", "side"))
     best = [F.desc("hits"), *in_order]
-    comments_only = TermIndex(rows.filter("place = 0").withColumn("low", F.lower("text")), r.OWNER)
+    comments_only = whole.over(whole.rows.filter("place = 0"))
     slim = ["place", "seq", "score", "created_at"]
     compared = r.matched(comments_only, r.with_terms(sides, r.blank_terms("topic")), slim).withColumn(
         "question_id", F.col("question_id.question_id"))
@@ -64,7 +65,7 @@ def answers(questions: DataFrame, comments: DataFrame, posts: DataFrame, events:
         shaped(comments_only.fetch(top_k(found, r.ASK, best, 10).drop("created_at"), *shown), name, 10, best)
         for found, name in ((compared, "comparison"), (changed, "evolution")))
     general = of("general").select("owner_id", "question_id", F.col("question").alias("topic"))
-    found = shaped(r.general(rows, general), "general", 6, [])
+    found = shaped(r.general_of(whole, general), "general", 6, [])
     texts = r.message_hits(events, general, 25)
     told = shaped(
         texts.withColumn("kind", F.lit("message")).withColumn("id", F.col("seq")).withColumn(
