@@ -246,3 +246,16 @@ def test_automated_messages_are_found_where_their_first_letters_are(spark):
     pattern = re.compile("|".join(contacts.SPAM_PATTERNS), re.ASCII)
     assert [r.spam for r in rows] == [pattern.search(r.text) is not None for r in rows]
     assert {True, False} == {r.spam for r in rows}
+
+
+def test_pairs_of_words_are_shuffled_once(spark):
+    texts = [("one two\x1cb three", ["Me", "A"]), ("ONE  two\u00a0x three\tone two\u00a0x", ["Me", "B", None]), ("one two\x1cb\nthree", ["Me", "A"]),
+             ("of it", ["B"]), ("", ["Me"]), ("one two\u00a0x", ["A", "A"])]
+    rows = spark.createDataFrame([("o", p, "other", t) for t, p in texts], "owner_id string, participants array<string>, cluster string, text string")
+    found = clusters.cluster_phrases(rows)
+    got = {(r.contact, r.phrase, r["count"]) for r in found.collect()}
+    x, b = "two\u00a0x", "two\x1cb"
+    assert got == {("Me", f"one {b}", 2), ("Me", f"{b} three", 2), ("Me", f"one {x}", 2), ("A", f"one {b}", 2), ("A", f"{b} three", 2),
+                   ("A", f"one {x}", 2), ("B", f"one {x}", 2), (None, f"one {x}", 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("phrase") and len(re.findall(r"Aggregate \[", plan)) == 1 and len(re.findall(r"RepartitionByExpression", plan)) == 1
